@@ -2,8 +2,16 @@
 
 from __future__ import annotations
 
-from . import fingerprint
-from .common import documents
+from . import fingerprint, langid, toxicity
+from .common import documents, table
+
+
+def op1_language_id(spark, sf_dir):
+    return langid.language_id(documents(spark, sf_dir))
+
+
+def op10_toxicity(spark, sf_dir):
+    return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
 def op9_fingerprint(spark, sf_dir):
