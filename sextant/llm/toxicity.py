@@ -1,6 +1,6 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded (case, accents, homoglyphs, digits and signs that stand for letters) and matched against the lexicon
+Texts are folded (case, homoglyphs, digits and signs that stand for letters) and matched against the lexicon
 by an Aho-Corasick automaton. An entry is a whole word or a beginning of words. Exception phrases (two words, one of
 them in the lexicon, seen in harmless texts only) cancel the matches inside them. The sum of the matches' weights,
 divided by the logarithm of the length, goes through a logistic curve.
@@ -28,10 +28,10 @@ from .common import bounded_sample, fold, small_batches
 SAMPLE_ROWS, ENTRIES, THRESHOLD = 40_000, 5_000, 0.7
 SEED_WORDS = "idiot moron stupid pathetic worthless scum loser disgusting imbecile".split()
 SEED_EXCEPTIONS = ["idiot proof", "stupid simple", "sore loser board"]
-PREFIXES = (4, 5)
+PREFIXES = (3, 4, 5, 6)
 
-_LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнαβεικνορτυχγı", "aeopcyxijsdhkmtbhabeiknoptuxyi")) | dict(zip("0134578@$", "oieastbas")) | {"ß": "ss", "æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ł": "l"}
-_WORD = re.compile(r"[a-z]+")
+_LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнαβεικνορτυχγı", "aeopcyxijsdhkmtbhabeiknoptuxyi")) | dict(zip("0134578@$", "oieastbas"))
+_WORD = re.compile(r"[^\W\d_]+")
 
 
 class _Fold(dict):
@@ -39,8 +39,7 @@ class _Fold(dict):
         c = chr(code)
         out = _LOOKALIKES.get(c)
         if out is None:
-            plain = "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)).lower()
-            out = "".join(_LOOKALIKES.get(x, x) for x in plain)
+            out = "".join(_LOOKALIKES.get(x, x) for x in unicodedata.normalize("NFKC", c).lower())
         self[code] = out
         return out
 
@@ -49,12 +48,23 @@ _FOLD = _Fold()
 
 
 def folded(text: str | None) -> str:
-    """Lower case, without accents, look-alikes and digits turned into the letters they imitate."""
+    """Lower case; letters of other scripts, digits and signs turned into the letters they imitate. Accents stay: they tell words apart."""
     return (text or "").lower().translate(_FOLD)
 
 
-def entries_of(words: set[str]) -> set[str]:
-    return words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n}
+def entries_of(words: list[str]) -> list[str]:
+    """Each word and its beginnings, as often as they occur."""
+    return words + [f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n]
+
+
+def specific(found: list[tuple[str, int]]) -> set[str]:
+    """Of (entry, toxic texts), those without a longer entry inside them that accounts for nearly all their toxic texts."""
+    best: dict[str, int] = {}
+    for e, pos in found:
+        stem = e.rstrip("*")
+        for n in range(1, len(stem) + (not e.endswith("*"))):
+            best[stem[:n]] = max(best.get(stem[:n], 0), pos)
+    return {e for e, pos in found if not e.endswith("*") or best.get(e[:-1], 0) < 0.85 * pos}
 
 
 class Lexicon:
@@ -123,17 +133,22 @@ def _significant(pos: int, neg: int, base: float, candidates: int) -> bool:
     return n * kl > math.log(2 * max(candidates, 1))
 
 
+_COUNTS = ("pos", "neg", "tpos", "tneg")
+
+
 def _counted(rows: DataFrame, find) -> DataFrame:
-    """(entry, pos, neg): in how many toxic and harmless texts each of find(folded text) occurs."""
+    """(entry, pos, neg, tpos, tneg): in how many toxic and harmless texts each of find(folded text) occurs, and how often."""
 
     def run(batches):
         for pdf in batches:
-            c = (Counter(), Counter())
+            c = [Counter() for _ in range(4)]
             for t, y in zip(pdf["text"], pdf["toxic"]):
-                c[int(y)].update(find(folded(t)))
-            yield pd.DataFrame([(k, c[1][k], c[0][k]) for k in c[0] | c[1]], columns=["entry", "pos", "neg"])
+                own = Counter(find(folded(t)))
+                c[1 - int(y)].update(own.keys())
+                c[3 - int(y)].update(own)
+            yield pd.DataFrame([(k, *(x[k] for x in c)) for k in c[0] | c[1]], columns=["entry", *_COUNTS])
 
-    return rows.mapInPandas(run, "entry string, pos long, neg long").groupBy("entry").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rows.mapInPandas(run, "entry string, " + ", ".join(f"{x} long" for x in _COUNTS)).groupBy("entry").agg(*(F.sum(x).alias(x) for x in _COUNTS))
 
 
 def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
@@ -147,16 +162,15 @@ def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
         rows.unpersist()
         return Lexicon(seeds, SEED_EXCEPTIONS)
     base = pos / (pos + neg)
-    counted = _counted(rows, lambda t: entries_of({w for w in _WORD.findall(t) if 3 <= len(w) <= 40})).filter("pos + neg >= 3").persist()
+    counted = _counted(rows, lambda t: entries_of([w for w in _WORD.findall(t) if 3 <= len(w) <= 40])).filter("pos + neg >= 3").persist()
     candidates = counted.count()
-    # the odds against chance, as _significant has them, in SQL; the few that are left are judged exactly
     share = F.col("pos") / (F.col("pos") + F.col("neg"))
-    likely = counted.filter((F.col("pos") >= 3) & (share > max(2 * base, 0.5))).orderBy(F.desc(F.col("pos") - F.col("neg")), "entry").limit(2 * ENTRIES).collect()
+    likely = counted.filter((F.col("pos") >= 3) & (share > max(2 * base, 0.3))).orderBy(F.desc(F.col("pos") - F.col("neg")), "entry").limit(2 * ENTRIES).collect()
     counted.unpersist()
-    weights = dict(seeds)
-    for r in likely:
-        if len(weights) < ENTRIES and _significant(r["pos"], r["neg"], base, candidates):
-            weights[r["entry"]] = math.log((r["pos"] + 0.5) / (pos + 1)) - math.log((r["neg"] + 0.5) / (neg + 1))
+    likely = [r for r in likely if _significant(r["pos"], r["neg"], base, candidates)]
+    kept = specific([(r["entry"], r["pos"]) for r in likely])
+    weights = seeds | {r["entry"]: math.log((r["tpos"] + 0.5) / (pos + 1)) - math.log((r["tneg"] + 0.5) / (neg + 1)) for r in likely if r["entry"] in kept}
+    weights = dict(list(weights.items())[:ENTRIES])
     lexicon = Lexicon(weights)
 
     def around(t: str) -> set[str]:
