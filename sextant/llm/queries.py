@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, toxicity
+from . import fingerprint, langid, linededup, pii, toxicity
 from .common import documents, table
 
 
@@ -10,6 +10,14 @@ def op1_language_id(spark, sf_dir):
     return langid.language_id(documents(spark, sf_dir))
 
 
+def op2_line_dedup(spark, sf_dir):
+    return linededup.line_dedup(documents(spark, sf_dir))
+
+
+def op4_personal_data(spark, sf_dir):
+    return pii.digest(pii.personal_data(documents(spark, sf_dir)))
+
+
 def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -23,4 +31,4 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    return {"op2_line_dedup": linededup.ORACLE}
