@@ -151,11 +151,16 @@ def _counted(rows: DataFrame, find) -> DataFrame:
     return rows.mapInPandas(run, "entry string, " + ", ".join(f"{x} long" for x in _COUNTS)).groupBy("entry").agg(*(F.sum(x).alias(x) for x in _COUNTS))
 
 
-def fit(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
-    """Learn from (doc_id, text, toxic). Without rows of both kinds the built-in words and curve are all there is."""
-    small_batches(rows.sparkSession)
+def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
+    """Learn from (doc_id, text) and (doc_id, toxic). Without rows of both kinds the built-in words and curve are all there is.
+
+    The labels are sampled first: at most about `sample_rows` small rows are broadcast, and no text is shuffled.
+    """
+    small_batches(docs.sparkSession)
     seeds = dict.fromkeys(SEED_WORDS, 2.0)
-    rows = bounded_sample(rows.filter("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "doc_id", sample_rows, "toxicity").persist()
+    labels = labels.filter("toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = bounded_sample(labels, "doc_id", sample_rows, "toxicity")
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").persist()
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
     if not pos or not neg:
@@ -219,6 +224,5 @@ def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: learned from labelled rows whose crc32(doc_id) mod 3 is not 1."""
-    known = labels.filter(fold(F.col("doc_id"), 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    lexicon = fit(docs.select("doc_id", "text").join(known, "doc_id"))
+    lexicon = fit(docs, labels.select("doc_id", "toxic").filter(fold(F.col("doc_id"), 3) != 1))
     return score(docs, lexicon).select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
