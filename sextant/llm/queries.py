@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, linededup, pii, toxicity
+from . import fingerprint, langid, linededup, minhash, pii, toxicity
 from .common import documents, table
 
 
@@ -22,6 +22,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op5_minhash(spark, sf_dir):
+    return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
 def op9_fingerprint(spark, sf_dir):
     return fingerprint.with_neighbours(documents(spark, sf_dir))
 
