@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, linededup, minhash, pii, toxicity
+from . import fingerprint, langid, linededup, minhash, pii, quality, toxicity
 from .common import documents, table
 
 
@@ -26,6 +26,10 @@ def op5_minhash(spark, sf_dir):
     return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
 
 
+def op6_quality(spark, sf_dir):
+    return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_fingerprint(spark, sf_dir):
     return fingerprint.with_neighbours(documents(spark, sf_dir))
 
