@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, linededup, minhash, pii, quality, toxicity
+from . import fingerprint, langid, linededup, minhash, packing, pii, quality, toxicity
 from .common import documents, table
 
 
@@ -14,6 +14,10 @@ def op2_line_dedup(spark, sf_dir):
     return linededup.line_dedup(documents(spark, sf_dir))
 
 
+def op3_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op4_personal_data(spark, sf_dir):
     return pii.digest(pii.personal_data(documents(spark, sf_dir)))
 
