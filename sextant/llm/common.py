@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,3 +78,29 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: str) -> DataFrame:
 def small_enough(df: DataFrame, rows: int) -> bool:
     """Whether the frame has at most `rows` rows; counts no further than that."""
     return df.limit(rows + 1).count() <= rows
+
+
+#: Parts into which a vector is cut to be summed by as many tasks.
+CHUNKS = 64
+
+
+def cut_vector(vector: np.ndarray) -> pd.DataFrame:
+    """A vector as rows (chunk, part) for `sum_vectors`."""
+    return pd.DataFrame([(k, vector[k::CHUNKS].astype(np.float64).tobytes()) for k in range(min(CHUNKS, len(vector)))], columns=["chunk", "part"])
+
+
+def sum_vectors(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of vectors of `size` numbers, each given by `cut_vector`: every task adds up one part of all vectors as they come."""
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for k, part in zip(pdf["chunk"], pdf["part"]):
+                found = np.frombuffer(part)
+                sums[k] = sums[k] + found if k in sums else found
+        yield pd.DataFrame([(k, v.tobytes()) for k, v in sums.items()], columns=["chunk", "part"])
+
+    out = np.zeros(size)
+    for r in parts.repartitionById(CHUNKS, F.col("chunk")).mapInPandas(total, "chunk int, part binary").collect():
+        out[r["chunk"] :: CHUNKS] = np.frombuffer(r["part"])
+    return out

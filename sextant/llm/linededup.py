@@ -64,6 +64,15 @@ def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text"
     return out.select("doc_id", "n_lines", "n_dropped", F.col(text_col).alias("text"))
 
 
+def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """The rows of `docs`, with all their columns, without their hosts' boilerplate; `n_chars`, if there is one, follows the text."""
+    bad = boilerplate(docs, host_col, text_col, ratio, min_pages).persist()
+    out = drop_lines(docs, bad, host_col, text_col, suffix="__")
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("n_dropped__") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
 ORACLE = f"""
 WITH d AS (SELECT doc_id, coalesce('h' || source, '-') AS host, text, string_split(text, chr(10)) AS ls FROM documents),
 u AS (SELECT DISTINCT doc_id, host, unnest(ls) AS line FROM d),

@@ -23,11 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, small_batches
+from .common import hold, small_batches, small_enough
 from .components import components
 
 BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
+#: Removed ids that may be broadcast, at 8 bytes each.
+BROADCAST_IDS = 1_000_000
 #: Members of a bucket that one task compares with as many others.
 BLOCK = 2000
 _U = np.uint64
@@ -213,3 +215,22 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out = members.join(roots.toDF("rep", "root"), "rep", "left")
     component = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of `docs`, with all their columns, that stay: one document of each component, and one row of each doc_id.
+
+    Rows without doc_id stay. Only ids are shuffled unless doc_ids are repeated: then the repeated rows are, too.
+    """
+    own = "id__"
+    found = hold(near_duplicates(docs, width, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "kept")
+    split = lambda ids: F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+    named = docs.withColumn(own, F.col("doc_id").cast("long"))
+    removed = found.filter("not kept").select(F.col("doc_id").alias("gone__"))
+    out = named.join(split(removed), F.col(own) == F.col("gone__"), "left_anti")
+    repeated = found.filter("kept and rows > 1").select(F.col("doc_id").alias("again__"))
+    if not repeated.isEmpty():
+        again = split(repeated)
+        one = out.join(again, F.col(own) == F.col("again__"), "left_semi").dropDuplicates([own])
+        out = out.join(again, F.col(own) == F.col("again__"), "left_anti").unionByName(one)
+    return out.drop(own)

@@ -16,8 +16,10 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import bounded_sample, hold, small_batches, small_enough
 
@@ -89,18 +91,18 @@ def evidence(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame
     small_batches(docs.sparkSession)
     w = np.asarray(weights)
     names = [f"c{i}" for i in range(len(keep))]
-    schema = ", ".join(f"{n} {docs.schema[k].dataType.simpleString()}" for n, k in zip(names, keep))
+    rows = docs.select(*(F.col(k).alias(n) for n, k in zip(names, keep)), F.col("text").alias("text__"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("p", DoubleType())])
 
     def run(batches):
-        for pdf in batches:
-            x = np.array([features(t) for t in pdf["t__"]]).reshape(-1, len(w))
+        for batch in batches:
+            texts = batch.column(len(names)).to_pylist()
+            x = np.array([features(t) for t in texts]).reshape(-1, len(w))
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            p[[not (t and t.strip()) for t in pdf["t__"]]] = 0.0
-            pdf = pdf.drop(columns="t__")
-            pdf["p"] = p
-            yield pdf
+            p[[not (t and t.strip()) for t in texts]] = 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], [*names, "p"])
 
-    return docs.select(*(F.col(k).alias(n) for n, k in zip(names, keep)), F.col("text").alias("t__")).mapInPandas(run, f"{schema}, p double".lstrip(", "))
+    return rows.mapInArrow(run, schema)
 
 
 def _strength(groups: list) -> float:
@@ -132,27 +134,37 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     return both.select("host", "path", "h", post.alias("path_posterior"), F.greatest(F.least(shift, F.lit(REACH)), F.lit(-REACH)).alias("shift")), prior
 
 
-def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of every row (doc_id by default), then p, host_posterior, path_posterior, score.
-
-    host defaults to `source` and path to `lang` within it, as documents have no URL.
-    """
-    keep = keep or ["doc_id"]
+def _scored(docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, keep: list[str]) -> DataFrame:
+    """The columns `keep` as c0, c1 ..., with p, h, path_posterior and score."""
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     weights = fit(docs, labels)
     docs = docs.withColumn("host__", host.cast("string")).withColumn("path__", path.cast("string"))
     groups, prior = posteriors(evidence(docs, weights, ["host__", "path__"]).toDF("host", "path", "p"))
     groups = hold(groups.select(F.col("host").alias("gh"), F.col("path").alias("gp"), "h", "path_posterior", "shift"), "posteriors")
-    names = [f"c{i}" for i in range(len(keep) + 2)]
     rows = evidence(docs, weights, [*keep, "host__", "path__"])
     groups = F.broadcast(groups) if small_enough(groups, BROADCAST_GROUPS) else groups
-    joined = rows.join(groups, F.col(names[-2]).eqNullSafe(F.col("gh")) & F.col(names[-1]).eqNullSafe(F.col("gp")), "left")
+    joined = rows.join(groups, F.col(f"c{len(keep)}").eqNullSafe(F.col("gh")) & F.col(f"c{len(keep) + 1}").eqNullSafe(F.col("gp")), "left")
     p = F.least(F.greatest(F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12))
     total = 1 / (1 + F.exp(-(F.log(p / (1 - p)) + F.coalesce("shift", F.lit(0.0)))))
-    out = joined.withColumn("score__", F.when(F.col("p") == 0, 0.0).otherwise(total))
-    return out.select(*(F.col(n).alias(k) for n, k in zip(names, keep)), F.col("p").alias("evidence"), F.col("h").alias("host_posterior"), "path_posterior", F.col("score__").alias("score"))
+    return joined.withColumn("score", F.when(F.col("p") == 0, 0.0).otherwise(total))
+
+
+def score(docs: DataFrame, labels: DataFrame, host: Column | None = None, path: Column | None = None, keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of every row (doc_id by default), then evidence, host_posterior, path_posterior, score.
+
+    host defaults to `source` and path to `lang` within it, as documents have no URL.
+    """
+    keep = keep or ["doc_id"]
+    out = _scored(docs, labels, host, path, keep)
+    return out.select(*(F.col(f"c{i}").alias(k) for i, k in enumerate(keep)), F.col("p").alias("evidence"), F.col("h").alias("host_posterior"), "path_posterior", "score")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, evidence, host_posterior, path_posterior, score, kept of every row."""
     return score(docs, labels).withColumn("kept", F.col("score") >= THRESHOLD)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, host: Column | None = None, path: Column | None = None) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose score reaches the threshold."""
+    out = _scored(docs, labels, host, path, docs.columns).filter(F.col("score") >= threshold)
+    return out.select(*(F.col(f"c{i}").alias(k) for i, k in enumerate(docs.columns)))

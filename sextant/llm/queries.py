@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import fingerprint, langid, linededup, minhash, packing, pii, quality, toxicity
+from . import decontaminate, fingerprint, langid, linededup, lm, minhash, packing, pii, quality, toxicity
 from .common import documents, table
 
 
@@ -34,6 +34,14 @@ def op6_quality(spark, sf_dir):
     return quality.quality(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op7_language_model(spark, sf_dir):
+    return lm.language_model(documents(spark, sf_dir))
+
+
+def op8_decontamination(spark, sf_dir):
+    return decontaminate.leaks(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
 def op9_fingerprint(spark, sf_dir):
     return fingerprint.with_neighbours(documents(spark, sf_dir))
 
