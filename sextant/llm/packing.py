@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import zlib
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -34,12 +35,13 @@ def default_tokenizer() -> str:
 
 
 class Tokens:
-    """Token ids of texts as little-endian 32-bit bytes, with the ids of each blank-separated word kept for reuse.
+    """Token ids of texts, with the ids of each blank-separated word kept for reuse: a word is looked up once for its ids and its place in the index.
 
-    That holds for tokenizers that drop white space and never merge across it, such as the default one; others encode
+    That holds for tokenizers that drop white space and case and never merge across blanks, such as the default one; others encode
     whole texts. A text with the string of a special token is encoded whole, too.
     """
 
+    MOST = 1_500_000
     _own: dict[str, Tokens] = {}
 
     def __init__(self, path: str):
@@ -49,8 +51,13 @@ class Tokens:
         spec = json.loads(Path(path).read_text(encoding="utf-8"))
         self.special = [t["content"] for t in spec.get("added_tokens", [])]
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        self.by_word = spec["model"].get("end_of_word_suffix") == "</w>" and split.get("type") == "Split" and split.get("behavior") == "Removed"
-        self.known: dict[str, bytes] = {}
+        suffix = spec["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix) and split.get("type") == "Split" and split.get("behavior") == "Removed" and '"Lowercase"' in json.dumps(spec.get("normalizer"))
+        if self.by_word:
+            vocabulary = self.tokenizer.get_vocab()
+            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
+        self._forget()
 
     @classmethod
     def load(cls, path: str) -> Tokens:
@@ -59,50 +66,84 @@ class Tokens:
             cls._own[path] = cls(path)
         return cls._own[path]
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.by_word:
-            return [self._whole(t) for t in texts]
-        plain = [not any(s in t for s in self.special) for t in texts]
-        split = [t.replace("\n", " ").split(" ") if p else [] for t, p in zip(texts, plain)]
-        if len(self.known) > 1_500_000:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) if p else self._whole(t) for t, ws, p in zip(texts, split, plain)]
+    def _forget(self) -> None:
+        """Numbers of known words, the same for all cases of one, and the place of each number's ids in `ids`."""
+        self.known: dict[str, int] = {}
+        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
+
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the words, one after the other, and how many each has. Words of letters only go in as one text: the last id of each tells them apart."""
+        whole = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.fromiter(whole, np.uint32, len(whole))
+        at = np.flatnonzero(self.last[ids])
+        if len(at) == len(words) and all(map(str.isalpha, words)):
+            return ids, np.diff(at, prepend=-1)
+        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
+
+    def _learn(self, words: set[str]) -> None:
+        new = words.difference(self.known)
+        low = {w.lower() for w in new}
+        unseen = low.difference(self.known)
+        letters = [w for w in unseen if w.isalpha()]
+        for own in (letters, [*unseen.difference(letters)]):
+            for at in range(0, len(own), 20_000):
+                part = own[at : at + 20_000]
+                ids, sizes = self._encoded(part)
+                n = len(self.first) - 1
+                self.known.update(zip(part, range(n, n + len(part))))
+                self.ids = np.concatenate([self.ids, ids])
+                self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
+        self.known.update([(w, self.known[w.lower()]) for w in new - unseen])
+
+    def read(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """For each text its ids, and numbers that stand for its lower-cased words."""
+        plain = [self.by_word and not any(s in t for s in self.special) for t in texts]
+        split = [t.replace("\n", " ").split(" ") if p else t.lower().split() for t, p in zip(texts, plain)]
+        if len(self.known) > self.MOST:
+            self._forget()
+        if self.by_word:
+            self._learn(set(chain.from_iterable(split)))
+        else:  # numbers for the index alone
+            for w in set(chain.from_iterable(split)).difference(self.known):
+                self.known[w] = len(self.known)
+            self.first = np.zeros(len(self.known) + 1, np.int64)
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int32, int(lengths.sum()))
+        ends = np.cumsum(lengths)
+        size = self.first[words + 1] - self.first[words]
+        after = np.cumsum(size)
+        flat = self.ids[np.repeat(self.first[words] - (after - size), size) + np.arange(int(size.sum()))]
+        token_ends = np.concatenate([[0], after])[ends]
+        ids = np.split(flat, token_ends[:-1])
+        blank = self.known.get("", -1)
+        terms = [x[x != blank] for x in np.split(words, ends[:-1])]
+        for k, p in enumerate(plain):
+            if not p:
+                ids[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
+        return ids[: len(texts)], terms[: len(texts)]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        return self.read(texts)[0] if texts else []
 
 
 class Index:
-    """BM25 over a shard: postings by term, with scores ready to be added."""
-
-    def __init__(self, texts: list[str]):
-        ids: dict[str, int] = {}
-        docs, tfs = [], []
-        sizes = np.zeros(len(texts))
-        for i, t in enumerate(texts):
-            words = np.fromiter((ids.setdefault(w, len(ids)) for w in t.lower().split()), np.int64)
-            sizes[i] = len(words)
-            terms, tf = np.unique(words, return_counts=True)
-            docs.append(terms)
-            tfs.append(tf)
-        lengths = np.array([len(d) for d in docs], np.int64)
-        term = np.concatenate(docs) if docs else np.zeros(0, np.int64)
-        tf = np.concatenate(tfs).astype(np.float64) if docs else np.zeros(0)
-        doc = np.repeat(np.arange(len(texts)), lengths)
-        df = np.bincount(term, minlength=len(ids))
-        idf = np.log(1 + (len(texts) - df + 0.5) / (df + 0.5))
-        mean = max(1.0, sizes.mean() if len(sizes) else 1.0)
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / mean))
+    """BM25 over a shard of documents given as numbers of their words: postings by term, with scores ready to be added."""
+
+    def __init__(self, words: list[np.ndarray]):
+        n = len(words)
+        sizes = np.array([len(w) for w in words], np.int64)
+        every, term = np.unique(np.concatenate(words), return_inverse=True)
+        keys, tf = np.unique(np.repeat(np.arange(n), sizes) * max(1, len(every)) + term, return_counts=True)
+        doc, term = np.divmod(keys, max(1, len(every)))
+        df = np.bincount(term, minlength=len(every))
+        idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(1.0, sizes.mean())))
         order = np.argsort(term, kind="stable")
         self.at = np.concatenate([[0], np.cumsum(df)])
         self.doc, self.weight = doc[order], weight[order]
-        self.own = np.concatenate([[0], np.cumsum(lengths)])
+        self.own = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
         self.term, self.strength = term, weight * (df[term] > 1)
 
     def neighbours(self, i: int) -> np.ndarray:
@@ -119,10 +160,12 @@ class Index:
         return found[np.lexsort((found, -score))]
 
 
-def pack_shard(texts: list[str], lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+def pack_shard(words: list[np.ndarray], lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of every piece, by sequence and offset."""
-    index = Index(texts)
-    used = np.zeros(len(texts), bool)
+    if not words:
+        return []
+    index = Index(words)
+    used = np.zeros(len(words), bool)
     pieces = []
     sequence = offset = first = 0
     seed, nearest, at = -1, np.zeros(0, np.int64), 0
@@ -134,9 +177,9 @@ def pack_shard(texts: list[str], lengths: list[int], window: int = WINDOW) -> li
             if at < len(nearest):
                 i = int(nearest[at])
         if i < 0:
-            while first < len(texts) and used[first]:
+            while first < len(words) and used[first]:
                 first += 1
-            if first == len(texts):
+            if first == len(words):
                 break
             i = first
         used[i] = True
@@ -167,9 +210,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
 
     def run(pdf):
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable", ignore_index=True)
-        texts = pdf["text"].tolist()
-        ids = [x + end for x in Tokens.load(path).encode(texts)]
-        pieces = pack_shard(texts, [len(x) // 4 for x in ids], window)
+        ids, words = Tokens.load(path).read(pdf["text"].tolist())
+        ids = [x.astype("<u4").tobytes() + end for x in ids]
+        pieces = pack_shard(words, [len(x) // 4 for x in ids], window)
         base = int(pdf["shard"].iloc[0]) << 32
         doc_ids = pdf["doc_id"].astype("Int64")
         return pd.DataFrame(
