@@ -1,8 +1,8 @@
 """Language-model scoring: a causal self-attention model in numpy on subword ids, beside exact unigram counts.
 
-One attention head with relative position biases reads the last subwords and predicts the next one's class; a class is a
-frequent subword by itself, or a band of rarer ones, in which counts of the whole training corpus give each its share:
-P(id) = P(class | context) * P(id | class). Texts are cut into windows of WINDOW ids that overlap by LEAD; each id,
+One attention head with relative position biases reads the last subwords and predicts the next one in two steps: its
+class (a frequent subword by itself, or a band of rarer ones), then its place in the band. The rarest make up the last
+band, in which counts of the whole training corpus give each its share. Texts are cut into windows of WINDOW ids that overlap by LEAD; each id,
 and one end at last, is scored once, by the window that holds at least LEAD ids before it.
 
 The model is trained on TRAIN_SHARE of the training documents, so the text it learns from grows with the corpus: in each
@@ -31,9 +31,11 @@ from .packing import Tokens, default_tokenizer
 
 WINDOW, LEAD, WIDTH = 32, 8, 16
 STEP = WINDOW - LEAD
-#: Classes: frequent ids, then bands. Ids with an embedding of their own.
-OWN, BANDS, EMBEDDED = 80, 16, 4096
-CLASSES = OWN + BANDS
+#: Classes: frequent ids, bands of ids, and one for all the rest. Ids with an embedding of their own.
+OWN, BANDS, BAND, EMBEDDED = 80, 16, 64, 4096
+CLASSES = OWN + BANDS + 1
+#: Windows that are read at once, which is what a processor's cache holds.
+CHUNK = 64
 ROUNDS, TRAIN_SHARE, RATE = 3, 1 / 24, 0.08
 FREQUENT, FLUSH = 200_000, 300_000
 
@@ -84,7 +86,7 @@ def count(docs: DataFrame, tokenizer: str) -> DataFrame:
             if len(found[0]) + len(found[1]) > FLUSH:
                 yield rows(0, found)
                 found = Counter(), Counter()
-            ids = np.frombuffer(b"".join(encode([t or "" for own, t in zip(train, texts) if own])), "<u4")
+            ids = np.concatenate([np.zeros(0, np.uint32), *encode([t or "" for own, t in zip(train, texts) if own])])
             counted = np.bincount(ids, minlength=len(subwords))
             counted[: len(subwords)] += subwords
             subwords = counted
@@ -138,12 +140,14 @@ def unigrams(counts: DataFrame, frequent: int = FREQUENT) -> Unigrams:
 
 @dataclass
 class Vocabulary:
-    """Of each subword id: its embedding's place, its class, and the logarithm of its share of the class. The last embedding stands for the start."""
+    """Of each subword id: its embedding's place, its class, its place in its band, and the logarithm of its share of the last class (0 for the others). The last embedding stands for the start."""
 
     place: np.ndarray
     group: np.ndarray
+    inner: np.ndarray
     share: np.ndarray
     prior: np.ndarray
+    inner_prior: np.ndarray
     embeddings: int
 
     @classmethod
@@ -152,19 +156,24 @@ class Vocabulary:
         size = len(counts)
         rank = np.empty(size, np.int64)
         rank[np.lexsort((np.arange(size), -counts))] = np.arange(size)
-        own = min(OWN, size)
-        rest = np.argsort(rank)[own:]
-        mass = np.cumsum(counts[rest] + 0.5)
-        band = np.minimum(BANDS - 1, (mass / mass[-1] * BANDS * (1 - 1e-12)).astype(np.int64)) if len(rest) else rest
-        group = rank.copy()
-        group[rest] = OWN + band
-        total = np.bincount(group, counts + 0.5, CLASSES)
+        band = np.minimum((rank - OWN) // BAND, BANDS)
+        group = np.where(rank < OWN, rank, OWN + band)
+        inner = np.where((rank >= OWN) & (band < BANDS), (rank - OWN) % BAND, 0)
+        soft = counts + 0.5
+        total = np.bincount(group, soft, CLASSES)
+        rest = group == CLASSES - 1
+        inside = np.full((BANDS, BAND), 1e-6)
+        banded = (rank >= OWN) & ~rest
+        inside[band[banded], inner[banded]] = soft[banded]
         embedded = min(EMBEDDED, size)
-        place = np.where(rank < embedded, rank, embedded + np.maximum(0, group - OWN))
-        return cls(place.astype(np.int32), group.astype(np.int32), np.log((counts + 0.5) / total[group]), np.log((total + 0.5) / (total + 0.5).sum()), embedded + BANDS + 1)
+        logs = lambda x, axis=None: np.log(x / x.sum(axis, keepdims=axis is not None)).astype(np.float32)
+        return cls(
+            np.minimum(rank, embedded).astype(np.int32), group.astype(np.int32), inner.astype(np.int32),
+            np.where(rest, np.log(soft / max(total[-1], 0.5)), 0.0), logs(total + 0.5), logs(inside, 1), embedded + 2,
+        )
 
 
-SHAPES = {"q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH), "a": (WIDTH,), "bias": (WINDOW,), "u": (WIDTH, CLASSES), "c": (CLASSES,)}
+SHAPES = {"q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH), "a": (WIDTH,), "bias": (WINDOW,), "u": (WIDTH, CLASSES), "c": (CLASSES,), "w": (BANDS, WIDTH, BAND), "d": (BANDS, BAND)}
 _LAG = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _FUTURE = np.where(_LAG < 0, -np.inf, 0).astype(np.float32)
 
@@ -172,8 +181,9 @@ _FUTURE = np.where(_LAG < 0, -np.inf, 0).astype(np.float32)
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
     p = {n: rng.standard_normal(s).astype(np.float32) * 0.25 for n, s in SHAPES.items()}
-    p |= {"e": rng.standard_normal((vocabulary.embeddings, WIDTH)).astype(np.float32) * 0.5, "bias": -0.1 * np.arange(WINDOW, dtype=np.float32), "a": np.zeros(WIDTH, np.float32), "c": vocabulary.prior.astype(np.float32)}
+    p |= {"e": rng.standard_normal((vocabulary.embeddings, WIDTH)).astype(np.float32) * 0.5, "bias": -0.1 * np.arange(WINDOW, dtype=np.float32), "a": np.zeros(WIDTH, np.float32), "c": vocabulary.prior.copy(), "d": vocabulary.inner_prior.copy()}
     p["u"] *= 0.2
+    p["w"] *= 0.2
     return p
 
 
@@ -205,41 +215,62 @@ def windows(ids: list[np.ndarray], end: int, vocabulary: Vocabulary):
     return inputs, first, nexts.reshape(-1, STEP), count
 
 
+def _bands(group: np.ndarray):
+    """Each band with the places of its ids."""
+    at = np.flatnonzero((group >= OWN) & (group < CLASSES - 1))
+    at = at[np.argsort(group[at], kind="stable")]
+    ends = np.searchsorted(group[at], np.arange(OWN, CLASSES))
+    return [(k, at[ends[k] : ends[k + 1]]) for k in range(BANDS) if ends[k] < ends[k + 1]]
+
+
 class Scorer:
     """The trained model with its products prepared for reading."""
 
     def __init__(self, p: dict[str, np.ndarray], vocabulary: Vocabulary, end: int):
         e = p["e"]
         self.q, self.k, self.v, self.r = e @ p["q"] / np.float32(math.sqrt(WIDTH)), e @ p["k"], e @ p["v"], e @ p["r"] + p["a"]
-        self.u, self.c = p["u"], p["c"]
+        self.u, self.c, self.w, self.d = p["u"], p["c"], p["w"], p["d"]
         self.bias = (p["bias"][np.abs(_LAG)] + _FUTURE).astype(np.float32)
         reach = lambda x: float(np.sqrt((x * x).sum(-1)).max())
-        self.calm = reach(self.q) * reach(self.k) + float(np.abs(p["bias"]).max()) < 60 and float((np.abs(p["u"]).sum(0) + np.abs(p["c"])).max()) < 60
+        self.calm = reach(self.q) * reach(self.k) + float(np.abs(p["bias"]).max()) < 60 and float((np.abs(p["u"]).sum(0) + np.abs(p["c"])).max()) < 60 and float((np.abs(p["w"]).sum(1) + np.abs(p["d"])).max()) < 60
         self.vocabulary, self.end = vocabulary, end
+        self.room: dict[str, np.ndarray] = {}
 
     def logs(self, x: np.ndarray, nexts: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(next) for inputs (windows, WINDOW) and nexts (windows, STEP); 0 where nothing comes."""
-        s = self.q[x] @ self.k[x].transpose(0, 2, 1)
+        s = np.matmul(self.q[x], self.k[x].transpose(0, 2, 1), out=self._room("s", (len(x), WINDOW, WINDOW)))
         s += self.bias
         if not self.calm:
             s -= s.max(-1, keepdims=True)
-        s = s[:, LEAD:]
-        a = np.exp(s)
+        a = np.exp(s, out=s)[:, LEAD:]
         h = a @ self.v[x]
         h /= a.sum(-1, keepdims=True)
         h += self.r[x[:, LEAD:]]
         np.tanh(h, out=h)
-        z = h.reshape(-1, WIDTH) @ self.u
-        z += self.c
+        h = h.reshape(-1, WIDTH)
         flat_next = nexts.ravel()
         known = flat_next >= 0
-        group = self.vocabulary.group[flat_next * known]
+        flat_next = flat_next * known
+        group = self.vocabulary.group[flat_next]
+        out = self._choice(np.matmul(h, self.u, out=self._room("z", (len(h), CLASSES))), self.c, group).astype(np.float64)
+        out += self.vocabulary.share[flat_next]
+        for band, at in _bands(group):
+            out[at] += self._choice(h[at] @ self.w[band], self.d[band], self.vocabulary.inner[flat_next[at]])
+        return (out * known).reshape(nexts.shape)
+
+    def _choice(self, z: np.ndarray, bias: np.ndarray, one: np.ndarray) -> np.ndarray:
+        """Logarithm of the softmax of each row at one place."""
+        z += bias
         if not self.calm:
             z -= z.max(-1, keepdims=True)
-        out = z[np.arange(len(z)), group].astype(np.float64)
-        out -= np.log(np.exp(z, out=z).sum(-1))
-        out += self.vocabulary.share[flat_next * known]
-        return (out * known).reshape(nexts.shape)
+        chosen = z[np.arange(len(z)), one]
+        return chosen - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
+
+    def _room(self, name: str, shape: tuple[int, ...]) -> np.ndarray:
+        """Memory that is used again for every chunk of windows."""
+        if self.room.get(name, np.empty(0)).shape != shape:
+            self.room[name] = np.empty(shape, np.float32)
+        return self.room[name]
 
     def score(self, ids: list[np.ndarray]) -> np.ndarray:
         """log10 probability of each text, its end included."""
@@ -248,13 +279,24 @@ class Scorer:
         inputs, first, nexts, count = windows(ids, self.end, self.vocabulary)
         total = np.empty(len(first))
         span = np.arange(WINDOW)
-        for a in range(0, len(first), 256):
-            total[a : a + 256] = self.logs(inputs[first[a : a + 256, None] + span], nexts[a : a + 256]).sum(1)
+        for a in range(0, len(first), CHUNK):
+            total[a : a + CHUNK] = self.logs(inputs[first[a : a + CHUNK, None] + span], nexts[a : a + CHUNK]).sum(1)
         return np.add.reduceat(total, np.r_[0, np.cumsum(count)[:-1]]) / math.log(10)
 
 
-def gradients(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross entropy of target classes (windows, STEP; -1: none) and its derivatives; the embeddings' as (rows, values) in `e`."""
+def _cross_entropy(z: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """-log softmax of each row at one place, and its derivatives (in place of z)."""
+    z -= z.max(-1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(-1, keepdims=True)
+    at = np.arange(len(z)), one
+    loss = -np.log(np.maximum(z[at], 1e-30))
+    z[at] -= 1
+    return loss, z
+
+
+def gradients(p: dict[str, np.ndarray], x: np.ndarray, nexts: np.ndarray, vocabulary: Vocabulary) -> tuple[float, dict[str, np.ndarray]]:
+    """Mean cross entropy of the next ids (windows, STEP; -1: none) and its derivatives; the embeddings' as (rows, values) in `e`."""
     scale = np.float32(1 / math.sqrt(WIDTH))
     e = p["e"][x]
     q, k, v = e @ p["q"] * scale, e @ p["k"], e @ p["v"]
@@ -264,20 +306,25 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray) -> tu
     a /= a.sum(-1, keepdims=True)
     h = np.tanh(a @ v + e @ p["r"] + p["a"])
     hs = h[:, LEAD:].reshape(-1, WIDTH)
-    z = hs @ p["u"] + p["c"]
-    z -= z.max(-1, keepdims=True)
-    y = np.exp(z)
-    y /= y.sum(-1, keepdims=True)
-    t = target.ravel()
-    known = t >= 0
-    n = max(1, int(known.sum()))
-    at = np.arange(len(t)), t * known
-    loss = -float((np.log(np.maximum(y[at], 1e-30)) * known).sum()) / n
-    y[at] -= 1
-    y *= (known / n).astype(np.float32)[:, None]
-    g = {"u": hs.T @ y, "c": y.sum(0)}
+    known = np.flatnonzero(nexts.ravel() >= 0)
+    ids, own = nexts.ravel()[known], hs[known]
+    n = np.float32(1 / max(1, len(ids)))
+    group = vocabulary.group[ids]
+    losses, y = _cross_entropy(own @ p["u"] + p["c"], group)
+    y *= n
+    loss = float(losses.sum()) * n
+    g = {"u": own.T @ y, "c": y.sum(0), "w": np.zeros_like(p["w"]), "d": np.zeros_like(p["d"])}
+    dh = y @ p["u"].T
+    for band, at in _bands(group):
+        losses, y = _cross_entropy(own[at] @ p["w"][band] + p["d"][band], vocabulary.inner[ids[at]])
+        y *= n
+        loss += float(losses.sum()) * n
+        g["w"][band], g["d"][band] = own[at].T @ y, y.sum(0)
+        dh[at] += y @ p["w"][band].T
+    full = np.zeros_like(hs)
+    full[known] = dh
     dz = np.zeros_like(h)
-    dz[:, LEAD:] = (y @ p["u"].T).reshape(len(x), STEP, WIDTH)
+    dz[:, LEAD:] = full.reshape(len(x), STEP, WIDTH)
     dz *= 1 - h * h
     rows = lambda m: m.reshape(-1, WIDTH)
     g["r"], g["a"] = rows(e).T @ rows(dz), rows(dz).sum(0)
@@ -298,13 +345,14 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, target: np.ndarray) -> tu
 class Trainer:
     """Adagrad from given parameters."""
 
-    def __init__(self, p: dict[str, np.ndarray]):
+    def __init__(self, p: dict[str, np.ndarray], vocabulary: Vocabulary):
+        self.vocabulary = vocabulary
         self.p = {n: x.copy() for n, x in p.items()}
         self.past = {n: np.full(x.shape, 1e-4, np.float32) for n, x in p.items()}
         self.seen = 0
 
-    def step(self, x: np.ndarray, target: np.ndarray) -> float:
-        loss, g = gradients(self.p, x, target)
+    def step(self, x: np.ndarray, nexts: np.ndarray) -> float:
+        loss, g = gradients(self.p, x, nexts, self.vocabulary)
         for n, d in g.items():
             if n == "e":
                 own, d = d
@@ -313,7 +361,7 @@ class Trainer:
             else:
                 self.past[n] += d * d
                 self.p[n] -= RATE * d / np.sqrt(self.past[n])
-        self.seen += int((target >= 0).sum())
+        self.seen += int((nexts >= 0).sum())
         return loss
 
 
@@ -327,17 +375,16 @@ def train(docs: DataFrame, vocabulary: Vocabulary, tokenizer: str, end: int, rou
 
         def run(batches, sent=sent):
             p, vocabulary = sent.value
-            trainer, rng = Trainer(p), np.random.default_rng(k)
+            trainer, rng = Trainer(p, vocabulary), np.random.default_rng(k)
             for batch in batches:
-                ids = [np.frombuffer(x, "<u4") for x in Tokens.load(tokenizer).encode([t or "" for t in batch.column(0).to_pylist()])]
+                ids = Tokens.load(tokenizer).encode([t or "" for t in batch.column(0).to_pylist()])
                 if not ids:
                     continue
                 inputs, first, nexts, _ = windows(ids, end, vocabulary)
-                target = np.where(nexts >= 0, vocabulary.group[np.maximum(nexts, 0)], -1)
                 order = rng.permutation(len(first))
                 for a in range(0, len(order), 64):
                     at = order[a : a + 64]
-                    trainer.step(inputs[first[at, None] + np.arange(WINDOW)], target[at])
+                    trainer.step(inputs[first[at, None] + np.arange(WINDOW)], nexts[at])
             if trainer.seen:
                 for r in pa.RecordBatch.from_pandas(cut_vector(np.append(flat(trainer.p).astype(np.float64) * trainer.seen, trainer.seen)), preserve_index=False).to_struct_array().to_pylist():
                     yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int32()), pa.array([r["part"]], pa.binary())], ["chunk", "part"])
@@ -389,7 +436,7 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, share: float
             known = np.bincount(owner[hit], base.known[at[hit]], len(texts)) + (base.ends > 0)
             logs = np.bincount(owner[hit], base.logs[at[hit]], len(texts)) + end_log
             rare = np.bincount(owner[~hit], minlength=len(texts))
-            ids = [np.frombuffer(x, "<u4") for x in encode([t or "" for t in texts])]
+            ids = encode([t or "" for t in texts])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
