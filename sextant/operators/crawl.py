@@ -17,6 +17,7 @@ from ..functions import html as H
 from ..functions import urls as U
 from . import upsert
 from .lineage import cut
+from .order import numbered
 
 # Fixed values of the focused crawl.
 KEYWORDS = ["sports", "championships", "league", "baseball", "mlb", "wbsc", "pitch", "bat", "base", "run"]
@@ -126,11 +127,8 @@ def enqueued(visited: DataFrame, found: DataFrame, wave: int) -> DataFrame:
 
 def ordered(frontier: DataFrame) -> DataFrame:
     """The frontier with `place`, from 1: by wave, priority, next crawl time if there is one, and URL."""
-    keys = [c for c in ("priority", "next_crawl_time", "url") if c in frontier.columns]
-    in_wave = frontier.withColumn("place_in_wave", F.row_number().over(Window.partitionBy("wave").orderBy(*keys)))
-    sizes = frontier.groupBy("wave").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("wave").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return in_wave.join(F.broadcast(before.select("wave", "before")), "wave").withColumn("place", F.col("before") + F.col("place_in_wave")).drop("before", "place_in_wave")
+    keys = [c for c in ("wave", "priority", "next_crawl_time", "url") if c in frontier.columns]
+    return numbered(frontier, "place", *keys, start=1)
 
 
 def due(frontier: DataFrame, now: Column) -> DataFrame:

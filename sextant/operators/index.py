@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem as stem_of
 from ..functions.text import tokens
+from .order import numbered
 
 #: Distinct terms whose stems may be broadcast, at some 20 bytes each.
 BROADCAST_TERMS = 200_000
@@ -67,19 +68,8 @@ def vocabulary_size(posts: DataFrame, approximate: bool = False) -> DataFrame:
 
 
 def dictionary(values: DataFrame, column: str) -> DataFrame:
-    """(column, id): dense ids from 0 in order of the value, by range partitions; no task sees all values."""
-    spark = values.sparkSession
-    kept = values.select(column).filter(F.col(column).isNotNull()).distinct()
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = kept.repartitionByRange(n, column).withColumn("part", F.spark_partition_id()).persist()
-    sizes = {r["part"]: r["count"] for r in parts.groupBy("part").count().collect()}  # one row for each partition
-    starts, total = [], 0
-    for p in sorted(sizes):
-        starts.append((p, total))
-        total += sizes[p]
-    first = spark.createDataFrame(starts, "part int, first long")
-    own = F.row_number().over(Window.partitionBy("part").orderBy(column)) - 1
-    return parts.withColumn("own", own).join(F.broadcast(first), "part").select(column, (F.col("first") + F.col("own")).alias("id"))
+    """(column, id): dense ids from 0 in order of the value."""
+    return numbered(values.select(column).filter(F.col(column).isNotNull()).distinct(), "id", column)
 
 
 def format_postings(posts: DataFrame, by_tf: bool = False) -> DataFrame:

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..functions import urls as U
 from ..functions import vectors as V
 from ..functions.stem import stem
-from ..operators import assess, crawl, evaluate, graph, index, rank, upsert
+from ..operators import assess, crawl, evaluate, graph, index, rank, similar, upsert
 from ..operators.lineage import scratch
 from ..sources import readers, writers
 from ..streaming import jobs
@@ -499,21 +499,20 @@ def base_set(spark, sf_dir):
 
 @query
 def cosine_search(spark, sf_dir):
-    """Every vector whose id is divisible by 20 against all."""
-    rows = table(spark, sf_dir, "embeddings")
-    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
-    pairs = rows.crossJoin(F.broadcast(asked)).select("query_id", "vec_id", V.cosine(F.col("q"), F.col("embedding")).alias("c"))
-    return pairs.select("query_id", "vec_id", (F.round("c", 6) + 0.0).alias("similarity"))
+    """The ten nearest of all vectors to each whose id is divisible by 20."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    asked = rows.filter("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id")
+    return similar.nearest(asked, rows.withColumnRenamed("vec_id", "row_id"), 10)
 
 
 @query
 def grade_buckets(spark, sf_dir):
-    """Grades of vectors as titles, and the vectors after them as texts, for queries as in cosine_search."""
+    """Grades of vectors as titles, and the vectors after them as texts; the first vector of each label is a query."""
     rows = table(spark, sf_dir, "embeddings")
-    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    asked = rows.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("query"))
     bodies = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("text"))
     docs = rows.select("vec_id", F.col("embedding").alias("title")).join(bodies, "vec_id")
-    return assess.assessed(docs.crossJoin(F.broadcast(asked))).select("query_id", "vec_id", "grade")
+    return assess.assessed(docs.crossJoin(F.broadcast(asked))).select("label", "vec_id", "grade")
 
 
 @query

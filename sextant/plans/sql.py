@@ -271,9 +271,11 @@ i AS (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY md5(src), sr
 n AS (SELECT src AS url FROM i WHERE r <= 10 UNION SELECT dst FROM clean JOIN root ON url = src),
 a AS (SELECT url, 0 AS step FROM root UNION ALL SELECT url, 1 FROM n WHERE url NOT IN (SELECT url FROM root))
 SELECT url FROM a ORDER BY step, url LIMIT 10000""",
-    "cosine_search": f"SELECT q.vec_id AS query_id, e.vec_id AS vec_id, round({_DOT.format('q.embedding', 'e.embedding')}, 6) + 0.0 AS similarity FROM embeddings AS q, embeddings AS e WHERE q.vec_id % 20 = 0",
-    "grade_buckets": f"""SELECT query_id, vec_id, CASE WHEN s > 0.65 THEN 2 WHEN s > 0.35 THEN 1 ELSE 0 END AS grade FROM (SELECT q.vec_id AS query_id, a.vec_id AS vec_id,
-({_DOT.format('q.embedding', 'a.embedding')} + {_DOT.format('q.embedding', 'b.embedding')}) / 2 AS s FROM embeddings AS q, embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1 WHERE q.vec_id % 20 = 0)""",
+    "cosine_search": f"""SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, row_id) AS INTEGER) AS rank
+FROM (SELECT q.vec_id AS query_id, e.vec_id AS row_id, round({_DOT.format('q.embedding', 'e.embedding')}, 6) + 0.0 AS similarity FROM embeddings AS q, embeddings AS e WHERE q.vec_id % 20 = 0) QUALIFY rank <= 10""",
+    "grade_buckets": f"""SELECT label, vec_id, CASE WHEN s > 0.65 THEN 2 WHEN s > 0.35 THEN 1 ELSE 0 END AS grade FROM (SELECT q.label AS label, a.vec_id AS vec_id,
+({_DOT.format('q.query', 'a.embedding')} + {_DOT.format('q.query', 'b.embedding')}) / 2 AS s
+FROM (SELECT label, arg_min(embedding, vec_id) AS query FROM embeddings GROUP BY label) AS q, embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1)""",
     "wrapped_documents": "SELECT 'd' || doc_id AS docno, lang AS title, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents WHERE regexp_matches(text, '\\S') AND lang <> ''",
     "tagged_records": "SELECT 'D' || doc_id AS docno, replace(text, chr(10), ' ') || ' end' AS text FROM documents",
     "assessment_lines": "SELECT 'q1 me ' || doc_id || ' ' || CASE WHEN toxic = 0 THEN CAST(quality AS VARCHAR) ELSE '' END AS value FROM labels",
