@@ -6,15 +6,21 @@ passages, and passages whose cosine to a benchmark passage reaches COSINE are ca
 longest common subsequence of words covers VERBATIM of the benchmark passage, or PARAPHRASE of it with most words of the
 answer present: the item's `answer` where the table has such a column, else its most informative words.
 
-Words are compared lower-cased, letters and digits only, by 32-bit hashes; a word's slot among 65,536 picks its weights.
-Memory is bounded: the latent space by slots and rank, and benchmark passages are searched in blocks of at most about
-BLOCK. Null and empty texts and passages of fewer than MIN_WORDS words match nothing; an empty benchmark matches nothing.
-Equal items are all reported; rows that share a doc_id are each searched, and a document is reported once for each item.
+Words are compared lower-cased, letters and digits only, by their slot among 65,535 hashes. Words in more than COMMON of
+all documents carry no weight in the latent space, unless a benchmark passage has fewer than RARE others. Texts are cut
+into words once: the slots that occur in the benchmark are written to the shared folder, two bytes a word, and counted
+and searched from there. Memory is bounded: the latent space by slots and rank, and benchmark passages are searched in
+blocks of at most about BLOCK.
+
+Null and empty texts and passages of fewer than MIN_WORDS words match nothing; an empty benchmark matches nothing. Equal
+items are all reported; rows that share a doc_id are each searched, and a document is reported once for each item.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import partial
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,36 +28,29 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import cut_vector, hold, small_batches, sum_vectors
 
-SLOTS, RANK, OVERSAMPLE, POWER = 1 << 16, 128, 16, 2
+SLOTS, RANK, OVERSAMPLE, POWER = (1 << 16) - 1, 128, 16, 2
 PASSAGE, HALF, MIN_WORDS = 64, 32, 5
+COMMON, RARE = 0.1, 5
 COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.75, 0.5, 5, 0.6
 BLOCK = 2048
 #: Words whose vectors are gathered at once.
 GATHER = 30_000
 
 
-class _Ids(dict):
-    """32-bit hashes of raw words, letters and digits only; -1 for words without any. Emptied when it gets large."""
-
-    def __missing__(self, raw):
-        if len(self) > 500_000:
-            self.clear()
-        low = raw.lower()
-        word = low if low.isalnum() else "".join(filter(str.isalnum, low))
-        out = self[raw] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & 0xFFFFFFFF if word else -1
-        return out
+def slot(raw: str) -> int:
+    """The slot of a raw word's letters and digits; -1 if it has none."""
+    low = raw.lower()
+    word = low if low.isalnum() else "".join(filter(str.isalnum, low))
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % SLOTS if word else -1
 
 
-_IDS = _Ids()
-
-
-def word_ids(text: str | None) -> np.ndarray:
-    words = (text or "").split()
-    ids = np.fromiter(map(_IDS.__getitem__, words), np.int64, len(words))
-    return ids[ids >= 0]
+def word_slots(text: str | None) -> np.ndarray:
+    found = np.array([slot(w) for w in (text or "").split()], np.int64)
+    return found[found >= 0].astype(np.uint16)
 
 
 def cut(n: int) -> list[tuple[int, int]]:
@@ -62,55 +61,91 @@ def cut(n: int) -> list[tuple[int, int]]:
 
 
 def passages(benchmark: DataFrame) -> DataFrame:
-    """(item_id, part, ids, answer): the word ids of every benchmark passage of MIN_WORDS words or more, as binary."""
+    """(item_id, part, words, answer): the slots of every benchmark passage of MIN_WORDS words or more, as binary."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
 
     def run(batches):
         for pdf in batches:
             rows = []
             for i, text, a in zip(pdf["item_id"].astype("Int64"), pdf["text"], pdf["answer"]):
-                ids = word_ids(text)
-                own = np.unique(word_ids(a)).tobytes()
-                rows += [(i, k, ids[s:e].tobytes(), own) for k, (s, e) in enumerate(cut(len(ids))) if e - s >= MIN_WORDS]
-            yield pd.DataFrame(rows, columns=["item_id", "part", "ids", "answer"]).astype({"item_id": "Int64"})
+                words = word_slots(text)
+                own = np.unique(word_slots(a)).tobytes()
+                rows += [(i, k, words[s:e].tobytes(), own) for k, (s, e) in enumerate(cut(len(words))) if e - s >= MIN_WORDS]
+            yield pd.DataFrame(rows, columns=["item_id", "part", "words", "answer"]).astype({"item_id": "Int64"})
 
     kept = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer"))
-    return kept.mapInPandas(run, "item_id long, part int, ids binary, answer binary")
+    return kept.mapInPandas(run, "item_id long, part int, words binary, answer binary")
 
 
 def slots_of(items: DataFrame) -> np.ndarray:
-    """Sorted slots that occur in any passage: 65,536 at most."""
+    """Sorted slots that occur in any passage."""
 
     def run(batches):
         seen = np.zeros(SLOTS, bool)
         for pdf in batches:
-            for x in pdf["ids"]:
-                seen[np.frombuffer(x, np.int64) & (SLOTS - 1)] = True
+            for x in [*pdf["words"], *pdf["answer"]]:
+                seen[np.frombuffer(x, np.uint16)] = True
         yield pd.DataFrame({"slot": np.flatnonzero(seen)})
 
     return np.array(sorted(r["slot"] for r in items.mapInPandas(run, "slot int").distinct().collect()), np.int64)
 
 
-def document_frequencies(docs: DataFrame, slots: np.ndarray) -> tuple[np.ndarray, int]:
-    """In how many documents each of `slots` occurs, and the number of documents."""
+class _Known(dict):
+    """Raw words' rows among the benchmark's slots: SLOTS for other words, -1 for those without letters. Emptied when it gets large."""
+
+    def __init__(self, row: np.ndarray):
+        self.row = row
+
+    def __missing__(self, raw):
+        if len(self) > 1_000_000:
+            self.clear()
+        s = slot(raw)
+        out = self[raw] = s if s < 0 else int(self.row[s])
+        return out
+
+
+def read(docs: DataFrame, slots: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns `keep` of every row, by position as c0, c1 ..., and `words`: the benchmark's rows in the text, two bytes a word. Written to the shared folder."""
     small_batches(docs.sparkSession)
+    rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").alias("text__"))
+    schema = StructType([*rows.schema.fields[:-1], StructField("words", BinaryType())])
     sent = docs.sparkSession.sparkContext.broadcast(_rows(slots))
 
     def run(batches):
-        row = sent.value
-        counts = np.zeros(int(row.max()) + 2, np.int64)
+        known = _Known(sent.value)
+        for batch in batches:
+            split = [(t or "").split() for t in batch.column(len(keep)).to_pylist()]
+            lengths = np.fromiter(map(len, split), np.int64, len(split))
+            found = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int32, int(lengths.sum()))
+            parts = [x[x >= 0].astype(np.uint16).tobytes() for x in np.split(found, np.cumsum(lengths)[:-1])] if split else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(parts, pa.binary())], schema.names)
+
+    return hold(rows.mapInArrow(run, schema), "words")
+
+
+def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all texts, one after the other, and the texts' lengths."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) // 2
+    return np.frombuffer(b"".join(words), np.uint16), lengths
+
+
+def document_frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
+    """In how many of the read documents each of `size` rows occurs, and the number of documents."""
+
+    def run(batches):
+        counts = np.zeros(SLOTS + 1, np.int64)
         n = 0
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            n += len(texts)
-            for t in texts:
-                found = row[word_ids(t) & (SLOTS - 1)]
-                counts[np.unique(found[found >= 0])] += 1
+            rows, lengths = _flat(batch.column(0).to_pylist())
+            n += len(lengths)
+            owner = np.repeat(np.arange(len(lengths)), lengths)
+            once = np.unique((owner << 16 | rows)[rows < SLOTS]) & 0xFFFF
+            counts += np.bincount(once, minlength=SLOTS + 1)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], n), pa.int64())], ["row", "n"])
 
-    found = docs.select("text").mapInArrow(run, "row int, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros(len(slots))
+    found = docs.select("words").mapInArrow(run, "row int, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(size)
     for r in found:
         if r["row"] >= 0:
             out[r["row"]] = r["n"]
@@ -118,22 +153,42 @@ def document_frequencies(docs: DataFrame, slots: np.ndarray) -> tuple[np.ndarray
 
 
 def _rows(slots: np.ndarray) -> np.ndarray:
-    """Row of each slot in the tables, -1 for slots of no passage."""
-    row = np.full(SLOTS, -1, np.int32)
+    """Row of each slot in the tables, SLOTS for slots of no passage."""
+    row = np.full(SLOTS, SLOTS, np.int32)
     row[slots] = np.arange(len(slots))
     return row
 
 
+def weights_of(items: DataFrame, slots: np.ndarray, idf: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """idf, but 0 for common words that no passage needs."""
+
+    def run(batches):
+        row, common = sent.value
+        needed = np.zeros(len(common), bool)
+        for pdf in batches:
+            for x in pdf["words"]:
+                at = np.unique(row[np.frombuffer(x, np.uint16)])
+                if (~common[at]).sum() < RARE:
+                    needed[at] = True
+        yield pd.DataFrame({"row": np.flatnonzero(needed)})
+
+    sent = items.sparkSession.sparkContext.broadcast((_rows(slots), common))
+    needed = [r["row"] for r in items.mapInPandas(run, "row int").distinct().collect()]
+    out = np.where(common, 0.0, idf)
+    out[needed] = idf[needed]
+    return out
+
+
 def _gram(items: DataFrame, row: np.ndarray, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
     """A' A x for the TF-IDF matrix A of all passages (rows of length 1): the partitions' partial products are summed in parallel."""
     sent = items.sparkSession.sparkContext.broadcast((row, idf, x))
 
-    def partial(batches):
+    def product(batches):
         row, idf, x = sent.value
         out = np.zeros(x.shape)
         for pdf in batches:
-            for ids in pdf["ids"]:
-                at, tf = np.unique(row[np.frombuffer(ids, np.int64) & (SLOTS - 1)], return_counts=True)
+            for words in pdf["words"]:
+                at, tf = np.unique(row[np.frombuffer(words, np.uint16)], return_counts=True)
                 a = tf * idf[at]
                 norm = float(np.sqrt(a @ a))
                 if norm:
@@ -141,7 +196,7 @@ def _gram(items: DataFrame, row: np.ndarray, idf: np.ndarray, x: np.ndarray) ->
                     out[at] += a[:, None] * (a @ x[at])
         yield cut_vector(out.ravel())
 
-    return sum_vectors(items.select("ids").mapInPandas(partial, "chunk int, part binary"), x.size).reshape(x.shape)
+    return sum_vectors(items.select("words").mapInPandas(product, "chunk int, part binary"), x.size).reshape(x.shape)
 
 
 def latent_space(items: DataFrame, slots: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
@@ -170,8 +225,8 @@ def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
 class Model:
     """What the search of one block of passages needs."""
 
-    row: np.ndarray
     weights: np.ndarray  # idf times the singular vectors
+    heavy: np.ndarray  # whether a row has weight; the last place stands for words of no passage
     items: list
     vectors: np.ndarray
     masks: list
@@ -179,53 +234,49 @@ class Model:
     answers: list
 
     @classmethod
-    def of(cls, rows: list, slots: np.ndarray, idf: np.ndarray, space: np.ndarray) -> Model:
-        row, weights = _rows(slots), (space * idf[:, None]).astype(np.float32)
+    def of(cls, found: list, slots: np.ndarray, idf: np.ndarray, gain: np.ndarray, space: np.ndarray) -> Model:
+        row, weights = _rows(slots), (space * gain[:, None]).astype(np.float32)
+        heavy = np.zeros(SLOTS + 1, bool)
+        heavy[: len(gain)] = gain > 0
         items, vectors, masks, sizes, answers = [], [], [], [], []
-        for r in rows:
-            ids = np.frombuffer(r["ids"], np.int64)
-            at = row[ids & (SLOTS - 1)]
+        for r in found:
+            at = row[np.frombuffer(r["words"], np.uint16)]
             own: dict[int, int] = {}
-            for k, x in enumerate(ids.tolist()):
+            for k, x in enumerate(at.tolist()):
                 own[x] = own.get(x, 0) | 1 << k
-            answer = set(np.frombuffer(r["answer"], np.int64).tolist())
-            if not answer:
-                rare = sorted(own, key=lambda x: (-idf[row[x & (SLOTS - 1)]], x))
-                answer = set(rare[:ANSWER_WORDS])
+            answer = set(row[np.frombuffer(r["answer"], np.uint16)].tolist())
             items.append(r["item_id"])
             vectors.append(weights[at].sum(0))
             masks.append(own)
-            sizes.append(len(ids))
-            answers.append(answer)
-        v = np.array(vectors, np.float32).reshape(len(rows), -1)
+            sizes.append(len(at))
+            answers.append(answer or set(sorted(own, key=lambda x: (-idf[x], x))[:ANSWER_WORDS]))
+        v = np.array(vectors, np.float32).reshape(len(found), -1)
         norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return cls(row, weights, items, v / np.where(norm > 0, norm, 1), masks, sizes, answers)
+        return cls(weights, heavy, items, v / np.where(norm > 0, norm, 1), masks, sizes, answers)
 
-    def folded(self, ids: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
+    def folded(self, rows: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
         """Sum of the words' vectors in each of `parts`, for words in order of their part."""
         out = np.zeros((parts, self.weights.shape[1]), np.float32)
-        at = self.row[ids & (SLOTS - 1)]
-        known = np.flatnonzero(at >= 0)
-        at, part = at[known], part[known]
+        known = np.flatnonzero(self.heavy[rows])
+        at, part = rows[known], part[known]
         for a in range(0, len(at), GATHER):
             own = part[a : a + GATHER]
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.empty(0, np.int64)
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             out[own[starts]] += np.add.reduceat(self.weights[at[a : a + GATHER]], starts, axis=0)
         return out
 
-    def search(self, texts: list[str | None]) -> list[dict[int, tuple[float, float, float]]]:
-        """For each text its leaks: passage number -> (share of the subsequence, share of the answer, cosine)."""
-        docs = [word_ids(t) for t in texts]
-        lengths = np.array([len(d) for d in docs], np.int64)
+    def search(self, words: list[bytes]) -> list[dict[int, tuple[float, float, float]]]:
+        """For each read text its leaks: passage number -> (share of the subsequence, share of the answer, cosine)."""
+        rows, lengths = _flat(words)
         halves = -(-lengths // HALF)
         first = np.r_[0, np.cumsum(halves)]
-        found: list[dict[int, tuple[float, float, float]]] = [{} for _ in docs]
+        found: list[dict[int, tuple[float, float, float]]] = [{} for _ in words]
         if not first[-1] or not self.items:
             return found
-        ids = np.concatenate(docs)
-        place = np.arange(len(ids)) - np.repeat(np.r_[0, np.cumsum(lengths)[:-1]], lengths)
-        sums = self.folded(ids, np.repeat(first[:-1], lengths) + place // HALF, int(first[-1]))
-        owner = np.repeat(np.arange(len(docs)), halves)
+        begin = np.r_[0, np.cumsum(lengths)]
+        place = np.arange(len(rows)) - np.repeat(begin[:-1], lengths)
+        sums = self.folded(rows, np.repeat(first[:-1], lengths) + place // HALF, int(first[-1]))
+        owner = np.repeat(np.arange(len(words)), halves)
         both = sums.copy()
         same = np.flatnonzero(owner[1:] == owner[:-1])
         both[same] += sums[same + 1]
@@ -236,53 +287,53 @@ class Model:
             for p, j in zip(*np.nonzero(near >= COSINE)):
                 d = int(owner[a + p])
                 b = int(a + p - first[d])
-                words = docs[d][max(0, (b - 1) * HALF) : (b + 3) * HALF].tolist()
-                share = lcs(self.masks[j], self.sizes[j], words) / self.sizes[j]
+                near_by = rows[begin[d] + max(0, (b - 1) * HALF) : min(begin[d] + (b + 3) * HALF, begin[d + 1])].tolist()
+                share = lcs(self.masks[j], self.sizes[j], near_by) / self.sizes[j]
                 if share < PARAPHRASE or share <= found[d].get(j, (0,))[0]:
                     continue
-                answer = len(self.answers[j].intersection(words)) / len(self.answers[j])
+                answer = len(self.answers[j].intersection(near_by)) / len(self.answers[j])
                 if share >= VERBATIM or answer >= ANSWER_SHARE:
                     found[d][int(j)] = share, answer, float(near[p, j])
         return found
 
 
-def models(docs: DataFrame, benchmark: DataFrame):
-    """A model for each block of benchmark passages; one SVD and one count of document frequencies serve all of them."""
+def models(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> tuple[DataFrame, list]:
+    """The read documents, and for each block of benchmark passages a call that makes its model. One SVD and one count of document frequencies serve all blocks."""
     items = hold(passages(benchmark), "passages")
     slots = slots_of(items)
     if not len(slots):
-        return
-    df, n = document_frequencies(docs, slots)
+        return docs, []
+    rows = read(docs, slots, keep)
+    df, n = document_frequencies(rows, len(slots))
     idf = np.log((n + 1) / (df + 0.5))
-    idf = np.maximum(idf, 0.01)
-    space = latent_space(items, slots, idf)
+    gain = weights_of(items, slots, idf, df > COMMON * n)
+    gain = np.maximum(gain, np.where(gain > 0, 0.01, 0))
+    space = latent_space(items, slots, gain)
     blocks = max(1, -(-items.count() // BLOCK))
-    for b in range(blocks):
-        yield Model.of(items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == b).collect(), slots, idf, space)
+
+    def block(b):
+        return Model.of(items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == b).collect(), slots, idf, gain, space)
+
+    return rows, [partial(block, b) for b in range(blocks)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, lcs_share, answer_share, cosine: one row for each document and benchmark item that leaks into it."""
     spark = docs.sparkSession
-    small_batches(spark)
     schema = "doc_id long, item_id long, lcs_share double, answer_share double, cosine double"
-    out = None
-    for model in models(docs, benchmark):
-        sent = spark.sparkContext.broadcast(model)
+    rows, blocks = models(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), benchmark, ["doc_id"])
+    out = spark.createDataFrame([], schema)
+    for make in blocks:
+        sent = spark.sparkContext.broadcast(make())
 
         def run(batches, sent=sent):
             m = sent.value
             for batch in batches:
-                rows = []
-                for i, own in zip(batch.column(0).to_pylist(), m.search(batch.column(1).to_pylist())):
-                    rows += [(i, m.items[j], *v) for j, v in own.items()]
-                columns = list(zip(*rows)) if rows else [()] * 5
+                found = [(i, m.items[j], *v) for i, own in zip(batch.column(0).to_pylist(), m.search(batch.column(1).to_pylist())) for j, v in own.items()]
+                columns = list(zip(*found)) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3)], ["doc_id", "item_id", "lcs_share", "answer_share", "cosine"])
 
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
-        return spark.createDataFrame([], schema)
+        out = out.unionByName(rows.select("c0", "words").mapInArrow(run, schema))
     best = F.max(F.struct("lcs_share", "answer_share", "cosine")).alias("m")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "m.*")
 
@@ -290,16 +341,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, into which no benchmark item leaks. No join: rows are dropped where they are searched."""
     spark = docs.sparkSession
-    small_batches(spark)
-    out = docs
-    text = docs.columns.index("text")
-    for model in models(docs, benchmark):
-        sent = spark.sparkContext.broadcast(model)
+    rows, blocks = models(docs, benchmark, docs.columns)
+    if not blocks:
+        return docs
+    for make in blocks:
+        sent = spark.sparkContext.broadcast(make())
 
         def run(batches, sent=sent):
             for batch in batches:
-                own = sent.value.search(batch.column(text).to_pylist())
+                own = sent.value.search(batch.column(batch.num_columns - 1).to_pylist())
                 yield batch.filter(pa.array([not x for x in own], pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
-    return out
+        rows = rows.mapInArrow(run, rows.schema)
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
