@@ -248,8 +248,8 @@ def _judged(spark, sf_dir, trec=False):
     return evaluate.judged(_run(spark, sf_dir), _judgements(spark, sf_dir), trec)
 
 
-def _rounded(df):
-    return df.select(*((F.round(c, 6) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+def _rounded(df, digits=9):
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
 
 
 @query
@@ -366,7 +366,7 @@ def robots_permission(spark, sf_dir):
 @query
 def politeness_delay(spark, sf_dir):
     requests = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("domain"), F.col("ts").alias("at"))
-    return _rounded(crawl.politeness(requests, delay=WAIT).select("event_id", "wait"))
+    return _rounded(crawl.politeness(requests, delay=WAIT).select("event_id", "wait"), 6)
 
 
 @query
@@ -473,7 +473,7 @@ def pagerank_top(spark, sf_dir):
 @query
 def pagerank_perplexity(spark, sf_dir):
     vertices, edges = _clean_graph(spark, sf_dir)
-    return _rounded(graph.perplexity(graph.pagerank(vertices, edges, iterations=STEPS)))
+    return _rounded(graph.perplexity(graph.pagerank(vertices, edges, iterations=STEPS)), 6)
 
 
 @query
@@ -564,7 +564,7 @@ def stream_politeness(spark, sf_dir):
     stream = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/events.parquet*")
     out = jobs.politeness_stream(stream.select(F.col("user_id").cast("string").alias("domain"), F.col("ts").alias("at")), WAIT)
     out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
-    return _rounded(spark.read.parquet(f"{folder}/out").select("domain", "wait"))
+    return _rounded(spark.read.parquet(f"{folder}/out").select("domain", "wait"), 6)
 
 
 @query

@@ -216,22 +216,22 @@ SELECT query_id, term, count(*) AS qtf FROM u WHERE term NOT IN (SELECT term FRO
     "candidate_union": f"WITH {_CORPUS}, {_ASKED} SELECT DISTINCT query_id, doc_id FROM q JOIN post USING (term)",
     "term_lookup": f"WITH {_CORPUS}, {_ASKED} SELECT term, doc_id, tf FROM post WHERE term IN (SELECT term FROM q)",
     "summed_hits": f"WITH {_CORPUS}, {_ASKED} SELECT query_id, doc_id, CAST(sum(tf) AS BIGINT) AS score FROM q JOIN post USING (term) GROUP BY query_id, doc_id",
-    "eval_precision_recall": f"WITH {_judged(False)}, {_cuts((5, 10, 20, 50, 100))} SELECT query_id, k, round(p, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 6) AS f1 FROM (SELECT *, {_PRF} FROM c)",
-    "eval_precision_trec": f"WITH {_judged(True)}, {_cuts((5, 10, 15, 20, 30, 100, 200, 500, 1000))} SELECT query_id, k, round(got / k, 6) AS precision FROM c",
-    "eval_average_precision": f"WITH {_judged(False)} SELECT query_id, round({_AP.format('')}, 6) AS average_precision FROM j GROUP BY query_id",
-    "eval_average_precision_trec": f"WITH {_judged(True)} SELECT query_id, round({_AP.format('* rel')}, 6) AS average_precision FROM j GROUP BY query_id",
-    "eval_r_precision": f"WITH {_judged(False)} SELECT query_id, round(v, 6) AS r_precision FROM ({_RP})",
+    "eval_precision_recall": f"WITH {_judged(False)}, {_cuts((5, 10, 20, 50, 100))} SELECT query_id, k, round(p, 9) AS precision, round(rc, 9) AS recall, round(CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END, 9) AS f1 FROM (SELECT *, {_PRF} FROM c)",
+    "eval_precision_trec": f"WITH {_judged(True)}, {_cuts((5, 10, 15, 20, 30, 100, 200, 500, 1000))} SELECT query_id, k, round(got / k, 9) AS precision FROM c",
+    "eval_average_precision": f"WITH {_judged(False)} SELECT query_id, round({_AP.format('')}, 9) AS average_precision FROM j GROUP BY query_id",
+    "eval_average_precision_trec": f"WITH {_judged(True)} SELECT query_id, round({_AP.format('* rel')}, 9) AS average_precision FROM j GROUP BY query_id",
+    "eval_r_precision": f"WITH {_judged(False)} SELECT query_id, round(v, 9) AS r_precision FROM ({_RP})",
     "eval_interpolated": f"""WITH {_judged(True)},
 b AS (SELECT query_id, rel_ret / num_rel AS recall, max(rel_ret / rank) OVER (PARTITION BY query_id ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS best FROM j)
-SELECT query_id, CAST(i AS INTEGER) AS tenths, round(coalesce(max(CASE WHEN recall >= i / 10.0 THEN best END), 0), 6) AS precision FROM b, range(0, 11) AS x(i) GROUP BY query_id, i""",
-    "eval_ndcg": f"WITH {_judged(False)}, {_NDCG} SELECT query_id, k, round(ndcg, 6) AS ndcg FROM n",
+SELECT query_id, CAST(i AS INTEGER) AS tenths, round(coalesce(max(CASE WHEN recall >= i / 10.0 THEN best END), 0), 9) AS precision FROM b, range(0, 11) AS x(i) GROUP BY query_id, i""",
+    "eval_ndcg": f"WITH {_judged(False)}, {_NDCG} SELECT query_id, k, round(ndcg, 9) AS ndcg FROM n",
     "eval_macro": f"""WITH {_judged(False)}, {_cuts((5, 10, 20, 50, 100))}, {_NDCG}, m AS (
 SELECT 'average_precision' AS metric, -1 AS k, v AS value FROM (SELECT {_AP.format('')} AS v FROM j GROUP BY query_id)
 UNION ALL SELECT 'r_precision', -1, v FROM ({_RP})
 UNION ALL SELECT 'precision', k, got / k FROM c UNION ALL SELECT 'recall', k, got / num_rel FROM c
 UNION ALL SELECT 'f1', k, CASE WHEN p + rc > 0 THEN 2 * p * rc / (p + rc) ELSE 0 END FROM (SELECT *, {_PRF} FROM c)
 UNION ALL SELECT 'ndcg', k, ndcg FROM n)
-SELECT metric, k, round(avg(value), 6) AS value, count(*) AS queries FROM m GROUP BY metric, k""",
+SELECT metric, k, round(avg(value), 9) AS value, count(*) AS queries FROM m GROUP BY metric, k""",
     "eval_counts": f"WITH {_judged(True)} SELECT count(*) AS queries, CAST(sum(a) AS BIGINT) AS retrieved, sum(b) AS relevant, sum(d) AS rel_ret FROM (SELECT count(*) AS a, max(num_rel) AS b, sum(rel) AS d FROM j GROUP BY query_id)",
     "url_canonical": f"SELECT page_id, {_canonical('url')} AS canonical, {_host('url')} AS domain, md5(url) AS hash, regexp_matches(url, '^[A-Za-z][A-Za-z0-9+.\\-]*://[^/?#]') AND length(url) <= 512 AS valid FROM pages",
     "url_keywords": "SELECT doc_id, source || ' x|a ' || lang AS found FROM documents",
