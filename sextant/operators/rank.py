@@ -16,6 +16,8 @@ from ..functions.text import tokens
 
 #: Rows of query terms that may be broadcast.
 BROADCAST_ROWS = 500_000
+#: Distinct query terms that may be part of a plan.
+LITERAL_TERMS = 20_000
 K1, B, K2, LAMBDA, LEAST = 1.2, 0.75, 100.0, 0.21, 0.1
 DIGITS = 6
 
@@ -82,13 +84,19 @@ def matching_postings(documents: DataFrame, terms: DataFrame, id_col: str = "doc
     return rows.join(_small(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
 
 
+def _numbers(sizes: DataFrame) -> DataFrame:
+    """One row from documents' lengths n; the vocabulary is left open."""
+    sums = sizes.filter("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
+    m = F.try_divide(F.col("tokens").cast("double"), F.col("docs"))
+    return sums.select("docs", "tokens", m.alias("mean_len"), F.bround(m).cast("long").alias("rounded_len"), F.lit(None).cast("long").alias("vocabulary"))
+
+
 def corpus_numbers(documents: DataFrame, text_col: str = "text", stop: Iterable[str] | None = None, with_vocabulary: bool = True) -> DataFrame:
     """The one row of `index.corpus_stats`, from texts: lengths need no shuffle, the vocabulary one of distinct terms."""
-    sizes = documents.select(F.size(tokens(F.col(text_col), stop)).alias("n")).filter("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))
-    m = F.try_divide(F.col("tokens").cast("double"), F.col("docs"))
-    one = sizes.select("docs", "tokens", m.alias("mean_len"), F.bround(m).cast("long").alias("rounded_len"))
+    one = _numbers(documents.select(F.size(tokens(F.col(text_col), stop)).alias("n")))
     if not with_vocabulary:
-        return one.withColumn("vocabulary", F.lit(None).cast("long"))
+        return one
+    one = one.drop("vocabulary")
     distinct = documents.select(F.explode(F.array_distinct(tokens(F.col(text_col), stop))).alias("t")).distinct().agg(F.count("*").alias("vocabulary"))
     return one.crossJoin(distinct)
 
@@ -124,12 +132,25 @@ def top(scored: DataFrame, model: str, k: int = 1000) -> DataFrame:
 
 
 def search(documents: DataFrame, queries: DataFrame, models: Iterable[str] = ("bm25",), stop: Iterable[str] | None = None, rounded_mean: bool = False) -> DataFrame:
-    """`scores` without an index: one pass gathers the postings of the queries' terms, another the corpus numbers."""
+    """`scores` without an index. Texts are cut into tokens once: a document's length and its tokens of any query are kept.
+
+    Up to LITERAL_TERMS terms are a hash set in the plan; more are matched by a join.
+    """
     models = list(models)
     wanted = query_terms(queries, stop=stop).persist()
-    posts = matching_postings(documents, wanted, stop=stop).persist()
+    literal = [r["term"] for r in wanted.select("term").distinct().limit(LITERAL_TERMS + 1).collect()]
+    every = documents.select("doc_id", tokens(F.col("text"), stop).alias("all"))
+    if len(literal) <= LITERAL_TERMS:
+        known = "t in ({})".format(", ".join(f"'{t}'" for t in literal)) if literal else "false"  # tokens hold no quotes; one string is parsed faster than many literals are made
+        read = every.select("doc_id", F.size("all").alias("doc_len"), F.expr(f"filter(all, t -> {known})").alias("hits")).persist()
+        posts = read.select("doc_id", "doc_len", F.explode("hits").alias("term")).groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf")).persist()
+        corpus = _numbers(read.select(F.col("doc_len").alias("n")))
+    else:
+        posts = matching_postings(documents, wanted, stop=stop).persist()
+        corpus = corpus_numbers(documents, stop=stop, with_vocabulary=False)
     terms = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
-    corpus = corpus_numbers(documents, stop=stop, with_vocabulary=any(m.startswith("laplace") for m in models))
+    if any(m.startswith("laplace") for m in models):
+        corpus = corpus.drop("vocabulary").crossJoin(every.select(F.explode(F.array_distinct("all")).alias("t")).distinct().agg(F.count("*").alias("vocabulary")))
     return scores(wanted, posts, terms, corpus, models, rounded_mean)
 
 
