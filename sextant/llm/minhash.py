@@ -4,10 +4,11 @@ A document is its set of word shingles. One permutation of the 32-bit universe s
 circularly shifted k times, gives coordinate k of the signature (the least image). Bands of coordinates that agree make
 candidates, and a candidate is a link only if the exact Jaccard similarity of the full sets reaches the threshold.
 
-Equal sets are one class from the start, so groups of copies cost one row each. Within a band's bucket, members are
-first compared to the bucket's smallest one; components are formed; then only members of different components are
-compared with each other, in blocks, and only if their signatures don't rule the similarity out by seven deviations.
-So no bucket makes all its pairs, and none is cut short. With 40 bands of 5, a pair at 0.8 is missed with chance 1e-7.
+Equal sets are one class from the start, so groups of copies cost one row each. A member is first compared to the
+smallest one of all its buckets, then, if it stayed apart, to each bucket's smallest one; components are formed each
+time. Last, members of different components in one bucket are compared with each other, in blocks, and only if their
+signatures don't rule the similarity out by DEVIATIONS. So no bucket makes all its pairs, and none is cut short. With 40
+bands of 5, a pair at 0.8 is missed with chance 1e-7, and ruled out by its signatures with one of 1e-7.
 
 Null texts and texts without words have the empty set, which is linked with nothing; a text with fewer words than a
 shingle is one shingle. Rows that share a doc_id are separate rows of the same document.
@@ -30,8 +31,12 @@ BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
 #: Removed ids that may be broadcast, at 8 bytes each.
 BROADCAST_IDS = 1_000_000
+DEVIATIONS = 5.5
+#: By how much equal 32-bit hashes may change the size of an intersection, at most.
+SLACK = 2
+_LOW = (1 << 31) - 1
 #: Members of a bucket that one task compares with as many others.
-BLOCK = 2000
+BLOCK = 1000
 _U = np.uint64
 _M1, _M2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
 
@@ -131,18 +136,19 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, set) of the wanted ids: the full sorted shingle hashes."""
+    """(doc_id, set, small) of the wanted ids: the full sorted shingle hashes, and their 32-bit ones."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set": [shingles(t, width).tobytes() for t in pdf["text"]]})
+            full = [shingles(t, width) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set": [s.tobytes() for s in full], "small": [np.unique(s.astype(np.uint32)).tobytes() for s in full]})
 
-    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, set binary")
+    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, set binary, small binary")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of (a, b) those whose full sets meet 100 * intersection >= percent * union."""
-    joined = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    joined = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), "a")
 
     def run(batches):
         for pdf in batches:
@@ -157,36 +163,67 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocked_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket whose sizes and signatures allow the similarity.
+    """Pairs that link different components in a bucket, as far as 32-bit sets tell, likely ones first; none between what earlier pairs have linked.
 
     A bucket of m members is dealt into blocks of about BLOCK; each pair of blocks is one task's work, so memory is
-    bounded however large the bucket is.
+    bounded however large the bucket is. Sizes and signatures rule most pairs out; the rest are compared by their sets
+    on the spot, so only links leave the task. A pair is looked at in the first band that both are in.
     """
     sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     dealt = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "root", "n", "sig")
+    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "root", "n", "sig", "small", F.transform("bands", lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int")).alias("bands"))
     j = percent / 100
-    least = SIZE * (j - 7 * (j * (1 - j) / SIZE) ** 0.5) if 0 < j < 1 else SIZE * j
+    least = SIZE * (j - DEVIATIONS * (j * (1 - j) / SIZE) ** 0.5) if 0 < j < 1 else SIZE * j
 
     def run(pdf):
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
         sig = np.stack([np.frombuffer(x, "<u2") for x in pdf["sig"]])
-        rep, root, n, own = (pdf[c].to_numpy() for c in ("rep", "root", "n", "own"))
+        sets = [np.frombuffer(x, np.uint32) for x in pdf["small"]]
+        rep, n, own = (pdf[c].to_numpy() for c in ("rep", "n", "own"))
+        root = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
+        bands = np.stack(pdf["bands"].to_list())
+        before = bands[:, : int(np.flatnonzero(bands[0] == int(pdf["band"].iloc[0]) & _LOW)[0])]
         a, b = [], []
         for i in np.flatnonzero(own == lo):
             ok = (root != root[i]) & (own == hi) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if lo == hi:
                 ok &= rep > rep[i]
             at = np.flatnonzero(ok)
-            at = at[(sig[at] == sig[i]).sum(1) >= least]
-            a += np.minimum(rep[at], rep[i]).tolist()
-            b += np.maximum(rep[at], rep[i]).tolist()
+            count = (sig[at] == sig[i]).sum(1)
+            near = np.flatnonzero((count >= least) & ~(before[at] == before[i]).any(1))
+            for k in at[near[np.argsort(-count[near], kind="stable")]].tolist():
+                if root[k] != root[i]:
+                    common, total = len(np.intersect1d(sets[i], sets[k], assume_unique=True)), int(n[i] + n[k])
+                    if 100 * (common + SLACK) >= percent * (total - common - SLACK):
+                        a.append(min(rep[i], rep[k]))
+                        b.append(max(rep[i], rep[k]))
+                        if 100 * (common - SLACK) >= percent * (total - common + SLACK):  # a link for certain
+                            root[root == root[k]] = root[i]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return dealt.groupBy("band", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links: only the roots that they join are worked on."""
+    ends = links
+    for c in ("a", "b"):
+        own = roots.toDF(c, f"root_{c}")
+        ends = ends.join(own, c, "left").withColumn(f"to_{c}", F.coalesce(f"root_{c}", c))
+    ends = ends.select(F.col("to_a").alias("a"), F.col("to_b").alias("b")).filter("a <> b").distinct()
+    more = hold(components(ends), "joined")
+    moved = roots.join(more.toDF("root", "new"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return hold(moved.unionByName(more.join(roots.select("node"), "node", "left_anti")), "roots")
+
+
+def _apart(banded: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members, with their root, of the buckets that more than one component is in."""
+    rooted = banded.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    mixed = rooted.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("band")
+    return rooted.join(mixed, "band", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of (doc_id, text).
 
@@ -202,16 +239,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     flat = reps.select("rep", F.explode("bands").alias("band"))
     shared = flat.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("band", "least")
     banded = hold(flat.join(shared, "band"), "bands")
-    stars = hold(banded.filter("rep <> least").select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
     sets = hold(_sets(docs, banded.select(F.col("rep").alias("doc_id")).distinct(), width), "sets")
-    links = hold(_verified(stars, sets, percent), "links")
-    roots = components(links)
-    rooted = banded.join(roots.toDF("rep", "root"), "rep", "left").select("band", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = rooted.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("band")
-    open_ = rooted.join(mixed, "band", "left_semi").join(reps.select("rep", "n", "sig"), "rep")
-    more = hold(_blocked_pairs(open_, percent).join(stars, ["a", "b"], "left_anti"), "pairs")
+    # one link a member, to the smallest of all its buckets, joins most of a group; what it leaves apart is compared to each bucket's smallest
+    stars = hold(banded.filter("rep <> least").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b")), "stars")
+    roots = hold(components(hold(_verified(stars, sets, percent), "links")), "roots")
+    rooted = _apart(banded, roots)
+    rest = rooted.select("rep", "least", "root").join(roots.toDF("least", "other"), "least", "left").filter(F.col("root") != F.coalesce("other", "least"))
+    rest = hold(rest.select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "stars")
+    if not rest.isEmpty():
+        roots = _joined(roots, _verified(rest, sets, percent))
+    open_ = _apart(banded, roots).select("band", "rep", "root").join(reps.select("rep", "n", "sig", "bands"), "rep")
+    more = hold(_blocked_pairs(open_.join(sets.select(F.col("doc_id").alias("rep"), "small"), "rep"), percent), "pairs")
     if not more.isEmpty():
-        roots = components(links.unionByName(_verified(more, sets, percent)))
+        roots = _joined(roots, _verified(more, sets, percent))
     out = members.join(roots.toDF("rep", "root"), "rep", "left")
     component = F.coalesce("root", "rep", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
