@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import json
 import zlib
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -41,7 +41,7 @@ class Tokens:
     whole texts. A text with the string of a special token is encoded whole, too.
     """
 
-    MOST = 1_500_000
+    MOST = 800_000
     _own: dict[str, Tokens] = {}
 
     def __init__(self, path: str):
@@ -82,8 +82,7 @@ class Tokens:
         sizes = np.fromiter(map(len, each), np.int64, len(each))
         return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
 
-    def _learn(self, words: set[str]) -> None:
-        new = words.difference(self.known)
+    def _learn(self, new: set[str]) -> None:
         low = {w.lower() for w in new}
         unseen = low.difference(self.known)
         letters = [w for w in unseen if w.isalpha()]
@@ -103,14 +102,18 @@ class Tokens:
         split = [t.replace("\n", " ").split(" ") if p else t.lower().split() for t, p in zip(texts, plain)]
         if len(self.known) > self.MOST:
             self._forget()
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        raw = list(chain.from_iterable(split))
+        words = np.fromiter(map(self.known.get, raw, repeat(-1)), np.int32, len(raw))
+        new = np.flatnonzero(words < 0)
+        unknown = [raw[k] for k in new.tolist()]
         if self.by_word:
-            self._learn(set(chain.from_iterable(split)))
+            self._learn(set(unknown))
         else:  # numbers for the index alone
-            for w in set(chain.from_iterable(split)).difference(self.known):
+            for w in dict.fromkeys(unknown):
                 self.known[w] = len(self.known)
             self.first = np.zeros(len(self.known) + 1, np.int64)
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        words = np.fromiter(map(self.known.__getitem__, chain.from_iterable(split)), np.int32, int(lengths.sum()))
+        words[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int32, len(unknown))
         ends = np.cumsum(lengths)
         size = self.first[words + 1] - self.first[words]
         after = np.cumsum(size)
@@ -134,10 +137,11 @@ class Index:
     def __init__(self, words: list[np.ndarray]):
         n = len(words)
         sizes = np.array([len(w) for w in words], np.int64)
-        every, term = np.unique(np.concatenate(words), return_inverse=True)
-        keys, tf = np.unique(np.repeat(np.arange(n), sizes) * max(1, len(every)) + term, return_counts=True)
-        doc, term = np.divmod(keys, max(1, len(every)))
-        df = np.bincount(term, minlength=len(every))
+        term = np.concatenate(words).astype(np.int64)
+        most = int(term.max(initial=0)) + 1
+        keys, tf = np.unique(np.repeat(np.arange(n), sizes) * most + term, return_counts=True)
+        doc, term = np.divmod(keys, most)
+        df = np.bincount(term, minlength=most)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(1.0, sizes.mean())))
         order = np.argsort(term, kind="stable")
