@@ -10,7 +10,9 @@ round every partition trains on its own share of documents from the same paramet
 the ids they have seen. Counts of words and subwords cover all training documents.
 
 Words' counts reach the scoring tasks in two ways: at most FREQUENT words (those above a cut-off count) are broadcast;
-the rest, none of which is frequent, are joined. Words are told apart by 64-bit hashes. Null texts count as empty: the
+the rest, none of which is frequent, are joined. Words are told apart by 64-bit hashes. Texts are read twice: once for the
+counts of words, once for the base score and the subword ids, which are written to the shared folder and trained on and
+scored from there. Null texts count as empty: the
 end alone is scored. Rows that share a doc_id are scored one by one.
 """
 
@@ -19,6 +21,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +40,14 @@ CLASSES = OWN + BANDS + 1
 #: Windows that are read at once, which is what a processor's cache holds.
 CHUNK = 64
 ROUNDS, TRAIN_SHARE, RATE = 3, 1 / 24, 0.08
-FREQUENT, FLUSH = 200_000, 300_000
+FREQUENT, FLUSH = 200_000, 150_000
 
 
 class _Words(dict):
     """Signed 64-bit hashes of words; emptied when it gets large."""
 
     def __missing__(self, word):
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
         h = self[word] = h - (1 << 64) if h >> 63 else h
@@ -62,42 +65,53 @@ def words(text: str | None) -> list[bytes]:
 # counts
 
 
-def count(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """(kind, key, n_all, n_train) from (train, text): kind 0 words by hash, 1 subwords by id, 2 documents."""
+def count(docs: DataFrame) -> DataFrame:
+    """(kind, key, n_all, n_train) from (train, text): kind 0 words by hash, 1 documents."""
     small_batches(docs.sparkSession)
 
-    def rows(kind, both):
-        keys = list(both[0] | both[1])
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(keys), pa.int32()), pa.array([_WORDS[k] for k in keys] if kind == 0 else keys, pa.int64()), pa.array([both[0][k] + both[1][k] for k in keys], pa.int64()), pa.array([both[1][k] for k in keys], pa.int64())],
-            ["kind", "key", "n_all", "n_train"],
-        )
+    def rows(kind, own, found):
+        keys = [_WORDS[k] for k in found] if kind == 0 else list(found)
+        n = np.fromiter(found.values(), np.int64, len(found))
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(n), pa.array(n * own)], ["kind", "key", "n_all", "n_train"])
 
     def run(batches):
         found = Counter(), Counter()
         n = Counter(), Counter()
-        subwords = np.zeros(0, np.int64)
-        encode = Tokens.load(tokenizer).encode
         for batch in batches:
-            train, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for own, t in zip(train, texts):
+            for own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found[own].update(words(t))
                 n[own][0] += 1
-            if len(found[0]) + len(found[1]) > FLUSH:
-                yield rows(0, found)
-                found = Counter(), Counter()
-            ids = np.concatenate([np.zeros(0, np.uint32), *encode([t or "" for own, t in zip(train, texts) if own])])
-            counted = np.bincount(ids, minlength=len(subwords))
-            counted[: len(subwords)] += subwords
-            subwords = counted
-        yield rows(0, found)
-        yield rows(2, n)
-        yield rows(1, (Counter(), Counter({int(k): int(subwords[k]) for k in np.flatnonzero(subwords)})))
+                if len(found[own]) > FLUSH:
+                    yield rows(0, own, found[own])
+                    found[own].clear()
+        for own in (0, 1):
+            yield rows(0, own, found[own])
+            yield rows(1, own, n[own])
 
     kept = docs.select(F.col("train").cast("int").alias("train"), "text")
     return kept.mapInArrow(run, "kind int, key long, n_all long, n_train long").groupBy("kind", "key").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
 
 
+def subwords(held: DataFrame, size: int) -> np.ndarray:
+    """Counts of the ids of the read training documents."""
+
+    def run(batches):
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            total += np.bincount(np.concatenate([np.zeros(0, np.uint32), *_ids(batch.column(0))]), minlength=size)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["id", "n"])
+
+    out = np.zeros(size)
+    for r in held.filter("not held_out").select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the tokenizer's ids
+        out[r["id"]] = r["n"]
+    return out
+
+
+def _ids(column) -> list[np.ndarray]:
+    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
+
+
 @dataclass
 class Unigrams:
     """Frequent words' hashes, sorted, with log10 probabilities and whether training texts have them; below `cut` words are joined."""
@@ -117,7 +131,7 @@ class Unigrams:
 def unigrams(counts: DataFrame, frequent: int = FREQUENT) -> Unigrams:
     """Totals, and the most frequent words: a cut-off from a histogram of logarithms, so nothing is sorted."""
     found = counts.filter("kind = 0")
-    ends = counts.filter("kind = 2").agg(F.sum("n_train")).first()[0] or 0
+    ends = counts.filter("kind = 1").agg(F.sum("n_train")).first()[0] or 0
     total, distinct = found.filter("n_train > 0").agg(F.sum("n_train"), F.count("*")).first()
     bins = found.groupBy(F.floor(F.log2("n_all") * 8).alias("b")).agg(F.count("*").alias("k"), F.min("n_all").alias("least")).collect()
     cut, held = None, 0
@@ -365,19 +379,19 @@ class Trainer:
         return loss
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary, tokenizer: str, end: int, rounds: int = ROUNDS, share: float = TRAIN_SHARE) -> dict[str, np.ndarray]:
-    """Parameters averaged over partitions after each round. `docs` are the training documents' (doc_id, text)."""
-    small_batches(docs.sparkSession)
+def train(held: DataFrame, vocabulary: Vocabulary, end: int, rounds: int = ROUNDS, share: float = TRAIN_SHARE) -> dict[str, np.ndarray]:
+    """Parameters averaged over partitions after each round, from the read documents' (doc_id, held_out, ids)."""
+    spark = held.sparkSession
     p = initial(vocabulary)
     size = len(flat(p))
     for k in range(rounds):
-        sent = docs.sparkSession.sparkContext.broadcast((p, vocabulary))
+        sent = spark.sparkContext.broadcast((p, vocabulary))
 
         def run(batches, sent=sent):
             p, vocabulary = sent.value
             trainer, rng = Trainer(p, vocabulary), np.random.default_rng(k)
             for batch in batches:
-                ids = Tokens.load(tokenizer).encode([t or "" for t in batch.column(0).to_pylist()])
+                ids = _ids(batch.column(0))
                 if not ids:
                     continue
                 inputs, first, nexts, _ = windows(ids, end, vocabulary)
@@ -390,7 +404,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, tokenizer: str, end: int, rou
                     yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int32()), pa.array([r["part"]], pa.binary())], ["chunk", "part"])
 
         own = hashed_share(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "lm")
-        part = docs.filter((own >= k * share / rounds) & (own < (k + 1) * share / rounds)).select("text")
+        part = held.filter((~F.col("held_out")) & (own >= k * share / rounds) & (own < (k + 1) * share / rounds)).select("ids")
         total = sum_vectors(part.mapInArrow(run, "chunk int, part binary"), size + 1)
         if total[-1]:
             p = unflat(total[:-1] / total[-1])
@@ -400,27 +414,12 @@ def train(docs: DataFrame, vocabulary: Vocabulary, tokenizer: str, end: int, rou
 # scoring
 
 
-def score(docs: DataFrame, held_out, tokenizer: str | None = None, share: float = TRAIN_SHARE, frequent: int = FREQUENT) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of (doc_id, text); `held_out` is a column."""
-    spark = docs.sparkSession
-    small_batches(spark)
-    tokenizer = tokenizer or default_tokenizer()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    counts = hold(count(docs.withColumn("train", ~F.col("held_out")), tokenizer), "counts")
-    base = unigrams(counts, frequent)
-    loaded = Tokens.load(tokenizer).tokenizer
-    size = loaded.get_vocab_size()
-    subwords = np.zeros(size + 1)
-    for r in counts.filter("kind = 1").collect():  # at most the tokenizer's ids
-        subwords[r["key"]] = r["n_train"]
-    end = size
-    subwords[end] = base.ends
-    vocabulary = Vocabulary.of(subwords)
-    scorer = Scorer(train(docs.filter("not held_out"), vocabulary, tokenizer, end, share=share), vocabulary, end)
-    sent = spark.sparkContext.broadcast((base, scorer))
+def read(docs: DataFrame, base: Unigrams, tokenizer: str) -> DataFrame:
+    """(doc_id, held_out, n_tokens, known, logs, rare, ids) from (doc_id, text, held_out): what frequent words add to the base score, the others' hashes, and the subword ids."""
+    sent = docs.sparkSession.sparkContext.broadcast(base)
 
     def run(batches):
-        base, scorer = sent.value
+        base = sent.value
         encode = Tokens.load(tokenizer).encode
         end_log = float(base.log10(base.ends))
         for batch in batches:
@@ -429,14 +428,13 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, share: float
                 continue
             split = [words(t) for t in texts]
             lengths = np.array([len(w) for w in split], np.int64)
-            keys = np.fromiter((h for w in split for h in map(_WORDS.__getitem__, w)), np.int64, int(lengths.sum()))
+            keys = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
             owner = np.repeat(np.arange(len(texts)), lengths)
             at = np.minimum(np.searchsorted(base.keys, keys), max(0, len(base.keys) - 1))
             hit = base.keys[at] == keys if len(base.keys) else np.zeros(len(keys), bool)
             known = np.bincount(owner[hit], base.known[at[hit]], len(texts)) + (base.ends > 0)
             logs = np.bincount(owner[hit], base.logs[at[hit]], len(texts)) + end_log
             rare = np.bincount(owner[~hit], minlength=len(texts))
-            ids = encode([t or "" for t in texts])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -444,20 +442,40 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, share: float
                     pa.array(lengths + 1),
                     pa.array(known.astype(np.int64)),
                     pa.array(logs),
-                    pa.array(scorer.score(ids)),
                     pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare)], pa.int32()), pa.array(keys[~hit])),
+                    pa.array([x.astype("<u4").tobytes() for x in encode([t or "" for t in texts])], pa.binary()),
                 ],
-                ["doc_id", "held_out", "n_tokens", "known", "logs", "score", "rare"],
+                ["doc_id", "held_out", "n_tokens", "known", "logs", "rare", "ids"],
             )
 
-    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, score double, rare array<long>"
-    scored = hold(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scored")
+    schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, rare array<long>, ids binary"
+    return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
+
+
+def score(docs: DataFrame, held_out, tokenizer: str | None = None, share: float = TRAIN_SHARE, frequent: int = FREQUENT) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of (doc_id, text); `held_out` is a column."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    tokenizer = tokenizer or default_tokenizer()
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    counts = hold(count(docs.withColumn("train", ~F.col("held_out"))), "counts")
+    base = unigrams(counts, frequent)
+    held = hold(read(docs, base, tokenizer).withColumn("row", F.monotonically_increasing_id()), "read")
+    end = Tokens.load(tokenizer).tokenizer.get_vocab_size()
+    vocabulary = Vocabulary.of(np.append(subwords(held, end), base.ends))
+    sent = spark.sparkContext.broadcast(Scorer(train(held, vocabulary, end, share=share), vocabulary, end))
+
+    def run(batches):
+        scorer = sent.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scorer.score(_ids(batch.column(batch.num_columns - 1))))], [*batch.schema.names[:-1], "score"])
+
+    scored = held.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double")
     c = F.col("n_train")
-    rare = scored.select("row", F.explode("rare").alias("key")).join(counts.filter((F.col("kind") == 0) & (F.col("n_all") < base.cut)).select("key", "n_train"), "key")
+    rare = held.select("row", F.explode("rare").alias("key")).join(counts.filter((F.col("kind") == 0) & (F.col("n_all") < base.cut)).select("key", "n_train"), "key")
     rare = rare.groupBy("row").agg(F.sum((c > 0).cast("long")).alias("more"), F.sum(F.log10((c + 0.5) / F.lit(base.total + 0.5 * (base.distinct + 1)))).alias("rest"))
     return (
-        scored.drop("rare")
-        .join(rare, "row", "left")
+        scored.join(rare, "row", "left")
         .select(
             "doc_id",
             "held_out",
