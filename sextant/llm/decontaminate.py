@@ -91,16 +91,18 @@ def slots_of(items: DataFrame) -> np.ndarray:
 
 
 class _Known(dict):
-    """Raw words' rows among the benchmark's slots: SLOTS for other words, -1 for those without letters. Emptied when it gets large."""
+    """Raw words' rows among the benchmark's slots: SLOTS for other words, -1 for those without letters. The first MOST words are kept, which the frequent ones are among."""
+
+    MOST = 300_000
 
     def __init__(self, row: np.ndarray):
         self.row = row
 
     def __missing__(self, raw):
-        if len(self) > 1_000_000:
-            self.clear()
         s = slot(raw)
-        out = self[raw] = s if s < 0 else int(self.row[s])
+        out = s if s < 0 else int(self.row[s])
+        if len(self) < self.MOST:
+            self[raw] = out
         return out
 
 

@@ -44,13 +44,15 @@ FREQUENT, FLUSH = 200_000, 150_000
 
 
 class _Words(dict):
-    """Signed 64-bit hashes of words; emptied when it gets large."""
+    """Signed 64-bit hashes of words. The first MOST words are kept, which the frequent ones are among."""
+
+    MOST = 200_000
 
     def __missing__(self, word):
-        if len(self) > 200_000:
-            self.clear()
         h = xxhash.xxh3_64_intdigest(word)
-        h = self[word] = h - (1 << 64) if h >> 63 else h
+        h = h - (1 << 64) if h >> 63 else h
+        if len(self) < self.MOST:
+            self[word] = h
         return h
 
 

@@ -42,12 +42,14 @@ _M1, _M2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
 
 
 class _Words(dict):
-    """64-bit hashes of words; emptied when it gets large."""
+    """64-bit hashes of words. The first MOST words are kept, which the frequent ones are among."""
+
+    MOST = 200_000
 
     def __missing__(self, word):
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.MOST:
+            self[word] = h
         return h
 
 

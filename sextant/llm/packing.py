@@ -41,7 +41,8 @@ class Tokens:
     whole texts. A text with the string of a special token is encoded whole, too.
     """
 
-    MOST = 800_000
+    #: Words that may be known when a batch begins; more are cut back to the first KEPT, which the frequent ones are among.
+    MOST, KEPT = 600_000, 200_000
     _own: dict[str, Tokens] = {}
 
     def __init__(self, path: str):
@@ -71,6 +72,11 @@ class Tokens:
         self.known: dict[str, int] = {}
         self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
+    def _cut_back(self) -> None:
+        self.known = {w: n for w, n in self.known.items() if n < self.KEPT}
+        self.first = self.first[: self.KEPT + 1].copy()
+        self.ids = self.ids[: self.first[-1]].copy()
+
     def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the words, one after the other, and how many each has. Words of letters only go in as one text: the last id of each tells them apart."""
         whole = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
@@ -101,7 +107,7 @@ class Tokens:
         plain = [self.by_word and not any(s in t for s in self.special) for t in texts]
         split = [t.replace("\n", " ").split(" ") if p else t.lower().split() for t, p in zip(texts, plain)]
         if len(self.known) > self.MOST:
-            self._forget()
+            self._cut_back()
         lengths = np.fromiter(map(len, split), np.int64, len(split))
         raw = list(chain.from_iterable(split))
         words = np.fromiter(map(self.known.get, raw, repeat(-1)), np.int32, len(raw))
