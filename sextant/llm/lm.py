@@ -5,9 +5,9 @@ class (a frequent subword by itself, or a band of rarer ones), then its place in
 band, in which counts of the whole training corpus give each its share. Texts are cut into windows of WINDOW ids that overlap by LEAD; each id,
 and one end at last, is scored once, by the window that holds at least LEAD ids before it.
 
-The model is trained on TRAIN_SHARE of the training documents, so the text it learns from grows with the corpus: in each
-round every partition trains on its own share of documents from the same parameters, and the results are averaged by
-the ids they have seen. Counts of words and subwords cover all training documents.
+The model is trained on all training documents, each read once: they are dealt over the rounds by a hash of the id, in a
+round every partition trains on its own documents from the same parameters, and the results are averaged by the ids they
+have seen. Counts of words and subwords cover all training documents.
 
 Words' counts reach the scoring tasks in two ways: at most FREQUENT words (those above a cut-off count) are broadcast;
 the rest, none of which is frequent, are joined. Words are told apart by 64-bit hashes. Texts are read twice: once for the
@@ -39,7 +39,7 @@ OWN, BANDS, BAND, EMBEDDED = 80, 16, 64, 4096
 CLASSES = OWN + BANDS + 1
 #: Windows that are read at once, which is what a processor's cache holds.
 CHUNK = 64
-ROUNDS, TRAIN_SHARE, RATE = 3, 1 / 24, 0.08
+ROUNDS, RATE = 3, 0.08
 FREQUENT, FLUSH = 200_000, 150_000
 
 
@@ -381,7 +381,7 @@ class Trainer:
         return loss
 
 
-def train(held: DataFrame, vocabulary: Vocabulary, end: int, rounds: int = ROUNDS, share: float = TRAIN_SHARE) -> dict[str, np.ndarray]:
+def train(held: DataFrame, vocabulary: Vocabulary, end: int, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters averaged over partitions after each round, from the read documents' (doc_id, held_out, ids)."""
     spark = held.sparkSession
     p = initial(vocabulary)
@@ -406,7 +406,7 @@ def train(held: DataFrame, vocabulary: Vocabulary, end: int, rounds: int = ROUND
                     yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int32()), pa.array([r["part"]], pa.binary())], ["chunk", "part"])
 
         own = hashed_share(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "lm")
-        part = held.filter((~F.col("held_out")) & (own >= k * share / rounds) & (own < (k + 1) * share / rounds)).select("ids")
+        part = held.filter((~F.col("held_out")) & (F.floor(own * rounds) == k)).select("ids")
         total = sum_vectors(part.mapInArrow(run, "chunk int, part binary"), size + 1)
         if total[-1]:
             p = unflat(total[:-1] / total[-1])
@@ -454,7 +454,7 @@ def read(docs: DataFrame, base: Unigrams, tokenizer: str) -> DataFrame:
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, held_out, tokenizer: str | None = None, share: float = TRAIN_SHARE, frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, held_out, tokenizer: str | None = None, frequent: int = FREQUENT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of (doc_id, text); `held_out` is a column."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -465,7 +465,7 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, share: float
     held = hold(read(docs, base, tokenizer).withColumn("row", F.monotonically_increasing_id()), "read")
     end = Tokens.load(tokenizer).tokenizer.get_vocab_size()
     vocabulary = Vocabulary.of(np.append(subwords(held, end), base.ends))
-    sent = spark.sparkContext.broadcast(Scorer(train(held, vocabulary, end, share=share), vocabulary, end))
+    sent = spark.sparkContext.broadcast(Scorer(train(held, vocabulary, end), vocabulary, end))
 
     def run(batches):
         scorer = sent.value

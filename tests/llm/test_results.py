@@ -272,6 +272,16 @@ def test_language_model_learns():
     assert lm.Scorer(trainer.p, vocabulary, 100).score(texts[:20]).sum() > 0.7 * before
 
 
+def test_language_model_learns_from_every_training_document(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 5 == 1, np.append(rng.integers(0, 100, 40), 100 + i)[rng.permutation(41)].astype("<u4").tobytes()) for i in range(100)]  # each has one id of its own
+    counts = np.bincount(np.concatenate([np.frombuffer(x, "<u4") for _, out, x in rows if not out]), minlength=201)
+    vocabulary = lm.Vocabulary.of(np.append(counts[:200], 80).astype(float))
+    held = spark.createDataFrame(rows, "doc_id long, held_out boolean, ids binary")
+    moved = (lm.train(held, vocabulary, 200)["e"] != lm.initial(vocabulary)["e"]).any(1)
+    assert [bool(moved[vocabulary.place[100 + i]]) for i, _, _ in rows] == [not out for _, out, _ in rows]
+
+
 def leak_words(text):
     return [w for w in ("".join(filter(str.isalnum, x.lower())) for x in (text or "").split()) if w]
 
