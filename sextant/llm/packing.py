@@ -1,9 +1,13 @@
 """Lexical retrieval packing.
 
-Documents are dealt by hash into shards of bounded text, each with its own BM25 inverted index over words. In a shard
-every window starts with a seed, the first unused document, and is filled greedily with the unused documents that the
-index returns for the seed's strongest terms; where it returns none, with the next unused ones. A document that passes
-a window's end is cut there and goes on in the next window, as its seed. Only a shard's last window can be short.
+Documents are dealt by content into shards of bounded text, each with its own BM25 inverted index over words. A
+document's words, weighted by their rarity in a bounded sample, are projected to DIMENSIONS numbers, and it joins the
+nearest of a number of sampled pivots that grows with the corpus. Small neighbouring groups share a shard; a group beyond
+a shard is split by a MinHash of the words, so that copies stay together, and only a part that is still beyond one by a
+hash of the row. In a shard every window starts with a seed, the first unused document, and is filled greedily with the
+unused documents that the index returns for the seed's words; where it returns none, with the next unused ones. A
+document that passes a window's end is cut there and goes on in the next window, as its seed. Only a shard's last window
+can be short. A seed asks its own shard's index only: neighbours that were dealt to other shards are not seen.
 
 Null text counts as empty: such a document is its end token alone. Rows that share a doc_id are separate documents.
 """
@@ -12,20 +16,27 @@ from __future__ import annotations
 
 import json
 import zlib
+from functools import lru_cache
 from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import cut_vector, hashed_share, hold, small_batches, sum_vectors
 
 WINDOW, END = 2048, 1
 #: Characters of a shard, about. A shard is one task's memory.
 SHARD_CHARS = 6_000_000
-TERMS, K1, B = 24, 1.2, 0.75
+K1, B = 1.2, 0.75
+#: Rows of the sample that weights and pivots come from. Numbers of a document's projection; groups for each shard.
+SAMPLE_ROWS, DIMENSIONS, GROUPS = 20_000, 64, 4
+#: Words whose vectors are gathered at once, and rows compared to all pivots at once.
+GATHER, COMPARED = 30_000, 256
 
 
 def default_tokenizer() -> str:
@@ -157,17 +168,14 @@ class Index:
         self.term, self.strength = term, weight * (df[term] > 1)
 
     def neighbours(self, i: int) -> np.ndarray:
-        """Documents that share one of the seed's strongest terms, best first; ties by position."""
-        terms, strength = self.term[self.own[i] : self.own[i + 1]], self.strength[self.own[i] : self.own[i + 1]]
-        if len(terms) > TERMS:
-            top = np.argpartition(-strength, TERMS)[:TERMS]
-            terms, strength = terms[top], strength[top]
-        spans = [slice(self.at[t], self.at[t + 1]) for t in terms[strength > 0]]
+        """Documents that share a word with the seed, best first; ties by position."""
+        own = slice(self.own[i], self.own[i + 1])
+        spans = [slice(self.at[t], self.at[t + 1]) for t in self.term[own][self.strength[own] > 0].tolist()]
         if not spans:
             return np.zeros(0, np.int64)
-        found, back = np.unique(np.concatenate([self.doc[s] for s in spans]), return_inverse=True)
-        score = np.bincount(back, np.concatenate([self.weight[s] for s in spans]))
-        return found[np.lexsort((found, -score))]
+        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]))
+        found = np.flatnonzero(score > 0)
+        return found[np.argsort(-score[found], kind="stable")]
 
 
 def pack_shard(words: list[np.ndarray], lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
@@ -209,13 +217,117 @@ def pack_shard(words: list[np.ndarray], lengths: list[int], window: int = WINDOW
     return pieces
 
 
+class _Slots(dict):
+    """Words' slots among 65,536. The first MOST words are kept, which the frequent ones are among."""
+
+    MOST = 300_000
+
+    def __missing__(self, word):
+        s = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & 0xFFFF
+        if len(self) < self.MOST:
+            self[word] = s
+        return s
+
+
+_SLOTS = _Slots()
+
+
+@lru_cache(1)
+def _projection() -> tuple[np.ndarray, np.ndarray]:
+    """Each slot's vector, and its place in a random order of the slots."""
+    rng = np.random.default_rng(11)
+    return rng.standard_normal((1 << 16, DIMENSIONS)).astype(np.float32), rng.permutation(1 << 16)
+
+
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, slot, count) of the words of all texts, by text and slot."""
+    split = [t.lower().split() for t in texts]
+    lengths = np.fromiter(map(len, split), np.int64, len(split))
+    slots = np.fromiter(map(_SLOTS.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
+    keys, tf = np.unique(np.repeat(np.arange(len(texts)), lengths) << 16 | slots, return_counts=True)
+    return keys >> 16, keys & 0xFFFF, tf
+
+
+def profiles(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each text the projection of its weighted words, of length 1, and a MinHash of its words; zeros for no words."""
+    vectors, order = _projection()
+    doc, slot, tf = _counted(texts)
+    weight = ((1 + np.log(tf)) * idf[slot]).astype(np.float32)
+    out, least = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
+    for a in range(0, len(doc), GATHER):
+        own = doc[a : a + GATHER]
+        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+        out[own[starts]] += np.add.reduceat(vectors[slot[a : a + GATHER]] * weight[a : a + GATHER, None], starts, axis=0)
+    if len(doc):
+        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
+        least[doc[starts]] = np.minimum.reduceat(order[slot], starts)
+    norm = np.linalg.norm(out, axis=1, keepdims=True)
+    return out / np.where(norm > 0, norm, 1), least
+
+
+def pivots(docs: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words' weights, and at most `groups` different vectors of sampled documents, those near each other side by side."""
+    rows = docs.count()
+    sample = hold(docs.filter(hashed_share(F.xxhash64("doc_id", "text"), "pivots") < min(1.0, SAMPLE_ROWS / max(1, rows))).select("text"), "sample")
+
+    def frequencies(batches):
+        found = np.zeros((1 << 16) + 1)
+        for batch in batches:
+            found += np.bincount(_counted(batch.column(0).to_pylist())[1], minlength=(1 << 16) + 1)
+            found[-1] += batch.num_rows
+        cut = cut_vector(found)
+        yield pa.RecordBatch.from_arrays([pa.array(cut["chunk"], pa.int32()), pa.array(cut["part"], pa.binary())], ["chunk", "part"])
+
+    df = sum_vectors(sample.mapInArrow(frequencies, "chunk int, part binary"), (1 << 16) + 1)
+    idf = np.maximum(np.log((df[-1] + 1) / (df[:-1] + 0.5)), 0) * (df[:-1] > 1)  # words of one document only tell no groups apart
+
+    def vectors(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in profiles(batch.column(0).to_pylist(), idf)[0]], pa.binary())], ["v"])
+
+    found = sorted({r["v"] for r in sample.mapInArrow(vectors, "v binary").collect()}, key=xxhash.xxh3_64_intdigest)[:groups]
+    chosen = np.frombuffer(b"".join(found), np.float32).reshape(-1, DIMENSIONS)
+    heads = chosen[: max(1, int(len(chosen) ** 0.5))]
+    return idf, chosen[np.argsort((chosen @ heads.T).argmax(1), kind="stable")]
+
+
+def deal(docs: DataFrame, shard_chars: int) -> DataFrame:
+    """(doc_id, text) with `shard`: documents of like content together, about `shard_chars` characters a shard at most."""
+    spark = docs.sparkSession
+    shards = -(-(docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // shard_chars)
+    if shards <= 1:
+        return docs.withColumn("shard", F.lit(0).cast("long"))
+    sent = spark.sparkContext.broadcast(pivots(docs, GROUPS * shards))
+
+    def run(batches):
+        idf, chosen = sent.value
+        for batch in batches:
+            own, least = profiles(batch.column(1).to_pylist(), idf)
+            near = [(own[a : a + COMPARED] @ chosen.T).argmax(1) for a in range(0, len(own), COMPARED)] or [np.zeros(0, np.int64)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(near), pa.int64()), pa.array(least)], ["doc_id", "text", "near", "least"])
+
+    keyed = hold(docs.mapInArrow(run, "doc_id long, text string, near long, least long"), "keyed")
+    size = F.sum(F.length("text") + 1).alias("size")
+    # a group beyond a shard has four parts for each shard that it needs
+    groups = keyed.groupBy("near").agg(size).select("near", F.when(F.col("size") > shard_chars, F.ceil(F.col("size") / shard_chars) * GROUPS).otherwise(1).alias("parts"))
+    groups = spark.createDataFrame(groups.collect(), "near long, parts long")  # as many as there are pivots
+    keyed = keyed.join(F.broadcast(groups), "near").withColumn("own", F.pmod(F.xxhash64("least"), "parts"))
+    rows, shard, filled = [], 0, 0
+    for r in sorted(keyed.groupBy("near", "own").agg(size).collect()):  # in proportion to pivots and shards
+        need = -(-r["size"] // shard_chars)
+        if filled and filled + r["size"] > shard_chars:
+            shard, filled = shard + 1, 0
+        rows.append((r["near"], r["own"], shard, need))
+        shard, filled = (shard + need, 0) if need > 1 else (shard, filled + r["size"])
+    places = spark.createDataFrame(rows, "near long, own long, first long, need long")
+    return keyed.join(F.broadcast(places), ["near", "own"]).select("doc_id", "text", (F.col("first") + F.pmod(F.xxhash64("doc_id", "text"), "need")).alias("shard"))
+
+
 def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of (doc_id, text)."""
     small_batches(docs.sparkSession)
     path = tokenizer or default_tokenizer()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    total = docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    shards = max(1, -(-total // shard_chars))
     end = np.array([END], "<u4").tobytes()
 
     def run(pdf):
@@ -237,5 +349,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
             }
         )
 
-    dealt = docs.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)))
-    return dealt.groupBy("shard").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return deal(docs, shard_chars).groupBy("shard").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

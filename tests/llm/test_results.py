@@ -85,6 +85,30 @@ def test_packing_prefers_neighbours():
         assert topics.most_common(1)[0][1] >= 9
 
 
+def test_packing_finds_neighbours_among_many_shards(spark):
+    rng = np.random.default_rng(9)
+    texts = {}
+    for k in range(600):  # 2k + 1 is a copy of 2k, every second time with 15 of 150 words changed
+        own = [f"{'abcdef'[k % 6]}{w}" for w in rng.zipf(1.3, 150) % 3000]
+        texts[2 * k] = " ".join(own)
+        for at in rng.choice(150, 15, replace=False) if k % 2 else []:
+            own[at] = f"new{rng.integers(10**6)}"
+        texts[2 * k + 1] = " ".join(own)
+    texts |= {5000 + k: "the same text for all of a large group of copies " * 10 for k in range(400)}
+    rows = packing.pack(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shard_chars=20_000).collect()
+    assert {r["doc_id"] for r in rows} == texts.keys()
+    assert len({r["sequence_id"] >> 32 for r in rows}) > 20
+    size = Counter()
+    for r in rows:
+        size[r["sequence_id"] >> 32] += (len(texts[r["doc_id"]]) + 1) * (r["start"] == 0)
+    assert max(size.values()) < 2 * 20_000
+    place = {r["doc_id"]: r["sequence_id"] for r in rows if r["start"] == 0}
+    seeds = [r["doc_id"] for r in rows if r["offset"] == 0 and r["start"] == 0 and r["doc_id"] < 5000]
+    met = {i: place[i ^ 1] == place[i] for i in seeds if not (place[i ^ 1] >> 32 == place[i] >> 32 and place[i ^ 1] < place[i])}
+    copies, near = ([m for i, m in met.items() if i // 2 % 2 == k] for k in (0, 1))
+    assert len(copies) > 10 and np.mean(copies) > 0.95 and len(near) > 10 and np.mean(near) > 0.4
+
+
 @pytest.mark.parametrize("kind", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_tokens_are_the_tokenizers(kind):
     import public_tokenizers
