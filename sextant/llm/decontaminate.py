@@ -2,7 +2,9 @@
 
 Benchmark items are cut into passages. A distributed randomised SVD of their TF-IDF matrix (document frequencies come
 from all documents) gives a latent space of at most RANK dimensions. Every document is folded into it in overlapping
-passages, and passages whose cosine to a benchmark passage reaches COSINE are candidates. A candidate is a leak if the
+passages, and passages whose cosine to a benchmark passage reaches COSINE are candidates. So is, whatever its cosine,
+each place where a document has a run of RUN words of a benchmark passage (every RUN-th word begins one, and the last
+RUN words are one), so no passage that is there word for word depends on the cosine. A candidate is a leak if the
 longest common subsequence of words covers VERBATIM of the benchmark passage, or PARAPHRASE of it with most words of the
 answer present: the item's `answer` where the table has such a column, else its most informative words.
 
@@ -33,7 +35,7 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from .common import cut_vector, hold, small_batches, sum_vectors
 
 SLOTS, RANK, OVERSAMPLE, POWER = (1 << 16) - 1, 128, 16, 2
-PASSAGE, HALF, MIN_WORDS = 64, 32, 5
+PASSAGE, HALF, MIN_WORDS, RUN = 64, 32, 5, 5
 COMMON, RARE = 0.1, 5
 COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.75, 0.5, 5, 0.6
 BLOCK = 2048
@@ -235,6 +237,14 @@ def lcs(masks: dict[int, int], size: int, words: list[int]) -> int:
     return size - open_.bit_count()
 
 
+def runs(rows: np.ndarray) -> np.ndarray:
+    """A hash of the RUN rows that begin at each place, as far as there are so many."""
+    x = np.zeros(max(0, len(rows) - RUN + 1), np.uint64)
+    for k in range(RUN):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15) + rows[k : k + len(x)].astype(np.uint64) + np.uint64(1)
+    return (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+
+
 @dataclass
 class Model:
     """What the search of one block of passages needs."""
@@ -246,19 +256,25 @@ class Model:
     masks: list
     sizes: list
     answers: list
+    runs: np.ndarray  # hashes of the passages' runs, sorted, with the passage and the place in it
+    run_of: np.ndarray
+    run_at: np.ndarray
+    begins: np.ndarray  # whether a run's hash begins with these 16 bits
 
     @classmethod
     def of(cls, found: list, slots: np.ndarray, idf: np.ndarray, gain: np.ndarray, space: np.ndarray) -> Model:
         row, weights = _rows(slots), (space * gain[:, None]).astype(np.float32)
         heavy = np.zeros(SLOTS + 1, bool)
         heavy[: len(gain)] = gain > 0
-        items, vectors, masks, sizes, answers = [], [], [], [], []
+        items, vectors, masks, sizes, answers, keys = [], [], [], [], [], []
         for r in found:
             at = row[np.frombuffer(r["words"], np.uint16)]
             own: dict[int, int] = {}
             for k, x in enumerate(at.tolist()):
                 own[x] = own.get(x, 0) | 1 << k
             answer = set(row[np.frombuffer(r["answer"], np.uint16)].tolist())
+            hashes = runs(at).tolist()
+            keys += [(hashes[k], len(items), k) for k in sorted({*range(0, len(hashes), RUN), len(hashes) - 1})]
             items.append(r["item_id"])
             vectors.append(weights[at].sum(0))
             masks.append(own)
@@ -266,7 +282,11 @@ class Model:
             answers.append(answer or set(sorted(own, key=lambda x: (-idf[x], x))[:ANSWER_WORDS]))
         v = np.array(vectors, np.float32).reshape(len(found), -1)
         norm = np.linalg.norm(v, axis=1, keepdims=True)
-        return cls(weights, heavy, items, v / np.where(norm > 0, norm, 1), masks, sizes, answers)
+        keys.sort()
+        hashes, run_of, run_at = (np.array([k[c] for k in keys], t) for c, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
+        begins = np.zeros(1 << 16, bool)
+        begins[hashes >> np.uint64(48)] = True
+        return cls(weights, heavy, items, v / np.where(norm > 0, norm, 1), masks, sizes, answers, hashes, run_of, run_at, begins)
 
     def folded(self, rows: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
         """Sum of the words' vectors in each of `parts`, for words in order of their part."""
@@ -296,20 +316,41 @@ class Model:
         both[same] += sums[same + 1]
         norm = np.sqrt(np.einsum("ij,ij->i", both, both))
         both /= np.where(norm > 0, norm, 1)[:, None]
+
+        def compare(d, j, start, end, cosine):
+            near_by = rows[begin[d] + max(0, start) : min(begin[d] + end, begin[d + 1])].tolist()
+            share = lcs(self.masks[j], self.sizes[j], near_by) / self.sizes[j]
+            if share < PARAPHRASE or share <= found[d].get(j, (0,))[0]:
+                return
+            answer = len(self.answers[j].intersection(near_by)) / len(self.answers[j])
+            if share >= VERBATIM or answer >= ANSWER_SHARE:
+                found[d][j] = share, answer, float(cosine)
+
         for a in range(0, len(both), 2048):
             near = both[a : a + 2048] @ self.vectors.T
             for p, j in zip(*np.nonzero(near >= COSINE)):
                 d = int(owner[a + p])
                 b = int(a + p - first[d])
-                near_by = rows[begin[d] + max(0, (b - 1) * HALF) : min(begin[d] + (b + 3) * HALF, begin[d + 1])].tolist()
-                share = lcs(self.masks[j], self.sizes[j], near_by) / self.sizes[j]
-                if share < PARAPHRASE or share <= found[d].get(j, (0,))[0]:
-                    continue
-                answer = len(self.answers[j].intersection(near_by)) / len(self.answers[j])
-                if share >= VERBATIM or answer >= ANSWER_SHARE:
-                    found[d][int(j)] = share, answer, float(near[p, j])
+                compare(d, int(j), (b - 1) * HALF, (b + 3) * HALF, near[p, j])
+        seen = set()
+        for d, j, start in self.places(rows, lengths, place):
+            if found[d].get(j, (0,))[0] < 1 and (d, j, start) not in seen:
+                seen.add((d, j, start))
+                compare(d, j, start - HALF, start + PASSAGE + HALF, both[first[d] + max(0, start) // HALF] @ self.vectors[j])
         return found
 
+    def places(self, rows: np.ndarray, lengths: np.ndarray, place: np.ndarray):
+        """(text, passage, where it would begin) wherever a text has a run of a passage."""
+        hashes = runs(rows)
+        at = np.flatnonzero(self.begins[hashes >> np.uint64(48)])
+        text = np.repeat(np.arange(len(lengths)), lengths)[at]
+        whole = place[at] + RUN <= lengths[text]
+        at, text = at[whole], text[whole]
+        lo, hi = (np.searchsorted(self.runs, hashes[at], side) for side in ("left", "right"))
+        for k in np.flatnonzero(lo < hi).tolist():
+            for m in range(lo[k], hi[k]):
+                yield int(text[k]), int(self.run_of[m]), int(place[at[k]] - self.run_at[m])
+
 
 def models(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> tuple[DataFrame, list]:
     """The read documents, and for each block of benchmark passages a call that makes its model. One SVD and one count of document frequencies serve all blocks."""

@@ -343,6 +343,15 @@ def test_paraphrases_are_found_and_clean_texts_are_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, benchmark).collect()} == {(1000 + k, k) for k in range(30)}
 
 
+def test_verbatim_passages_of_any_cosine_are_found(spark):
+    rng = np.random.default_rng(12)
+    texts = [[f"w{x}" for x in rng.zipf(1.2, 400) % 20_000] for _ in range(300)]
+    items = [t[200 : 205 + i % 20] for i, t in enumerate(texts)]  # short items of long documents
+    benchmark = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(texts)], "doc_id long, text string")
+    assert {(i, i) for i in range(300)} <= {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, benchmark).collect()}
+
+
 def test_lcs():
     rng = np.random.default_rng(4)
     for _ in range(50):
