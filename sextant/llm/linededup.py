@@ -3,6 +3,9 @@
 Pages are grouped by host. The number of a host's pages that contain a line, divided by the host's pages, is the line's
 ratio; lines above `ratio`, on at least `min_pages` pages, are boilerplate of that host and are dropped from its pages.
 
+`cleaned` counts a line, and a host's pages, once for each different text: copies of one page don't make its lines
+boilerplate. `line_dedup` counts every page, as its SQL does.
+
 Blank lines are never dropped. Pages without a host form one group. Null texts stay null; a page of boilerplate only
 becomes an empty text; no row is dropped. Lines are compared by their 64-bit hash within a host.
 """
@@ -26,12 +29,16 @@ def _host(column: str) -> Column:
     return F.concat(F.lit("h"), F.col(column).cast("string"))
 
 
-def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, lines): the hashes of each host's boilerplate lines. A host has at most (its mean lines a page / ratio) of them."""
-    pages = docs.select(F.coalesce(_host(host_col), F.lit("-")).alias("host"), F.col(text_col).alias("text"))
-    lines = pages.select("host", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(F.translate(x, "\t\r\f\v", "    ")) != ""), lambda x: F.xxhash64(x)))).alias("line"))
-    often = lines.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") >= min_pages)
-    totals = pages.groupBy("host").agg(F.count("*").alias("total"))
+def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, by_text: bool = False) -> DataFrame:
+    """(host, lines): the hashes of each host's boilerplate lines. A host has at most (its mean lines a page / ratio) of them.
+
+    With `by_text`, equal texts of a host count as one page.
+    """
+    pages = docs.select(F.coalesce(_host(host_col), F.lit("-")).alias("host"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("page"))
+    count = F.count_distinct("page") if by_text else F.count("*")
+    lines = pages.select("host", "page", F.explode(F.array_distinct(F.transform(F.filter(_lines(F.col("text")), lambda x: F.trim(F.translate(x, "\t\r\f\v", "    ")) != ""), lambda x: F.xxhash64(x)))).alias("line"))
+    often = lines.groupBy("host", "line").agg(count.alias("n")).filter(F.col("n") >= min_pages)
+    totals = pages.groupBy("host").agg(count.alias("total"))
     return often.join(totals, "host").filter(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
@@ -66,7 +73,7 @@ def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text"
 
 def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The rows of `docs`, with all their columns, without their hosts' boilerplate; `n_chars`, if there is one, follows the text."""
-    bad = boilerplate(docs, host_col, text_col, ratio, min_pages).persist()
+    bad = boilerplate(docs, host_col, text_col, ratio, min_pages, by_text=True).persist()
     out = drop_lines(docs, bad, host_col, text_col, suffix="__")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_dropped__") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))

@@ -10,7 +10,7 @@ import compare
 import numpy as np
 import pytest
 
-from sextant.llm import decontaminate, fingerprint, lm, minhash, packing, pii, queries, toxicity
+from sextant.llm import decontaminate, fingerprint, linededup, lm, minhash, packing, pii, queries, toxicity
 from sextant.llm.common import documents, table
 from sextant.llm.components import components
 
@@ -352,6 +352,14 @@ def test_verbatim_passages_of_any_cosine_are_found(spark):
     assert {(i, i) for i in range(300)} <= {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, benchmark).collect()}
 
 
+def test_copies_of_a_page_are_not_boilerplate(spark):
+    page = "\n".join(f"line {k} of a page that was copied many times over" for k in range(8))
+    rows = [(k, page if k % 3 == 0 else f"menu of the site\nwords of page {k} only\nand {k * k} more", "s") for k in range(90)]
+    kept = linededup.cleaned(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {r["doc_id"]: r["text"] for r in kept.collect()} == {i: t.removeprefix("menu of the site\n") for i, t, _ in rows}
+    assert [r["doc_id"] for r in minhash.deduplicated(kept).collect() if r["text"] == page] == [0]
+
+
 def test_lcs():
     rng = np.random.default_rng(4)
     for _ in range(50):
