@@ -19,18 +19,17 @@ end alone is scored. Rows that share a doc_id are scored one by one.
 from __future__ import annotations
 
 import math
-from collections import Counter
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_vector, fold, hashed_share, hold, small_batches, sum_vectors
-from .packing import Tokens, default_tokenizer
+from .common import cut_vector, fold, hashed_share, hold, small_batches, sum_vectors, tidy
+from .tokens import Tokens, default_tokenizer
+from .words import Table, U, Words
 
 WINDOW, LEAD, WIDTH = 32, 8, 16
 STEP = WINDOW - LEAD
@@ -40,28 +39,7 @@ CLASSES = OWN + BANDS + 1
 #: Windows that are read at once, which is what a processor's cache holds.
 CHUNK = 64
 ROUNDS, RATE = 3, 0.08
-FREQUENT, FLUSH = 200_000, 150_000
-
-
-class _Words(dict):
-    """Signed 64-bit hashes of words. The first MOST words are kept, which the frequent ones are among."""
-
-    MOST = 200_000
-
-    def __missing__(self, word):
-        h = xxhash.xxh3_64_intdigest(word)
-        h = h - (1 << 64) if h >> 63 else h
-        if len(self) < self.MOST:
-            self[word] = h
-        return h
-
-
-_WORDS = _Words()
-
-
-def words(text: str | None) -> list[bytes]:
-    """A-Z lowered, cut at blanks (tab to carriage return, and space)."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+FREQUENT, FLUSH = 200_000, 2_000_000
 
 
 # counts
@@ -71,24 +49,27 @@ def count(docs: DataFrame) -> DataFrame:
     """(kind, key, n_all, n_train) from (train, text): kind 0 words by hash, 1 documents."""
     small_batches(docs.sparkSession)
 
-    def rows(kind, own, found):
-        keys = [_WORDS[k] for k in found] if kind == 0 else list(found)
-        n = np.fromiter(found.values(), np.int64, len(found))
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys, pa.int64()), pa.array(n), pa.array(n * own)], ["kind", "key", "n_all", "n_train"])
+    def rows(kind, own, keys, n):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(n), pa.array(n * own)], ["kind", "key", "n_all", "n_train"])
 
     def run(batches):
-        found = Counter(), Counter()
-        n = Counter(), Counter()
-        for batch in batches:
-            for own, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found[own].update(words(t))
-                n[own][0] += 1
-                if len(found[own]) > FLUSH:
-                    yield rows(0, own, found[own])
-                    found[own].clear()
-        for own in (0, 1):
-            yield rows(0, own, found[own])
-            yield rows(1, own, n[own])
+        found, held, n = ([], []), 0, [0, 0]
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                text, train = Words.of(batch.column(1)), np.array(batch.column(0).to_pylist(), bool)
+                own = np.repeat(train, text.count)
+                for k in (0, 1):
+                    found[k].append(text.hash[own == bool(k)])
+                    n[k] += int((train == bool(k)).sum())
+                held += len(own)
+            if batch is None or held > FLUSH:
+                for k in (0, 1):
+                    yield rows(0, k, *np.unique(np.concatenate([np.zeros(0, U), *found[k]]), return_counts=True))
+                    found[k].clear()
+                held = 0
+        for k in (0, 1):
+            yield rows(1, k, np.array([k]), np.array([n[k]]))
+        tidy()
 
     kept = docs.select(F.col("train").cast("int").alias("train"), "text")
     return kept.mapInArrow(run, "kind int, key long, n_all long, n_train long").groupBy("kind", "key").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
@@ -422,33 +403,34 @@ def read(docs: DataFrame, base: Unigrams, tokenizer: str) -> DataFrame:
 
     def run(batches):
         base = sent.value
-        encode = Tokens.load(tokenizer).encode
+        tokens, frequent = Tokens.load(tokenizer), Table(20)
+        frequent.add(base.keys.view(U), np.arange(len(base.keys), dtype=np.int32))
         end_log = float(base.log10(base.ends))
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            if not texts:
-                continue
-            split = [words(t) for t in texts]
-            lengths = np.array([len(w) for w in split], np.int64)
-            keys = np.fromiter(map(_WORDS.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
-            owner = np.repeat(np.arange(len(texts)), lengths)
-            at = np.minimum(np.searchsorted(base.keys, keys), max(0, len(base.keys) - 1))
-            hit = base.keys[at] == keys if len(base.keys) else np.zeros(len(keys), bool)
-            known = np.bincount(owner[hit], base.known[at[hit]], len(texts)) + (base.ends > 0)
-            logs = np.bincount(owner[hit], base.logs[at[hit]], len(texts)) + end_log
-            rare = np.bincount(owner[~hit], minlength=len(texts))
+            n = batch.num_rows
+            text = Words.of(batch.column(1))
+            owner = text.owner()
+            at = frequent.find(text.hash)
+            hit = at >= 0
+            known = np.bincount(owner[hit], base.known[at[hit]], n) + (base.ends > 0)
+            logs = np.bincount(owner[hit], base.logs[at[hit]], n) + end_log
+            rare = np.bincount(owner[~hit], minlength=n)
+            ids, sizes = tokens.encode(batch.column(1))
+            places = np.r_[0, np.cumsum(sizes)] * 4
+            packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(ids.astype("<u4"))])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     batch.column(2),
-                    pa.array(lengths + 1),
+                    pa.array(text.count + 1),
                     pa.array(known.astype(np.int64)),
                     pa.array(logs),
-                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare)], pa.int32()), pa.array(keys[~hit])),
-                    pa.array([x.astype("<u4").tobytes() for x in encode([t or "" for t in texts])], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(rare)], pa.int32()), pa.array(text.hash[~hit].view(np.int64))),
+                    packed.cast(pa.binary()),
                 ],
                 ["doc_id", "held_out", "n_tokens", "known", "logs", "rare", "ids"],
             )
+        tidy()
 
     schema = "doc_id long, held_out boolean, n_tokens long, known long, logs double, rare array<long>, ids binary"
     return docs.select("doc_id", "text", "held_out").mapInArrow(run, schema)
@@ -463,7 +445,7 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, frequent: int
     counts = hold(count(docs.withColumn("train", ~F.col("held_out"))), "counts")
     base = unigrams(counts, frequent)
     held = hold(read(docs, base, tokenizer).withColumn("row", F.monotonically_increasing_id()), "read")
-    end = Tokens.load(tokenizer).tokenizer.get_vocab_size()
+    end = Tokens.load(tokenizer).size
     vocabulary = Vocabulary.of(np.append(subwords(held, end), base.ends))
     sent = spark.sparkContext.broadcast(Scorer(train(held, vocabulary, end), vocabulary, end))
 

@@ -1,179 +1,81 @@
 """Lexical retrieval packing.
 
-Documents are dealt by content into shards of bounded text, each with its own BM25 inverted index over words. A
-document's words, weighted by their rarity in a bounded sample, are projected to DIMENSIONS numbers, and it joins the
-nearest of a number of sampled pivots that grows with the corpus. Small neighbouring groups share a shard; a group beyond
-a shard is split by a MinHash of the words, so that copies stay together, and only a part that is still beyond one by a
-hash of the row. In a shard every window starts with a seed, the first unused document, and is filled greedily with the
-unused documents that the index returns for the seed's words; where it returns none, with the next unused ones. A
-document that passes a window's end is cut there and goes on in the next window, as its seed. Only a shard's last window
-can be short. A seed asks its own shard's index only: neighbours that were dealt to other shards are not seen.
+Texts are turned into subword ids once. Documents are dealt by content into shards of bounded size, each with its own
+BM25 inverted index over those ids. For the dealing, a document gets three MinHash values of its ids and one of its pairs
+of adjacent ids; documents are ordered by them, so that a document's copies follow it, near copies follow as far as
+their first values agree, and documents that share words lie together. Spark deals that order out in ranges, and every
+task cuts its range into shards of at most SHARD_TOKENS ids as the rows come, where the first values change if it can:
+memory is bounded by a shard (or one document, if it is longer), and a group of any number of copies goes to as many tasks
+as it needs.
+
+In a shard every window starts with a seed, the first unused document, and is filled greedily with the unused documents
+that the index returns for all of the seed's ids; where it returns none, with the next unused ones. A document that
+passes a window's end is cut there and goes on in the next window, as its seed. Only a shard's last window can be short.
+A seed asks its own shard's index only: neighbours that were dealt to other shards are not seen.
 
 Null text counts as empty: such a document is its end token alone. Rows that share a doc_id are separate documents.
 """
 
 from __future__ import annotations
 
-import json
 import zlib
-from functools import lru_cache
-from itertools import chain, repeat
-from pathlib import Path
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_vector, hashed_share, hold, small_batches, sum_vectors
+from .common import hold, partitions, small_batches, tidy
+from .tokens import Tokens, default_tokenizer
+from .words import U, mix
 
 WINDOW, END = 2048, 1
-#: Characters of a shard, about. A shard is one task's memory.
-SHARD_CHARS = 6_000_000
+#: Ids of a shard at most, unless one document has more; about so many shards a task.
+SHARD_TOKENS, SHARDS = 1 << 21, 4
 K1, B = 1.2, 0.75
-#: Rows of the sample that weights and pivots come from. Numbers of a document's projection; groups for each shard.
-SAMPLE_ROWS, DIMENSIONS, GROUPS = 20_000, 64, 4
-#: Words whose vectors are gathered at once, and rows compared to all pivots at once.
-GATHER, COMPARED = 30_000, 256
-
-
-def default_tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
-
-
-class Tokens:
-    """Token ids of texts, with the ids of each blank-separated word kept for reuse: a word is looked up once for its ids and its place in the index.
-
-    That holds for tokenizers that drop white space and case and never merge across blanks, such as the default one; others encode
-    whole texts. A text with the string of a special token is encoded whole, too.
-    """
-
-    #: Words that may be known when a batch begins; more are cut back to the first KEPT, which the frequent ones are among.
-    MOST, KEPT = 600_000, 200_000
-    _own: dict[str, Tokens] = {}
-
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        spec = json.loads(Path(path).read_text(encoding="utf-8"))
-        self.special = [t["content"] for t in spec.get("added_tokens", [])]
-        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-        suffix = spec["model"].get("end_of_word_suffix")
-        self.by_word = bool(suffix) and split.get("type") == "Split" and split.get("behavior") == "Removed" and '"Lowercase"' in json.dumps(spec.get("normalizer"))
-        if self.by_word:
-            vocabulary = self.tokenizer.get_vocab()
-            self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-            self.last[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self._forget()
-
-    @classmethod
-    def load(cls, path: str) -> Tokens:
-        """One for each Python worker."""
-        if path not in cls._own:
-            cls._own[path] = cls(path)
-        return cls._own[path]
-
-    def _forget(self) -> None:
-        """Numbers of known words, the same for all cases of one, and the place of each number's ids in `ids`."""
-        self.known: dict[str, int] = {}
-        self.first, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
-
-    def _cut_back(self) -> None:
-        self.known = {w: n for w, n in self.known.items() if n < self.KEPT}
-        self.first = self.first[: self.KEPT + 1].copy()
-        self.ids = self.ids[: self.first[-1]].copy()
-
-    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of the words, one after the other, and how many each has. Words of letters only go in as one text: the last id of each tells them apart."""
-        whole = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
-        ids = np.fromiter(whole, np.uint32, len(whole))
-        at = np.flatnonzero(self.last[ids])
-        if len(at) == len(words) and all(map(str.isalpha, words)):
-            return ids, np.diff(at, prepend=-1)
-        each = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter(chain.from_iterable(each), np.uint32, int(sizes.sum())), sizes
-
-    def _learn(self, new: set[str]) -> None:
-        low = {w.lower() for w in new}
-        unseen = low.difference(self.known)
-        letters = [w for w in unseen if w.isalpha()]
-        for own in (letters, [*unseen.difference(letters)]):
-            for at in range(0, len(own), 20_000):
-                part = own[at : at + 20_000]
-                ids, sizes = self._encoded(part)
-                n = len(self.first) - 1
-                self.known.update(zip(part, range(n, n + len(part))))
-                self.ids = np.concatenate([self.ids, ids])
-                self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(sizes)])
-        self.known.update([(w, self.known[w.lower()]) for w in new - unseen])
-
-    def read(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """For each text its ids, and numbers that stand for its lower-cased words."""
-        plain = [self.by_word and not any(s in t for s in self.special) for t in texts]
-        split = [t.replace("\n", " ").split(" ") if p else t.lower().split() for t, p in zip(texts, plain)]
-        if len(self.known) > self.MOST:
-            self._cut_back()
-        lengths = np.fromiter(map(len, split), np.int64, len(split))
-        raw = list(chain.from_iterable(split))
-        words = np.fromiter(map(self.known.get, raw, repeat(-1)), np.int32, len(raw))
-        new = np.flatnonzero(words < 0)
-        unknown = [raw[k] for k in new.tolist()]
-        if self.by_word:
-            self._learn(set(unknown))
-        else:  # numbers for the index alone
-            for w in dict.fromkeys(unknown):
-                self.known[w] = len(self.known)
-            self.first = np.zeros(len(self.known) + 1, np.int64)
-        words[new] = np.fromiter(map(self.known.__getitem__, unknown), np.int32, len(unknown))
-        ends = np.cumsum(lengths)
-        size = self.first[words + 1] - self.first[words]
-        after = np.cumsum(size)
-        flat = self.ids[np.repeat(self.first[words] - (after - size), size) + np.arange(int(size.sum()))]
-        token_ends = np.concatenate([[0], after])[ends]
-        ids = np.split(flat, token_ends[:-1])
-        blank = self.known.get("", -1)
-        terms = [x[x != blank] for x in np.split(words, ends[:-1])]
-        for k, p in enumerate(plain):
-            if not p:
-                ids[k] = np.array(self.tokenizer.encode(texts[k], add_special_tokens=False).ids, np.uint32)
-        return ids[: len(texts)], terms[: len(texts)]
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return self.read(texts)[0] if texts else []
+#: Ids that at least one document in DENSE of a shard has are added up as whole rows of scores.
+DENSE = 8
 
 
 class Index:
-    """BM25 over a shard of documents given as numbers of their words: postings by term, with scores ready to be added."""
+    """BM25 over a shard of documents given as ids: postings by id, with scores ready to be added."""
 
     def __init__(self, words: list[np.ndarray]):
         n = len(words)
         sizes = np.array([len(w) for w in words], np.int64)
-        term = np.concatenate(words).astype(np.int64)
+        term = np.concatenate(words).astype(np.int64) if n else np.zeros(0, np.int64)
         most = int(term.max(initial=0)) + 1
         keys, tf = np.unique(np.repeat(np.arange(n), sizes) * most + term, return_counts=True)
         doc, term = np.divmod(keys, most)
         df = np.bincount(term, minlength=most)
         idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(1.0, sizes.mean())))
+        weight = (idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / max(1.0, sizes.mean() if n else 1)))).astype(np.float32)
         order = np.argsort(term, kind="stable")
-        self.at = np.concatenate([[0], np.cumsum(df)])
+        self.n = n
+        self.at = np.r_[0, np.cumsum(df)]
         self.doc, self.weight = doc[order], weight[order]
-        self.own = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
-        self.term, self.strength = term, weight * (df[term] > 1)
+        self.own = np.r_[0, np.cumsum(np.bincount(doc, minlength=n))]
+        self.term = term
+        # a common id's scores as a row: all rows together have at most DENSE times the postings' numbers
+        common = np.flatnonzero((df * DENSE >= n) & (df > 1))
+        self.row = np.full(most, -1, np.int64)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), n), np.float32)
+        at = self.row[term] >= 0
+        self.rows[self.row[term[at]], doc[at]] = weight[at]
+        self.alone = df < 2
 
     def neighbours(self, i: int) -> np.ndarray:
-        """Documents that share a word with the seed, best first; ties by position."""
-        own = slice(self.own[i], self.own[i + 1])
-        spans = [slice(self.at[t], self.at[t + 1]) for t in self.term[own][self.strength[own] > 0].tolist()]
-        if not spans:
-            return np.zeros(0, np.int64)
-        score = np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]))
+        """Documents that share an id with the seed, best first; ties by position."""
+        own = self.term[self.own[i] : self.own[i + 1]]
+        row = self.row[own]
+        score = self.rows[row[row >= 0]].sum(0) if self.n else np.zeros(0, np.float32)
+        rest = own[(row < 0) & ~self.alone[own]]
+        if len(rest):
+            first, size = self.at[rest], self.at[rest + 1] - self.at[rest]
+            after = np.cumsum(size)
+            at = np.repeat(first - (after - size), size) + np.arange(int(size.sum()))
+            score = score + np.bincount(self.doc[at], self.weight[at], self.n)
         found = np.flatnonzero(score > 0)
         return found[np.argsort(-score[found], kind="stable")]
 
@@ -217,136 +119,97 @@ def pack_shard(words: list[np.ndarray], lengths: list[int], window: int = WINDOW
     return pieces
 
 
-class _Slots(dict):
-    """Words' slots among 65,536. The first MOST words are kept, which the frequent ones are among."""
-
-    MOST = 300_000
+def _least(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The least value of each run of `sizes` values; the greatest number for empty runs."""
+    out = np.full(len(sizes), 0xFFFFFFFF, np.uint32)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        out[some] = np.minimum.reduceat(values, (np.cumsum(sizes) - sizes)[some])
+    return out
 
-    def __missing__(self, word):
-        s = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & 0xFFFF
-        if len(self) < self.MOST:
-            self[word] = s
-        return s
 
+def _scattered(x: np.ndarray, seed: int) -> np.ndarray:
+    x = (x + np.uint32(seed)) * np.uint32(0x9E3779B1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA77)
+    return x ^ (x >> np.uint32(13))
 
-_SLOTS = _Slots()
 
+def order_keys(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers that order documents by content: three MinHash values of a document's ids, one of its pairs of adjacent ids."""
+    flat = ids.astype(np.uint32)
+    found = [_least(_scattered(flat, seed), sizes) for seed in (0x1234567, 0x2345678, 0x3456789)]
+    pairs = np.full(len(flat), 0xFFFFFFFF, np.uint32)
+    if len(flat) > 1:
+        pairs[:-1] = _scattered(flat[:-1] * np.uint32(0x27D4EB2F) + flat[1:], 0x4567891)
+        last = np.cumsum(sizes)[sizes > 0] - 1
+        pairs[last] = 0xFFFFFFFF  # it would reach into the next document
+    found.append(_least(pairs, sizes))
+    # least values of long documents are small: scattered again, they don't gather at one end of the order
+    a, b, c, d = (mix(x.astype(U)) >> U(32) for x in found)
+    return (a << U(32) | b).view(np.int64), (c << U(32) | d).view(np.int64)
 
-@lru_cache(1)
-def _projection() -> tuple[np.ndarray, np.ndarray]:
-    """Each slot's vector, and its place in a random order of the slots."""
-    rng = np.random.default_rng(11)
-    return rng.standard_normal((1 << 16, DIMENSIONS)).astype(np.float32), rng.permutation(1 << 16)
 
+def tokenized(docs: DataFrame, tokenizer: str) -> DataFrame:
+    """(doc_id, size, near, far, ids): each document's ids, two bytes each if the vocabulary allows, and its place in the order by content."""
+    wide = "<u2" if Tokens.load(tokenizer).size <= 1 << 16 else "<u4"
 
-def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, slot, count) of the words of all texts, by text and slot."""
-    split = [t.lower().split() for t in texts]
-    lengths = np.fromiter(map(len, split), np.int64, len(split))
-    slots = np.fromiter(map(_SLOTS.__getitem__, chain.from_iterable(split)), np.int64, int(lengths.sum()))
-    keys, tf = np.unique(np.repeat(np.arange(len(texts)), lengths) << 16 | slots, return_counts=True)
-    return keys >> 16, keys & 0xFFFF, tf
-
-
-def profiles(texts: list[str], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each text the projection of its weighted words, of length 1, and a MinHash of its words; zeros for no words."""
-    vectors, order = _projection()
-    doc, slot, tf = _counted(texts)
-    weight = ((1 + np.log(tf)) * idf[slot]).astype(np.float32)
-    out, least = np.zeros((len(texts), DIMENSIONS), np.float32), np.zeros(len(texts), np.int64)
-    for a in range(0, len(doc), GATHER):
-        own = doc[a : a + GATHER]
-        starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        out[own[starts]] += np.add.reduceat(vectors[slot[a : a + GATHER]] * weight[a : a + GATHER, None], starts, axis=0)
-    if len(doc):
-        starts = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]])
-        least[doc[starts]] = np.minimum.reduceat(order[slot], starts)
-    norm = np.linalg.norm(out, axis=1, keepdims=True)
-    return out / np.where(norm > 0, norm, 1), least
-
-
-def pivots(docs: DataFrame, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Words' weights, and at most `groups` different vectors of sampled documents, those near each other side by side."""
-    rows = docs.count()
-    sample = hold(docs.filter(hashed_share(F.xxhash64("doc_id", "text"), "pivots") < min(1.0, SAMPLE_ROWS / max(1, rows))).select("text"), "sample")
-
-    def frequencies(batches):
-        found = np.zeros((1 << 16) + 1)
+    def run(batches):
+        tokens = Tokens.load(tokenizer)
         for batch in batches:
-            found += np.bincount(_counted(batch.column(0).to_pylist())[1], minlength=(1 << 16) + 1)
-            found[-1] += batch.num_rows
-        cut = cut_vector(found)
-        yield pa.RecordBatch.from_arrays([pa.array(cut["chunk"], pa.int32()), pa.array(cut["part"], pa.binary())], ["chunk", "part"])
-
-    df = sum_vectors(sample.mapInArrow(frequencies, "chunk int, part binary"), (1 << 16) + 1)
-    idf = np.maximum(np.log((df[-1] + 1) / (df[:-1] + 0.5)), 0) * (df[:-1] > 1)  # words of one document only tell no groups apart
+            ids, sizes = tokens.encode(batch.column(1))
+            near, far = order_keys(ids, sizes)
+            raw = ids.astype(wide)
+            at = np.r_[0, np.cumsum(sizes)] * raw.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(near), pa.array(far), packed], ["doc_id", "size", "near", "far", "ids"])
+        tidy()
 
-    def vectors(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in profiles(batch.column(0).to_pylist(), idf)[0]], pa.binary())], ["v"])
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, size long, near long, far long, ids binary")
 
-    found = sorted({r["v"] for r in sample.mapInArrow(vectors, "v binary").collect()}, key=xxhash.xxh3_64_intdigest)[:groups]
-    chosen = np.frombuffer(b"".join(found), np.float32).reshape(-1, DIMENSIONS)
-    heads = chosen[: max(1, int(len(chosen) ** 0.5))]
-    return idf, chosen[np.argsort((chosen @ heads.T).argmax(1), kind="stable")]
 
+def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of (doc_id, text).
 
-def deal(docs: DataFrame, shard_chars: int) -> DataFrame:
-    """(doc_id, text) with `shard`: documents of like content together, about `shard_chars` characters a shard at most."""
+    Sequences are numbered by task, shard and place, with gaps between shards.
+    """
     spark = docs.sparkSession
-    shards = -(-(docs.agg(F.sum(F.length("text") + 1)).first()[0] or 0) // shard_chars)
-    if shards <= 1:
-        return docs.withColumn("shard", F.lit(0).cast("long"))
-    sent = spark.sparkContext.broadcast(pivots(docs, GROUPS * shards))
-
-    def run(batches):
-        idf, chosen = sent.value
-        for batch in batches:
-            own, least = profiles(batch.column(1).to_pylist(), idf)
-            near = [(own[a : a + COMPARED] @ chosen.T).argmax(1) for a in range(0, len(own), COMPARED)] or [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(near), pa.int64()), pa.array(least)], ["doc_id", "text", "near", "least"])
-
-    keyed = hold(docs.mapInArrow(run, "doc_id long, text string, near long, least long"), "keyed")
-    size = F.sum(F.length("text") + 1).alias("size")
-    # a group beyond a shard has four parts for each shard that it needs
-    groups = keyed.groupBy("near").agg(size).select("near", F.when(F.col("size") > shard_chars, F.ceil(F.col("size") / shard_chars) * GROUPS).otherwise(1).alias("parts"))
-    groups = spark.createDataFrame(groups.collect(), "near long, parts long")  # as many as there are pivots
-    keyed = keyed.join(F.broadcast(groups), "near").withColumn("own", F.pmod(F.xxhash64("least"), "parts"))
-    rows, shard, filled = [], 0, 0
-    for r in sorted(keyed.groupBy("near", "own").agg(size).collect()):  # in proportion to pivots and shards
-        need = -(-r["size"] // shard_chars)
-        if filled and filled + r["size"] > shard_chars:
-            shard, filled = shard + 1, 0
-        rows.append((r["near"], r["own"], shard, need))
-        shard, filled = (shard + need, 0) if need > 1 else (shard, filled + r["size"])
-    places = spark.createDataFrame(rows, "near long, own long, first long, need long")
-    return keyed.join(F.broadcast(places), ["near", "own"]).select("doc_id", "text", (F.col("first") + F.pmod(F.xxhash64("doc_id", "text"), "need")).alias("shard"))
-
-
-def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, shard_chars: int = SHARD_CHARS) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of (doc_id, text)."""
-    small_batches(docs.sparkSession)
+    small_batches(spark)
     path = tokenizer or default_tokenizer()
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    end = np.array([END], "<u4").tobytes()
+    wide = "<u2" if Tokens.load(path).size <= 1 << 16 else "<u4"
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    held = hold(tokenized(docs, path).withColumn("row", F.monotonically_increasing_id()), "tokens")
+    total = held.agg(F.sum(F.col("size") + 1)).first()[0] or 0
+    tasks = max(min(partitions(spark), -(-total // (1 << 18))), -(-total // (SHARDS * shard_tokens)), 1)
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+    def packed(rows, base):
+        ids = [np.frombuffer(x, wide) for _, x in rows]
+        pieces = np.array(pack_shard(ids, [len(x) + 1 for x in ids], window), np.int64).reshape(-1, 5)
+        whole = [np.append(x.astype("<u4"), np.uint32(END)) for x in ids]
+        crc = [zlib.crc32(whole[d][s : s + n]) for d, s, n in pieces[:, :3].tolist()]
+        lengths = np.array([len(x) for x in whole], np.int64)
+        own = pa.array([rows[d][0] for d in pieces[:, 0].tolist()], pa.int64())
+        columns = [own, pieces[:, 1], pieces[:, 2], np.array(crc, np.int64), lengths[pieces[:, 0]], base + pieces[:, 3], pieces[:, 4]]
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
 
-    def run(pdf):
-        pdf = pdf.sort_values(["doc_id", "text"], kind="stable", ignore_index=True)
-        ids, words = Tokens.load(path).read(pdf["text"].tolist())
-        ids = [x.astype("<u4").tobytes() + end for x in ids]
-        pieces = pack_shard(words, [len(x) // 4 for x in ids], window)
-        base = int(pdf["shard"].iloc[0]) << 32
-        doc_ids = pdf["doc_id"].astype("Int64")
-        return pd.DataFrame(
-            {
-                "doc_id": doc_ids.iloc[[p[0] for p in pieces]].array,
-                "start": [p[1] for p in pieces],
-                "length": [p[2] for p in pieces],
-                "ids_crc32": [zlib.crc32(ids[p[0]][4 * p[1] : 4 * (p[1] + p[2])]) for p in pieces],
-                "doc_tokens": [len(ids[p[0]]) // 4 for p in pieces],
-                "sequence_id": [base + p[3] for p in pieces],
-                "offset": [p[4] for p in pieces],
-            }
-        )
+    def run(batches):
+        from pyspark import TaskContext
 
-    return deal(docs, shard_chars).groupBy("shard").applyInPandas(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+        base, shard = TaskContext.get().partitionId() << 40, 0
+        rows, held, last = [], 0, None
+        for batch in batches:
+            for own, ids, place in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                size = len(ids) // np.dtype(wide).itemsize + 1
+                if rows and (held + size > shard_tokens or place != last and held > 0.8 * shard_tokens):
+                    yield packed(rows, base + (shard << 24))
+                    rows, held, shard = [], 0, shard + 1
+                last = place
+                rows.append((own, ids))
+                held += size
+        if rows:
+            yield packed(rows, base + (shard << 24))
+        tidy()
+
+    dealt = held.select("doc_id", "ids", "near", "far", "row").repartitionByRange(tasks, "near", "far", "row").sortWithinPartitions("near", "far", "row")
+    return dealt.select("doc_id", "ids", "near").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
