@@ -8,11 +8,11 @@ RUN words are one), so no passage that is there word for word depends on the cos
 longest common subsequence of words covers VERBATIM of the benchmark passage, or PARAPHRASE of it with most words of the
 answer present: the item's `answer` where the table has such a column, else its most informative words.
 
-Words are compared lower-cased, letters and digits only, by their slot among 65,535 hashes. Words in more than COMMON of
-all documents carry no weight in the latent space, unless a benchmark passage has fewer than RARE others. Texts are cut
-into words once: the slots that occur in the benchmark are written to the shared folder, two bytes a word, and counted
-and searched from there. Memory is bounded: the latent space by slots and rank, and benchmark passages are searched in
-blocks of at most about BLOCK.
+Words are cut at white space and compared lower-cased, letters and digits only, by 64-bit hashes; each word of the
+benchmark has a row of its own. Words in more than COMMON of all documents carry no weight in the latent space, unless a
+benchmark passage has fewer than RARE others. Texts are cut into words once: the rows of the benchmark's words are written
+to the shared folder, two or four bytes a word, and counted and searched from there. Memory grows with the benchmark's
+words (one row of the latent space each), not with the documents; passages are searched in blocks of at most about BLOCK.
 
 Null and empty texts and passages of fewer than MIN_WORDS words match nothing; an empty benchmark matches nothing. Equal
 items are all reported; rows that share a doc_id are each searched, and a document is reported once for each item.
@@ -22,19 +22,19 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import partial
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import cut_vector, hold, small_batches, sum_vectors
+from .common import cut_vector, hold, release, small_batches, sum_vectors, tidy
+from .words import BLANKS, LOWER, Table, U, content, hashes, spans
 
-SLOTS, RANK, OVERSAMPLE, POWER = (1 << 16) - 1, 128, 16, 2
+RANK, OVERSAMPLE, POWER = 128, 16, 2
 PASSAGE, HALF, MIN_WORDS, RUN = 64, 32, 5, 5
 COMMON, RARE = 0.1, 5
 COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.75, 0.5, 5, 0.6
@@ -43,16 +43,58 @@ BLOCK = 2048
 GATHER = 30_000
 
 
-def slot(raw: str) -> int:
-    """The slot of a raw word's letters and digits; -1 if it has none."""
-    low = raw.lower()
-    word = low if low.isalnum() else "".join(filter(str.isalnum, low))
-    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % SLOTS if word else -1
-
-
-def word_slots(text: str | None) -> np.ndarray:
-    found = np.array([slot(w) for w in (text or "").split()], np.int64)
-    return found[found >= 0].astype(np.uint16)
+#: ASCII letters and digits, blanks, and all bytes of other characters.
+_KEEP = BLANKS.copy()
+_KEEP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+#: White space beyond ASCII, and the first bytes it has in UTF-8.
+_SPACES, _SPACE_LEADS = "[\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", np.isin(np.arange(256), [0xC2, 0xE1, 0xE2, 0xE3])
+
+
+def word_keys(column, learned: Table, keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all words of a string column, and how many each text has; 0 stands for words without letters and digits.
+
+    ASCII words are reduced and hashed on their bytes. For others `learned` has places in keys[0], which grows.
+    """
+    data, at = content(column)
+    if len(data) and _SPACE_LEADS[data].any():
+        data, at = content(pc.replace_substring_regex(column, _SPACES, " "))
+    keep = _KEEP[data]
+    at = np.r_[0, np.cumsum(keep)][at]
+    low = LOWER[data[keep]]
+    begins, ends = spans(BLANKS[low], at)
+    found = hashes(low, begins, ends)
+    wide = np.unique(np.searchsorted(begins, np.flatnonzero(low >= 128), "right") - 1)
+    if len(wide):
+        own = found[wide]
+        place = learned.find(own)
+        _, one = np.unique(own[place < 0], return_index=True)
+        one = np.flatnonzero(place < 0)[one]
+        if len(one):
+            raw = low.tobytes()
+            pairs = zip(begins[wide[one]].tolist(), ends[wide[one]].tolist())
+            reduced = ["".join(filter(str.isalnum, raw[x:y].decode("utf-8", "replace").lower())).encode() for x, y in pairs]
+            sizes = np.cumsum([len(x) for x in reduced])
+            new = hashes(np.frombuffer(b"".join(reduced), np.uint8), np.r_[0, sizes[:-1]], sizes)
+            new[np.diff(sizes, prepend=0) == 0] = 0
+            order = np.argsort(own[one])
+            known, values = own[one][order], new[order]
+            if len(one) <= learned.left:
+                learned.add(known, (len(keys[0]) + np.arange(len(known))).astype(np.int32))
+                keys[0] = np.concatenate([keys[0], values])
+            fresh = place < 0
+            out = np.zeros(len(own), U)
+            out[~fresh] = keys[0][place[~fresh]]
+            out[fresh] = values[np.searchsorted(known, own[fresh])]
+        else:
+            out = keys[0][place]
+        found[wide] = out
+    return found, np.diff(np.searchsorted(begins, at))
+
+
+def item_keys(text: str | None) -> np.ndarray:
+    """The keys of a text's words."""
+    found = word_keys(pa.array([text or ""]), Table(8), [np.zeros(0, U)])[0]
+    return found[found != 0]
 
 
 def cut(n: int) -> list[tuple[int, int]]:
@@ -63,15 +105,15 @@ def cut(n: int) -> list[tuple[int, int]]:
 
 
 def passages(benchmark: DataFrame) -> DataFrame:
-    """(item_id, part, words, answer): the slots of every benchmark passage of MIN_WORDS words or more, as binary."""
+    """(item_id, part, words, answer): the keys of every benchmark passage of MIN_WORDS words or more, as binary."""
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
 
     def run(batches):
         for pdf in batches:
             rows = []
             for i, text, a in zip(pdf["item_id"].astype("Int64"), pdf["text"], pdf["answer"]):
-                words = word_slots(text)
-                own = np.unique(word_slots(a)).tobytes()
+                words = item_keys(text)
+                own = np.unique(item_keys(a)).tobytes()
                 rows += [(i, k, words[s:e].tobytes(), own) for k, (s, e) in enumerate(cut(len(words))) if e - s >= MIN_WORDS]
             yield pd.DataFrame(rows, columns=["item_id", "part", "words", "answer"]).astype({"item_id": "Int64"})
 
@@ -79,86 +121,94 @@ def passages(benchmark: DataFrame) -> DataFrame:
     return kept.mapInPandas(run, "item_id long, part int, words binary, answer binary")
 
 
-def slots_of(items: DataFrame) -> np.ndarray:
-    """Sorted slots that occur in any passage."""
+def vocabulary(items: DataFrame) -> np.ndarray:
+    """Sorted keys of the words of any passage: a word's place here is its row."""
 
     def run(batches):
-        seen = np.zeros(SLOTS, bool)
         for pdf in batches:
-            for x in [*pdf["words"], *pdf["answer"]]:
-                seen[np.frombuffer(x, np.uint16)] = True
-        yield pd.DataFrame({"slot": np.flatnonzero(seen)})
-
-    return np.array(sorted(r["slot"] for r in items.mapInPandas(run, "slot int").distinct().collect()), np.int64)
-
+            yield pd.DataFrame({"key": np.unique(np.concatenate([np.frombuffer(x, U) for x in [*pdf["words"], *pdf["answer"]]])).view(np.int64)})
 
-class _Known(dict):
-    """Raw words' rows among the benchmark's slots: SLOTS for other words, -1 for those without letters. The first MOST words are kept, which the frequent ones are among."""
+    return np.sort(np.array([r["key"] for r in items.mapInPandas(run, "key long").distinct().collect()], np.int64).view(U))
 
-    MOST = 300_000
 
-    def __init__(self, row: np.ndarray):
-        self.row = row
-
-    def __missing__(self, raw):
-        s = slot(raw)
-        out = s if s < 0 else int(self.row[s])
-        if len(self) < self.MOST:
-            self[raw] = out
-        return out
+def _width(size: int) -> type:
+    return np.uint16 if size < 1 << 16 else np.uint32
 
 
-_KNOWN: dict[int, _Known] = {}
+class _Rows:
+    """What a worker has for one vocabulary: the rows of its words, and what it has learned about words beyond ASCII."""
 
+    _own: dict[bytes, _Rows] = {}
 
-def _known(row: np.ndarray) -> _Known:
-    """The one that this worker has for the same rows, if any: tasks share what they learn."""
-    key = xxhash.xxh3_64_intdigest(row.tobytes())
-    if key not in _KNOWN:
-        _KNOWN.clear()
-        _KNOWN[key] = _Known(row)
-    return _KNOWN[key]
+    def __init__(self, words: np.ndarray):
+        self.table = Table(max(8, int(len(words)).bit_length() + 2))
+        self.table.add(words, np.arange(len(words), dtype=np.int32))
+        self.other = len(words)
+        self.learned, self.keys = Table(19), [np.zeros(0, U)]
 
-
-def read(docs: DataFrame, slots: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep` of every row, by position as c0, c1 ..., and `words`: the benchmark's rows in the text, two bytes a word. Written to the shared folder."""
+    @classmethod
+    def of(cls, words: np.ndarray) -> _Rows:
+        """Tasks of a worker share what they learn."""
+        key = words.tobytes()
+        if key not in cls._own:
+            cls._own.clear()
+            cls._own[key] = cls(words)
+        return cls._own[key]
+
+    def read(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all words of a string column, `other` for words of no passage, and how many each text has."""
+        keys, count = word_keys(column, self.learned, self.keys)
+        rows = self.table.find(keys)
+        rows[rows < 0] = self.other
+        kept = keys != 0
+        if kept.all():
+            return rows, count
+        return rows[kept], np.diff(np.r_[0, np.cumsum(kept)][np.r_[0, np.cumsum(count)]])
+
+
+def read(docs: DataFrame, words: np.ndarray, keep: list[str]) -> DataFrame:
+    """The columns `keep` of every row, by position as c0, c1 ..., and `words`: the benchmark's rows in the text. Written to the shared folder."""
     small_batches(docs.sparkSession)
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.col("text").alias("text__"))
     schema = StructType([*rows.schema.fields[:-1], StructField("words", BinaryType())])
-    sent = docs.sparkSession.sparkContext.broadcast(_rows(slots))
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    kind = _width(len(words) + 1)
 
     def run(batches):
-        known = _known(sent.value)
+        own = _Rows.of(sent.value)
         for batch in batches:
-            split = [(t or "").split() for t in batch.column(len(keep)).to_pylist()]
-            lengths = np.fromiter(map(len, split), np.int64, len(split))
-            found = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int32, int(lengths.sum()))
-            parts = [x[x >= 0].astype(np.uint16).tobytes() for x in np.split(found, np.cumsum(lengths)[:-1])] if split else []
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(parts, pa.binary())], schema.names)
+            found, count = own.read(batch.column(len(keep)))
+            raw = found.astype(kind)
+            at = np.r_[0, np.cumsum(count)] * raw.itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(count), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], packed], schema.names)
+        tidy()
 
     return hold(rows.mapInArrow(run, schema), "words")
 
 
-def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The rows of all texts, one after the other, and the texts' lengths."""
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) // 2
-    return np.frombuffer(b"".join(words), np.uint16), lengths
+def _flat(column, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all read texts, one after the other, and the texts' lengths."""
+    data, at = content(column)
+    return np.frombuffer(data.tobytes(), kind), np.diff(at) // np.dtype(kind).itemsize
 
 
 def document_frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
     """In how many of the read documents each of `size` rows occurs, and the number of documents."""
+    kind = _width(size + 1)
 
     def run(batches):
-        counts = np.zeros(SLOTS + 1, np.int64)
+        counts = np.zeros(size, np.int64)
         n = 0
         for batch in batches:
-            rows, lengths = _flat(batch.column(0).to_pylist())
+            rows, lengths = _flat(batch.column(0), kind)
             n += len(lengths)
             owner = np.repeat(np.arange(len(lengths)), lengths)
-            once = np.unique((owner << 16 | rows)[rows < SLOTS]) & 0xFFFF
-            counts += np.bincount(once, minlength=SLOTS + 1)
+            known = rows < size
+            counts += np.bincount(np.unique(owner[known] * size + rows[known]) % max(1, size), minlength=size)
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(counts[at], n), pa.int64())], ["row", "n"])
+        tidy()
 
     found = docs.select("words").mapInArrow(run, "row int, n long").groupBy("row").agg(F.sum("n").alias("n")).collect()
     out = np.zeros(size)
@@ -168,43 +218,41 @@ def document_frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, int]:
     return out, sum(r["n"] for r in found if r["row"] < 0)
 
 
-def _rows(slots: np.ndarray) -> np.ndarray:
-    """Row of each slot in the tables, SLOTS for slots of no passage."""
-    row = np.full(SLOTS, SLOTS, np.int32)
-    row[slots] = np.arange(len(slots))
-    return row
+def _at(words: np.ndarray, keys: bytes) -> np.ndarray:
+    """Rows of the words of a passage."""
+    return np.searchsorted(words, np.frombuffer(keys, U))
 
 
-def weights_of(items: DataFrame, slots: np.ndarray, idf: np.ndarray, common: np.ndarray) -> np.ndarray:
+def weights_of(items: DataFrame, words: np.ndarray, idf: np.ndarray, common: np.ndarray) -> np.ndarray:
     """idf, but 0 for common words that no passage needs."""
 
     def run(batches):
-        row, common = sent.value
+        words, common = sent.value
         needed = np.zeros(len(common), bool)
         for pdf in batches:
             for x in pdf["words"]:
-                at = np.unique(row[np.frombuffer(x, np.uint16)])
+                at = np.unique(_at(words, x))
                 if (~common[at]).sum() < RARE:
                     needed[at] = True
         yield pd.DataFrame({"row": np.flatnonzero(needed)})
 
-    sent = items.sparkSession.sparkContext.broadcast((_rows(slots), common))
+    sent = items.sparkSession.sparkContext.broadcast((words, common))
     needed = [r["row"] for r in items.mapInPandas(run, "row int").distinct().collect()]
     out = np.where(common, 0.0, idf)
     out[needed] = idf[needed]
     return out
 
 
-def _gram(items: DataFrame, row: np.ndarray, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
+def _gram(items: DataFrame, words: np.ndarray, idf: np.ndarray, x: np.ndarray) -> np.ndarray:
     """A' A x for the TF-IDF matrix A of all passages (rows of length 1): the partitions' partial products are summed in parallel."""
-    sent = items.sparkSession.sparkContext.broadcast((row, idf, x))
+    sent = items.sparkSession.sparkContext.broadcast((words, idf, x))
 
     def product(batches):
-        row, idf, x = sent.value
+        words, idf, x = sent.value
         out = np.zeros(x.shape)
         for pdf in batches:
-            for words in pdf["words"]:
-                at, tf = np.unique(row[np.frombuffer(words, np.uint16)], return_counts=True)
+            for own in pdf["words"]:
+                at, tf = np.unique(_at(words, own), return_counts=True)
                 a = tf * idf[at]
                 norm = float(np.sqrt(a @ a))
                 if norm:
@@ -215,14 +263,14 @@ def _gram(items: DataFrame, row: np.ndarray, idf: np.ndarray, x: np.ndarray) ->
     return sum_vectors(items.select("words").mapInPandas(product, "chunk int, part binary"), x.size).reshape(x.shape)
 
 
-def latent_space(items: DataFrame, slots: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """The leading right singular vectors (one row for each slot) by a randomised range finder with power iterations."""
-    rank = min(rank, len(slots))
-    width = min(rank + OVERSAMPLE, len(slots))
-    q = np.linalg.qr(np.random.default_rng(8).standard_normal((len(slots), width)))[0]
+def latent_space(items: DataFrame, words: np.ndarray, idf: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """The leading right singular vectors (one row for each word) by a randomised range finder with power iterations."""
+    rank = min(rank, len(words))
+    width = min(rank + OVERSAMPLE, len(words))
+    q = np.linalg.qr(np.random.default_rng(8).standard_normal((len(words), width)))[0]
     for _ in range(POWER):
-        q = np.linalg.qr(_gram(items, _rows(slots), idf, q))[0]
-    values, vectors = np.linalg.eigh(q.T @ _gram(items, _rows(slots), idf, q))
+        q = np.linalg.qr(_gram(items, words, idf, q))[0]
+    values, vectors = np.linalg.eigh(q.T @ _gram(items, words, idf, q))
     return (q @ vectors[:, np.argsort(-values)[:rank]]).astype(np.float32)
 
 
@@ -262,17 +310,17 @@ class Model:
     begins: np.ndarray  # whether a run's hash begins with these 16 bits
 
     @classmethod
-    def of(cls, found: list, slots: np.ndarray, idf: np.ndarray, gain: np.ndarray, space: np.ndarray) -> Model:
-        row, weights = _rows(slots), (space * gain[:, None]).astype(np.float32)
-        heavy = np.zeros(SLOTS + 1, bool)
+    def of(cls, found: list, words: np.ndarray, idf: np.ndarray, gain: np.ndarray, space: np.ndarray) -> Model:
+        weights = (space * gain[:, None]).astype(np.float32)
+        heavy = np.zeros(len(gain) + 1, bool)
         heavy[: len(gain)] = gain > 0
         items, vectors, masks, sizes, answers, keys = [], [], [], [], [], []
         for r in found:
-            at = row[np.frombuffer(r["words"], np.uint16)]
+            at = _at(words, r["words"])
             own: dict[int, int] = {}
             for k, x in enumerate(at.tolist()):
                 own[x] = own.get(x, 0) | 1 << k
-            answer = set(row[np.frombuffer(r["answer"], np.uint16)].tolist())
+            answer = set(_at(words, r["answer"]).tolist())
             hashes = runs(at).tolist()
             keys += [(hashes[k], len(items), k) for k in sorted({*range(0, len(hashes), RUN), len(hashes) - 1})]
             items.append(r["item_id"])
@@ -299,18 +347,18 @@ class Model:
             out[own[starts]] += np.add.reduceat(self.weights[at[a : a + GATHER]], starts, axis=0)
         return out
 
-    def search(self, words: list[bytes]) -> list[dict[int, tuple[float, float, float]]]:
+    def search(self, column) -> list[dict[int, tuple[float, float, float]]]:
         """For each read text its leaks: passage number -> (share of the subsequence, share of the answer, cosine)."""
-        rows, lengths = _flat(words)
+        rows, lengths = _flat(column, _width(len(self.heavy)))
         halves = -(-lengths // HALF)
         first = np.r_[0, np.cumsum(halves)]
-        found: list[dict[int, tuple[float, float, float]]] = [{} for _ in words]
+        found: list[dict[int, tuple[float, float, float]]] = [{} for _ in lengths]
         if not first[-1] or not self.items:
             return found
         begin = np.r_[0, np.cumsum(lengths)]
         place = np.arange(len(rows)) - np.repeat(begin[:-1], lengths)
         sums = self.folded(rows, np.repeat(first[:-1], lengths) + place // HALF, int(first[-1]))
-        owner = np.repeat(np.arange(len(words)), halves)
+        owner = np.repeat(np.arange(len(lengths)), halves)
         both = sums.copy()
         same = np.flatnonzero(owner[1:] == owner[:-1])
         both[same] += sums[same + 1]
@@ -355,19 +403,19 @@ class Model:
 def models(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> tuple[DataFrame, list]:
     """The read documents, and for each block of benchmark passages a call that makes its model. One SVD and one count of document frequencies serve all blocks."""
     items = hold(passages(benchmark), "passages")
-    slots = slots_of(items)
-    if not len(slots):
+    words = vocabulary(items)
+    if not len(words):
         return docs, []
-    rows = read(docs, slots, keep)
-    df, n = document_frequencies(rows, len(slots))
+    rows = read(docs, words, keep)
+    df, n = document_frequencies(rows, len(words))
     idf = np.log((n + 1) / (df + 0.5))
-    gain = weights_of(items, slots, idf, df > COMMON * n)
+    gain = weights_of(items, words, idf, df > COMMON * n)
     gain = np.maximum(gain, np.where(gain > 0, 0.01, 0))
-    space = latent_space(items, slots, gain)
+    space = latent_space(items, words, gain)
     blocks = max(1, -(-items.count() // BLOCK))
 
     def block(b):
-        return Model.of(items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == b).collect(), slots, idf, gain, space)
+        return Model.of(items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == b).collect(), words, idf, gain, space)
 
     return rows, [partial(block, b) for b in range(blocks)]
 
@@ -384,7 +432,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, sent=sent):
             m = sent.value
             for batch in batches:
-                found = [(i, m.items[j], *v) for i, own in zip(batch.column(0).to_pylist(), m.search(batch.column(1).to_pylist())) for j, v in own.items()]
+                found = [(i, m.items[j], *v) for i, own in zip(batch.column(0).to_pylist(), m.search(batch.column(1))) for j, v in own.items()]
                 columns = list(zip(*found)) if found else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.float64()] * 3)], ["doc_id", "item_id", "lcs_share", "answer_share", "cosine"])
 
@@ -404,7 +452,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
         def run(batches, sent=sent):
             for batch in batches:
-                own = sent.value.search(batch.column(batch.num_columns - 1).to_pylist())
+                own = sent.value.search(batch.column(batch.num_columns - 1))
                 yield batch.filter(pa.array([not x for x in own], pa.bool_()))
 
         rows = rows.mapInArrow(run, rows.schema)

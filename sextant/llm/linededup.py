@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import hold
+
 RATIO, MIN_PAGES = 0.02, 3
 #: Boilerplate lines of all hosts that may be broadcast, at 8 bytes each.
 BROADCAST_LINES = 500_000
@@ -42,42 +44,40 @@ def boilerplate(docs: DataFrame, host_col: str = "source", text_col: str = "text
     return often.join(totals, "host").filter(F.col("n") > ratio * F.col("total")).groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("lines"))
 
 
-def drop_lines(docs: DataFrame, bad: DataFrame, host_col: str = "source", text_col: str = "text", suffix: str = "_") -> DataFrame:
-    """The rows of `docs` with `n_lines` + suffix, `n_dropped` + suffix, and the text without its host's boilerplate."""
-    host, lines, salt = f"host__{suffix}", f"lines__{suffix}", f"salt__{suffix}"
-    bad = bad.toDF(host, lines)
-    docs = docs.withColumn(f"own__{suffix}", F.coalesce(_host(host_col), F.lit("-")))
-    if (bad.agg(F.sum(F.size(lines))).first()[0] or 0) <= BROADCAST_LINES:
-        joined = docs.join(F.broadcast(bad), F.col(f"own__{suffix}") == F.col(host), "left")
+def drop_lines(rows: DataFrame, bad: DataFrame) -> DataFrame:
+    """(row, n_lines, n_dropped, text) of (row, host, text): each text without its host's boilerplate, which `bad` has as (host, lines)."""
+    bad = bad.toDF("own", "bad")
+    rows = rows.select("row", F.coalesce(F.concat(F.lit("h"), F.col("host").cast("string")), F.lit("-")).alias("host"), "text")
+    if (bad.agg(F.sum(F.size("bad"))).first()[0] or 0) <= BROADCAST_LINES:
+        joined = rows.join(F.broadcast(bad), F.col("host") == F.col("own"), "left")
     else:  # the hot hosts' pages go to many tasks
-        bad = bad.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        docs = docs.withColumn(f"own_{salt}", F.pmod(F.xxhash64(F.col(text_col)), F.lit(SALTS)).cast("int"))
-        joined = docs.join(bad, (F.col(f"own__{suffix}") == F.col(host)) & (F.col(f"own_{salt}") == F.col(salt)), "left").drop(salt, f"own_{salt}")
-    kept = F.filter(_lines(F.col(text_col)), lambda x: ~F.array_contains(F.col(lines), F.xxhash64(x)) | (F.trim(F.translate(x, "\t\r\f\v", "    ")) == ""))
-    joined = joined.withColumn(f"kept__{suffix}", F.when(F.col(lines).isNull(), _lines(F.col(text_col))).otherwise(kept))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)) if c is not None else c
-    return (
-        joined.withColumn(f"n_lines{suffix}", F.when(F.col(text_col).isNull(), 0).otherwise(size(_lines(F.col(text_col)))).cast("long"))
-        .withColumn(f"n_dropped{suffix}", F.col(f"n_lines{suffix}") - F.when(F.col(text_col).isNull(), 0).otherwise(size(F.col(f"kept__{suffix}"))))
-        .withColumn(text_col, F.when(F.col(f"n_dropped{suffix}") > 0, F.array_join(F.col(f"kept__{suffix}"), "\n")).otherwise(F.col(text_col)))
-        .drop(host, lines, f"own__{suffix}", f"kept__{suffix}")
-    )
+        bad = bad.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("text"), F.lit(SALTS)).cast("int"))
+        joined = rows.join(bad, (F.col("host") == F.col("own")) & (F.col("salt") == F.col("part")), "left")
+    lines = _lines(F.col("text"))
+    kept = F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains(F.col("bad"), F.xxhash64(x)) | (F.trim(F.translate(x, "\t\r\f\v", "    ")) == "")))
+    sizes = joined.select("row", "text", kept.alias("kept"), F.coalesce(F.size(lines), F.lit(0)).alias("n"))
+    sizes = sizes.select("row", "text", "kept", F.when(F.col("text").isNull(), 0).otherwise(F.col("n")).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("kept"), F.lit(0))).cast("long").alias("left"))
+    text = F.when(F.col("n_lines") > F.col("left"), F.array_join("kept", "\n")).otherwise(F.col("text"))
+    return sizes.select("row", "n_lines", (F.col("n_lines") - F.col("left")).alias("n_dropped"), text.alias("text"))
 
 
 def line_dedup(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """doc_id, n_lines, n_dropped, text of every page."""
-    bad = boilerplate(docs, host_col, text_col, ratio, min_pages).persist()
-    out = drop_lines(docs.select("doc_id", host_col, text_col), bad, host_col, text_col, suffix="")
-    return out.select("doc_id", "n_lines", "n_dropped", F.col(text_col).alias("text"))
+    bad = hold(boilerplate(docs, host_col, text_col, ratio, min_pages), "boilerplate")
+    out = drop_lines(docs.select(F.col("doc_id").alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text")), bad)
+    return out.select(F.col("row").alias("doc_id"), "n_lines", "n_dropped", "text")
 
 
 def cleaned(docs: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """The rows of `docs`, with all their columns, without their hosts' boilerplate; `n_chars`, if there is one, follows the text."""
-    bad = boilerplate(docs, host_col, text_col, ratio, min_pages, by_text=True).persist()
-    out = drop_lines(docs, bad, host_col, text_col, suffix="__")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("n_dropped__") > 0, F.length(text_col)).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    bad = hold(boilerplate(docs, host_col, text_col, ratio, min_pages, by_text=True), "boilerplate")
+    others = [c for c in docs.columns if c != text_col]
+    out = drop_lines(docs.select(F.struct(*others).alias("row"), F.col(host_col).alias("host"), F.col(text_col).alias("text")), bad)
+    of = {c: F.col("row").getField(c) for c in others} | {text_col: F.col("text")}
+    if "n_chars" in others:
+        of["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(of["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(of[c].alias(c) for c in docs.columns))
 
 
 ORACLE = f"""

@@ -6,9 +6,10 @@ candidates, and a candidate is a link only if the exact Jaccard similarity of th
 
 Equal sets are one class from the start, so groups of copies cost one row each. A member is first compared to the
 smallest one of all its buckets, then, if it stayed apart, to each bucket's smallest one; components are formed each
-time. Last, members of different components in one bucket are compared with each other, in blocks, and only if their
-signatures don't rule the similarity out by DEVIATIONS. So no bucket makes all its pairs, and none is cut short. With 40
-bands of 5, a pair at 0.8 is missed with chance 1e-7, and ruled out by its signatures with one of 1e-7.
+time. Last, members of different components in one bucket are compared with each other by their full sets, in blocks of
+bounded size, and only if their signatures don't rule the similarity out by DEVIATIONS. So no bucket makes all its pairs,
+and none is cut short. With 40 bands of 5, a pair at 0.8 is missed with chance 1e-7, and ruled out by its signatures with
+one of 1e-7. Buckets and classes of more than HOT rows are joined by broadcast, so no task gets all rows of one.
 
 Null texts and texts without words have the empty set, which is linked with nothing; a text with fewer words than a
 shingle is one shingle. Rows that share a doc_id are separate rows of the same document.
@@ -20,56 +21,57 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hold, small_batches, small_enough
+from .common import hold, release, small_batches, small_enough, tidy
 from .components import components
+from .words import Words
 
 BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
 #: Removed ids that may be broadcast, at 8 bytes each.
 BROADCAST_IDS = 1_000_000
 DEVIATIONS = 5.5
-#: By how much equal 32-bit hashes may change the size of an intersection, at most.
-SLACK = 2
-_LOW = (1 << 31) - 1
-#: Members of a bucket that one task compares with as many others.
-BLOCK = 1000
+#: Members of a bucket that one task compares with as many others, and bytes of their sets.
+BLOCK, BLOCK_BYTES = 1000, 16 << 20
+#: Rows of one key beyond which it is joined by broadcast, and such keys at most (some 50 bytes each).
+HOT, HOT_KEYS = 1000, 1_000_000
 _U = np.uint64
 _M1, _M2 = _U(0xFF51AFD7ED558CCD), _U(0xC4CEB9FE1A85EC53)
 
 
-class _Words(dict):
-    """64-bit hashes of words. The first MOST words are kept, which the frequent ones are among."""
+def shingles(column, width: int) -> list[np.ndarray]:
+    """Of each text of a string column the sorted distinct 64-bit hashes of its shingles of `width` words."""
+    words = Words.of(column)
+    h, ends = words.hash, np.cumsum(words.count)
 
-    MOST = 200_000
+    def joined(x, own, k):
+        return (x ^ (x >> _U(31))) * _M1 + own[k : k + len(x)]
 
-    def __missing__(self, word):
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.MOST:
-            self[word] = h
-        return h
-
-
-_WORDS = _Words()
+    x = h[: max(0, len(h) - width + 1)].copy()
+    for k in range(1, width):
+        x = joined(x, h, k)
+    x = _finished(x)
+    out = []
+    for n, end in zip(words.count.tolist(), ends.tolist()):
+        if n >= width:
+            out.append(np.unique(x[end - n : end - width + 1]))
+            continue
+        own = h[end - n : end]  # fewer words than a shingle: all as one
+        one = own[:1].copy()
+        for k in range(1, n):
+            one = joined(one, own, k)
+        out.append(_finished(one))
+    return out
 
 
-def shingles(text: str | None, width: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's shingles of `width` words."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return np.empty(0, _U)
-    h = np.fromiter(map(_WORDS.__getitem__, words), _U, len(words))
-    width = min(width, len(h))
-    x = h[: len(h) - width + 1].copy()
-    for k in range(1, width):
-        x = (x ^ (x >> _U(31))) * _M1 + h[k : len(h) - width + 1 + k]
-    x ^= x >> _U(33)
+def _finished(x: np.ndarray) -> np.ndarray:
+    x = x ^ (x >> _U(33))
     x *= _M2
-    x ^= x >> _U(29)
-    return np.unique(x)
+    return x ^ (x >> _U(29))
 
 
 def _sigma(x: np.ndarray) -> np.ndarray:
@@ -117,35 +119,45 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
 def _signed(docs: DataFrame, width: int) -> DataFrame:
     """(doc_id, n, key, bands, sig) in one pass; sig is the signature's low 16 bits."""
     small_batches(docs.sparkSession)
+    names = ["doc_id", "n", "key", "bands", "sig"]
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             seen: dict[bytes, int] = {}
-            rows = []
-            for i, t in zip(pdf["doc_id"].astype("Int64"), pdf["text"]):
-                s = shingles(t, width)
-                key = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                bands = sig = None
-                if key is not None and (key not in seen or i is pd.NA or i < seen[key]):  # a class needs its smallest row's only
+            ids, sets = batch.column(0).to_pylist(), shingles(batch.column(1), width)
+            keys = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
+            bands, sigs = [None] * len(ids), [None] * len(ids)
+            for k, (i, s, key) in enumerate(zip(ids, sets, keys)):
+                if key is not None and (key not in seen or i is None or i < seen[key]):  # a class needs its smallest row's only
                     full = signature(s)
-                    bands, sig = band_keys(full), full.astype("<u2").tobytes()
-                    if i is not pd.NA:
+                    bands[k], sigs[k] = band_keys(full), full.astype("<u2").tobytes()
+                    if i is not None:
                         seen[key] = i
-                rows.append((i, len(s), key, bands, sig))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "key", "bands", "sig"]).astype({"doc_id": "Int64"})
+            sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names)
+        tidy()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, n long, key binary, bands array<long>, sig binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>, sig binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(doc_id, set, small) of the wanted ids: the full sorted shingle hashes, and their 32-bit ones."""
+    """(doc_id, set) of the wanted ids: the full sorted shingle hashes."""
 
     def run(batches):
-        for pdf in batches:
-            full = [shingles(t, width) for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "set": [s.tobytes() for s in full], "small": [np.unique(s.astype(np.uint32)).tobytes() for s in full]})
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingles(batch.column(1), width)], pa.binary())], ["doc_id", "set"])
+        tidy()
+
+    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
+
 
-    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInPandas(run, "doc_id long, set binary, small binary")
+def _joined_by(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """`rows` joined to `found`, which has each key once and `many`, about the number of the key's rows: hot keys' rows stay where they are."""
+    hot = found.filter(F.col("many") > HOT).drop("many")
+    if not small_enough(hot, HOT_KEYS):
+        return rows.join(found.drop("many"), key, how)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.filter(F.col("many") <= HOT).drop("many"), key, how)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -160,32 +172,35 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pdf.loc[keep, ["a", "b"]]
+        tidy()
 
     return joined.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
 def _blocked_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs that link different components in a bucket, as far as 32-bit sets tell, likely ones first; none between what earlier pairs have linked.
+    """Pairs that link different components in a bucket, likely ones first; none between what earlier pairs have linked.
 
-    A bucket of m members is dealt into blocks of about BLOCK; each pair of blocks is one task's work, so memory is
-    bounded however large the bucket is. Sizes and signatures rule most pairs out; the rest are compared by their sets
-    on the spot, so only links leave the task. A pair is looked at in the first band that both are in.
+    A bucket of m members is dealt into blocks of about BLOCK members and BLOCK_BYTES of sets; each pair of blocks is one
+    task's work, so memory is bounded however large the bucket is. Sizes and signatures rule most pairs out; the rest are
+    compared by their full sets on the spot, so only links leave the task. A pair is looked at in the first band that both
+    are in.
     """
-    sizes = members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    dealt = members.join(sizes, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    need = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") * 8 / BLOCK_BYTES)).cast("int")
+    sizes = hold(members.groupBy("band").agg(need.alias("blocks"), F.count("*").alias("many")), "blocks")
+    dealt = _joined_by(members, sizes, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "root", "n", "sig", "small", F.transform("bands", lambda x: x.bitwiseAND(F.lit(_LOW)).cast("int")).alias("bands"))
+    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "root", "n", "sig", "set", "bands")
     j = percent / 100
     least = SIZE * (j - DEVIATIONS * (j * (1 - j) / SIZE) ** 0.5) if 0 < j < 1 else SIZE * j
 
     def run(pdf):
         lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
         sig = np.stack([np.frombuffer(x, "<u2") for x in pdf["sig"]])
-        sets = [np.frombuffer(x, np.uint32) for x in pdf["small"]]
+        sets = [np.frombuffer(x, _U) for x in pdf["set"]]
         rep, n, own = (pdf[c].to_numpy() for c in ("rep", "n", "own"))
         root = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
         bands = np.stack(pdf["bands"].to_list())
-        before = bands[:, : int(np.flatnonzero(bands[0] == int(pdf["band"].iloc[0]) & _LOW)[0])]
+        before = bands[:, : int(np.flatnonzero(bands[0] == int(pdf["band"].iloc[0]))[0])]
         a, b = [], []
         for i in np.flatnonzero(own == lo):
             ok = (root != root[i]) & (own == hi) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
@@ -196,12 +211,11 @@ def _blocked_pairs(members: DataFrame, percent: int) -> DataFrame:
             near = np.flatnonzero((count >= least) & ~(before[at] == before[i]).any(1))
             for k in at[near[np.argsort(-count[near], kind="stable")]].tolist():
                 if root[k] != root[i]:
-                    common, total = len(np.intersect1d(sets[i], sets[k], assume_unique=True)), int(n[i] + n[k])
-                    if 100 * (common + SLACK) >= percent * (total - common - SLACK):
+                    common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if 100 * common >= percent * (int(n[i] + n[k]) - common):
                         a.append(min(rep[i], rep[k]))
                         b.append(max(rep[i], rep[k]))
-                        if 100 * (common - SLACK) >= percent * (total - common + SLACK):  # a link for certain
-                            root[root == root[k]] = root[i]
+                        root[root == root[k]] = root[i]
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return dealt.groupBy("band", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
@@ -222,8 +236,8 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 def _apart(banded: DataFrame, roots: DataFrame) -> DataFrame:
     """The members, with their root, of the buckets that more than one component is in."""
     rooted = banded.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    mixed = rooted.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed")).filter("mixed").select("band")
-    return rooted.join(mixed, "band", "left_semi")
+    mixed = rooted.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("many")).filter("mixed").select("band", "many")
+    return _joined_by(rooted, hold(mixed, "mixed"), "band")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -234,13 +248,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = hold(_signed(docs, width), "signed")
-    classes = signed.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("rep"))
-    members = signed.select("doc_id", "n", "key").join(classes, "key", "left")
-    # the smallest row of a class always has a signature
-    reps = hold(signed.filter("sig is not null and doc_id is not null").join(classes, "key").filter("doc_id = rep").dropDuplicates(["rep"]).select("rep", "n", "sig", "bands"), "reps")
+    # the smallest row of a class always has a signature; copies are put together before the shuffle
+    first = F.min(F.when(F.col("sig").isNotNull(), F.struct("doc_id", "n", "sig", "bands")))
+    reps = signed.filter("key is not null and doc_id is not null").groupBy("key").agg(first.alias("m"), F.count("*").alias("many"))
+    reps = hold(reps.select("key", "many", F.col("m.doc_id").alias("rep"), "m.n", "m.sig", "m.bands"), "reps")
     flat = reps.select("rep", F.explode("bands").alias("band"))
-    shared = flat.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).filter("least < most").select("band", "least")
-    banded = hold(flat.join(shared, "band"), "bands")
+    shared = flat.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("many")).filter("least < most")
+    banded = hold(_joined_by(flat, hold(shared.select("band", "least", "many"), "shared"), "band"), "bands")
     sets = hold(_sets(docs, banded.select(F.col("rep").alias("doc_id")).distinct(), width), "sets")
     # one link a member, to the smallest of all its buckets, joins most of a group; what it leaves apart is compared to each bucket's smallest
     stars = hold(banded.filter("rep <> least").groupBy("rep").agg(F.min("least").alias("a")).select("a", F.col("rep").alias("b")), "stars")
@@ -251,12 +265,17 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     if not rest.isEmpty():
         roots = _joined(roots, _verified(rest, sets, percent))
     open_ = _apart(banded, roots).select("band", "rep", "root").join(reps.select("rep", "n", "sig", "bands"), "rep")
-    more = hold(_blocked_pairs(open_.join(sets.select(F.col("doc_id").alias("rep"), "small"), "rep"), percent), "pairs")
+    more = hold(_blocked_pairs(open_.join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep"), percent), "pairs")
     if not more.isEmpty():
-        roots = _joined(roots, _verified(more, sets, percent))
-    out = members.join(roots.toDF("rep", "root"), "rep", "left")
-    component = F.coalesce("root", "rep", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+        roots = _joined(roots, more)
+    release(banded, sets)
+    # rows that are alone in their class and component need no join
+    found = reps.select("key", "many", "rep").join(roots.toDF("rep", "root"), "rep", "left").filter("many > 1 or root is not null")
+    found = hold(found.select("key", "many", F.coalesce("root", "rep").alias("component_id")), "classes")
+    rows = signed.select("doc_id", F.col("n").alias("n_shingles"), "key")
+    out = _joined_by(rows.filter("key is not null"), found, "key", "left").drop("key").unionByName(rows.filter("key is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+    component = F.coalesce("component_id", "doc_id")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -264,15 +283,13 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
 
     Rows without doc_id stay. Only ids are shuffled unless doc_ids are repeated: then the repeated rows are, too.
     """
-    own = "id__"
     found = hold(near_duplicates(docs, width, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "kept")
     split = lambda ids: F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
-    named = docs.withColumn(own, F.col("doc_id").cast("long"))
-    removed = found.filter("not kept").select(F.col("doc_id").alias("gone__"))
-    out = named.join(split(removed), F.col(own) == F.col("gone__"), "left_anti")
-    repeated = found.filter("kept and rows > 1").select(F.col("doc_id").alias("again__"))
+    named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    out = named.join(split(found.filter("not kept").select(F.col("doc_id").alias("id"))), "id", "left_anti")
+    repeated = found.filter("kept and rows > 1").select(F.col("doc_id").alias("id"))
     if not repeated.isEmpty():
         again = split(repeated)
-        one = out.join(again, F.col(own) == F.col("again__"), "left_semi").dropDuplicates([own])
-        out = out.join(again, F.col(own) == F.col("again__"), "left_anti").unionByName(one)
-    return out.drop(own)
+        one = out.join(again, "id", "left_semi").dropDuplicates(["id"])
+        out = out.join(again, "id", "left_anti").unionByName(one)
+    return out.select("row.*")

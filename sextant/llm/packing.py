@@ -30,8 +30,8 @@ from .tokens import Tokens, default_tokenizer
 from .words import U, mix
 
 WINDOW, END = 2048, 1
-#: Ids of a shard at most, unless one document has more; about so many shards a task.
-SHARD_TOKENS, SHARDS = 1 << 21, 4
+#: Ids of a shard at most, unless one document has more.
+SHARD_TOKENS = 1 << 21
 K1, B = 1.2, 0.75
 #: Ids that at least one document in DENSE of a shard has are added up as whole rows of scores.
 DENSE = 8
@@ -180,7 +180,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     held = hold(tokenized(docs, path).withColumn("row", F.monotonically_increasing_id()), "tokens")
     total = held.agg(F.sum(F.col("size") + 1)).first()[0] or 0
-    tasks = max(min(partitions(spark), -(-total // (1 << 18))), -(-total // (SHARDS * shard_tokens)), 1)
+    tasks = max(min(partitions(spark), -(-total // (1 << 18))), -(-total // shard_tokens), 1)
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def packed(rows, base):
@@ -199,9 +199,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
         base, shard = TaskContext.get().partitionId() << 40, 0
         rows, held, last = [], 0, None
         for batch in batches:
-            for own, ids, place in zip(*(batch.column(k).to_pylist() for k in range(3))):
+            for own, ids, *place in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 size = len(ids) // np.dtype(wide).itemsize + 1
-                if rows and (held + size > shard_tokens or place != last and held > 0.8 * shard_tokens):
+                full = held / shard_tokens
+                if rows and (held + size > shard_tokens or full > 0.8 and place[0] != last[0] or full > 0.9 and place != last):
                     yield packed(rows, base + (shard << 24))
                     rows, held, shard = [], 0, shard + 1
                 last = place
@@ -212,4 +213,4 @@ def pack(docs: DataFrame, tokenizer: str | None = None, window: int = WINDOW, sh
         tidy()
 
     dealt = held.select("doc_id", "ids", "near", "far", "row").repartitionByRange(tasks, "near", "far", "row").sortWithinPartitions("near", "far", "row")
-    return dealt.select("doc_id", "ids", "near").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return dealt.select("doc_id", "ids", "near", "far").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import bounded_sample, hold, small_batches, small_enough
+from .common import bounded_sample, hold, small_batches, small_enough, tidy
 
 SAMPLE_ROWS, THRESHOLD = 20_000, 0.5
 #: Paths and hosts whose posteriors may be broadcast.
@@ -71,7 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
         for pdf in batches:
             yield pd.DataFrame({"x": [features(t) for t in pdf["text"]], "y": pdf["quality"]})
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").mapInPandas(run, "x array<double>, y int").collect()
+    # of rows that share a labelled doc_id one counts, so no more rows than labels reach the driver
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("quality").alias("quality")).mapInPandas(run, "x array<double>, y int").collect()
     y = np.array([r["y"] for r in rows], float)
     prior = np.array(DEFAULT)
     if len(set(y)) < 2:
@@ -86,21 +87,20 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> n
     return w
 
 
-def evidence(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """The columns `keep`, by position as c0, c1 ..., and p: the classifier's probability of good quality from the text alone."""
-    small_batches(docs.sparkSession)
+def evidence(rows: DataFrame, weights: np.ndarray) -> DataFrame:
+    """The columns of `rows` but the last, which is a text, and p: the classifier's probability of good quality from the text alone."""
+    small_batches(rows.sparkSession)
     w = np.asarray(weights)
-    names = [f"c{i}" for i in range(len(keep))]
-    rows = docs.select(*(F.col(k).alias(n) for n, k in zip(names, keep)), F.col("text").alias("text__"))
     schema = StructType([*rows.schema.fields[:-1], StructField("p", DoubleType())])
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(len(names)).to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             x = np.array([features(t) for t in texts]).reshape(-1, len(w))
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             p[[not (t and t.strip()) for t in texts]] = 0.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], [*names, "p"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(p, pa.float64())], schema.names)
+        tidy()
 
     return rows.mapInArrow(run, schema)
 
@@ -135,15 +135,15 @@ def posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
 
 
 def _scored(docs: DataFrame, labels: DataFrame, host: Column | None, path: Column | None, keep: list[str]) -> DataFrame:
-    """The columns `keep` as c0, c1 ..., with p, h, path_posterior and score."""
+    """The columns `keep` as c0, c1 ..., with p, h, path_posterior and score. Texts are read once: evidence is written beside what is kept."""
     host, path = F.col("source") if host is None else host, F.col("lang") if path is None else path
     weights = fit(docs, labels)
-    docs = docs.withColumn("host__", host.cast("string")).withColumn("path__", path.cast("string"))
-    groups, prior = posteriors(evidence(docs, weights, ["host__", "path__"]).toDF("host", "path", "p"))
+    rows = docs.select(*(F.col(k).alias(f"c{i}") for i, k in enumerate(keep)), host.cast("string").alias("host"), path.cast("string").alias("path"), F.col("text").alias("text"))
+    rows = hold(evidence(rows, weights), "evidence")
+    groups, prior = posteriors(rows.select("host", "path", "p"))
     groups = hold(groups.select(F.col("host").alias("gh"), F.col("path").alias("gp"), "h", "path_posterior", "shift"), "posteriors")
-    rows = evidence(docs, weights, [*keep, "host__", "path__"])
     groups = F.broadcast(groups) if small_enough(groups, BROADCAST_GROUPS) else groups
-    joined = rows.join(groups, F.col(f"c{len(keep)}").eqNullSafe(F.col("gh")) & F.col(f"c{len(keep) + 1}").eqNullSafe(F.col("gp")), "left")
+    joined = rows.join(groups, F.col("host").eqNullSafe(F.col("gh")) & F.col("path").eqNullSafe(F.col("gp")), "left")
     p = F.least(F.greatest(F.col("p"), F.lit(1e-12)), F.lit(1 - 1e-12))
     total = 1 / (1 + F.exp(-(F.log(p / (1 - p)) + F.coalesce("shift", F.lit(0.0)))))
     return joined.withColumn("score", F.when(F.col("p") == 0, 0.0).otherwise(total))
