@@ -1,19 +1,19 @@
 """Language-model scoring: a causal self-attention model in numpy on subword ids, beside exact unigram counts.
 
-One attention head with relative position biases reads the last subwords and predicts the next one in two steps: its
-class (a frequent subword by itself, or a band of rarer ones), then its place in the band. The rarest make up the last
-band, in which counts of the whole training corpus give each its share. Texts are cut into windows of WINDOW ids that overlap by LEAD; each id,
-and one end at last, is scored once, by the window that holds at least LEAD ids before it.
+One attention head with relative position biases reads the last subwords and predicts the class of the next one: a
+frequent subword by itself, or one of CLUSTERS groups of the others, which are put together by the classes they follow.
+The class has a prior given the subword before it, and a subword its share of its class given the class before it, both
+from counts of all training documents; the attention model learns what they leave. Texts are cut into windows of WINDOW ids that
+overlap by LEAD; each id, and one end at last, is scored once, by the window that holds at least LEAD ids before it.
 
 The model is trained on all training documents, each read once: they are dealt over the rounds by a hash of the id, in a
 round every partition trains on its own documents from the same parameters, and the results are averaged by the ids they
-have seen. Counts of words and subwords cover all training documents.
+have seen. Counts of words, subwords and pairs of them cover all training documents.
 
 Words' counts reach the scoring tasks in two ways: at most FREQUENT words (those above a cut-off count) are broadcast;
 the rest, none of which is frequent, are joined. Words are told apart by 64-bit hashes. Texts are read twice: once for the
 counts of words, once for the base score and the subword ids, which are written to the shared folder and trained on and
-scored from there. Null texts count as empty: the
-end alone is scored. Rows that share a doc_id are scored one by one.
+scored from there. Null texts count as empty: the end alone is scored. Rows that share a doc_id are scored one by one.
 """
 
 from __future__ import annotations
@@ -29,15 +29,17 @@ from pyspark.sql import functions as F
 
 from .common import cut_vector, fold, hashed_share, hold, small_batches, sum_vectors, tidy
 from .tokens import Tokens, default_tokenizer
-from .words import Table, U, Words
+from .words import Table, U, Words, content
 
 WINDOW, LEAD, WIDTH = 32, 8, 16
 STEP = WINDOW - LEAD
-#: Classes: frequent ids, bands of ids, and one for all the rest. Ids with an embedding of their own.
-OWN, BANDS, BAND, EMBEDDED = 80, 16, 64, 4096
-CLASSES = OWN + BANDS + 1
-#: Windows that are read at once, which is what a processor's cache holds.
-CHUNK = 64
+#: Classes: frequent ids, and groups of the others. Ids with an embedding of their own.
+OWN, CLUSTERS, EMBEDDED = 80, 32, 4096
+CLASSES = OWN + CLUSTERS
+#: Pseudo-counts of the ids' shares in what follows a class.
+SHRINK = 30.0
+#: Windows that are read at once, which is what a processor's cache holds, and windows of a step of training.
+CHUNK, BATCH = 64, 96
 ROUNDS, RATE = 3, 0.08
 FREQUENT, FLUSH = 200_000, 2_000_000
 
@@ -75,24 +77,47 @@ def count(docs: DataFrame) -> DataFrame:
     return kept.mapInArrow(run, "kind int, key long, n_all long, n_train long").groupBy("kind", "key").agg(F.sum("n_all").alias("n_all"), F.sum("n_train").alias("n_train"))
 
 
-def subwords(held: DataFrame, size: int) -> np.ndarray:
-    """Counts of the ids of the read training documents."""
+def pair_keys(ids: np.ndarray, at: np.ndarray, before: np.ndarray, start: int, end: int, after: np.ndarray | None = None) -> np.ndarray:
+    """before[last id] * kinds + after[id] of each id of the texts and of the end that follows each; `start` comes before a text's first.
+
+    `after` is the ids themselves by default; kinds is their number.
+    """
+    n = len(at) - 1
+    whole = np.full(len(ids) + n, end, np.int64)
+    inside = np.ones(len(whole), bool)
+    inside[at[1:] + np.arange(n)] = False
+    whole[inside] = ids
+    own = np.full(len(whole), start, np.int64)
+    own[1:] = before[whole[:-1]]
+    own[at[:-1] + np.arange(n)] = start
+    return own * (end + 1) + whole if after is None else own * (int(after.max()) + 1) + after[whole]
+
+
+def pairs(held: DataFrame, before: np.ndarray, start: int, end: int, after: np.ndarray | None = None) -> np.ndarray:
+    """Counts, as a table, of the pairs that `pair_keys` has for the read training documents. At most the table's numbers reach the driver."""
 
     def run(batches):
-        total = np.zeros(size, np.int64)
+        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            total += np.bincount(np.concatenate([np.zeros(0, np.uint32), *_ids(batch.column(0))]), minlength=size)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], ["id", "n"])
+            found, n = np.unique(pair_keys(*_flat(batch.column(0)), before, start, end, after), return_counts=True)
+            keys, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
+        tidy()
+
+    found = held.filter("not held_out").select("ids").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow()
+    return as_table(found["key"].to_numpy(), found["n"].to_numpy(), start, end, after)
 
-    out = np.zeros(size)
-    for r in held.filter("not held_out").select("ids").mapInArrow(run, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # at most the tokenizer's ids
-        out[r["id"]] = r["n"]
-    return out
 
+def as_table(keys: np.ndarray, counts: np.ndarray, start: int, end: int, after: np.ndarray | None = None) -> np.ndarray:
+    kinds = end + 1 if after is None else int(after.max()) + 1
+    return np.bincount(keys, counts, (start + 1) * kinds).reshape(start + 1, kinds)
 
-def _ids(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u4") for x in column.to_pylist()]
+
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all texts, one after the other, and where each text begins."""
+    data, at = content(column)
+    return np.frombuffer(data.tobytes(), "<u4"), at // 4
 
 
 @dataclass
@@ -137,51 +162,76 @@ def unigrams(counts: DataFrame, frequent: int = FREQUENT) -> Unigrams:
 
 @dataclass
 class Vocabulary:
-    """Of each subword id: its embedding's place, its class, its place in its band, and the logarithm of its share of the last class (0 for the others). The last embedding stands for the start."""
+    """Of each subword id its embedding's place and its class; the logarithms of the classes' prior after each place, and of the ids' shares of their classes after each class.
+
+    The last place stands for the start, as the last class does in `share`; `kind` has each place's class.
+    """
 
     place: np.ndarray
     group: np.ndarray
-    inner: np.ndarray
-    share: np.ndarray
+    kind: np.ndarray
     prior: np.ndarray
-    inner_prior: np.ndarray
-    embeddings: int
+    share: np.ndarray
 
     @classmethod
-    def of(cls, counts: np.ndarray) -> Vocabulary:
-        """From the ids' counts, the end's included; every id has a positive probability."""
-        size = len(counts)
+    def of(cls, count) -> Vocabulary:
+        """From `count`, which gives the tables of `pairs` from `before`, `start` and perhaps `after`; ids' classes are found on the way."""
+        total = count(None, 1).sum(0)
+        size = len(total)
         rank = np.empty(size, np.int64)
-        rank[np.lexsort((np.arange(size), -counts))] = np.arange(size)
-        band = np.minimum((rank - OWN) // BAND, BANDS)
-        group = np.where(rank < OWN, rank, OWN + band)
-        inner = np.where((rank >= OWN) & (band < BANDS), (rank - OWN) % BAND, 0)
-        soft = counts + 0.5
-        total = np.bincount(group, soft, CLASSES)
-        rest = group == CLASSES - 1
-        inside = np.full((BANDS, BAND), 1e-6)
-        banded = (rank >= OWN) & ~rest
-        inside[band[banded], inner[banded]] = soft[banded]
+        rank[np.lexsort((np.arange(size), -total))] = np.arange(size)
+        group = np.where(rank < OWN, rank, OWN + _clusters(count(np.minimum(rank, OWN), OWN + 1), total, rank))
         embedded = min(EMBEDDED, size)
-        logs = lambda x, axis=None: np.log(x / x.sum(axis, keepdims=axis is not None)).astype(np.float32)
-        return cls(
-            np.minimum(rank, embedded).astype(np.int32), group.astype(np.int32), inner.astype(np.int32),
-            np.where(rest, np.log(soft / max(total[-1], 0.5)), 0.0), logs(total + 0.5), logs(inside, 1), embedded + 2,
-        )
+        place = np.minimum(rank, embedded)
+        kind = np.full(embedded + 2, CLASSES - 1)
+        kind[place] = group
+        kind[embedded], kind[-1] = CLASSES - 1, CLASSES
+        even = (total + 0.5) / (total + 0.5).sum()
+        rows = count(group, CLASSES) + SHRINK * even
+        rows /= rows.sum(1, keepdims=True)
+        sums = np.maximum([np.bincount(group, r, CLASSES) for r in rows], 1e-12)
+        share = np.log(rows / sums[:, group]).astype(np.float32)
+        prior = np.zeros((embedded + 2, CLASSES))
+        found = count(place, embedded + 1, group)
+        prior[:, : found.shape[1]] = found
+        prior += SHRINK * sums[kind]
+        prior /= prior.sum(1, keepdims=True)
+        return cls(place.astype(np.int32), group.astype(np.int32), kind.astype(np.int32), np.log(prior).astype(np.float32), share)
+
+    @property
+    def embeddings(self) -> int:
+        return len(self.kind)
+
+
+def _clusters(own: np.ndarray, total: np.ndarray, rank: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """A group for each id, by k-means on what it follows; ids that were hardly seen share the last group."""
+    out = np.full(own.shape[1], CLUSTERS - 1, np.int64)
+    seen = np.flatnonzero((rank >= OWN) & (rank < EMBEDDED) & (total >= 5))
+    if len(seen) < CLUSTERS:
+        return out
+    x = np.sqrt(own[:, seen].T / total[seen, None])
+    weight = np.sqrt(total[seen])
+    centres = x[np.argsort(rank[seen])[np.linspace(0, len(seen) - 1, CLUSTERS - 1).astype(int)]]
+    for _ in range(rounds):
+        near = (x @ centres.T - 0.5 * (centres * centres).sum(1)).argmax(1)
+        for k in range(CLUSTERS - 1):
+            if (near == k).any():
+                centres[k] = np.average(x[near == k], axis=0, weights=weight[near == k])
+    out[seen] = near
+    return out
 
 
-SHAPES = {"q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH), "a": (WIDTH,), "bias": (WINDOW,), "u": (WIDTH, CLASSES), "c": (CLASSES,), "w": (BANDS, WIDTH, BAND), "d": (BANDS, BAND)}
-_LAG = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None, :]
+SHAPES = {"q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH), "a": (WIDTH,), "bias": (WINDOW,), "u": (WIDTH, CLASSES), "c": (CLASSES,)}
+#: Distance from each key to each of the places that are scored.
+_LAG = np.arange(LEAD, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _FUTURE = np.where(_LAG < 0, -np.inf, 0).astype(np.float32)
+_SPAN = np.arange(WINDOW)
 
 
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
     p = {n: rng.standard_normal(s).astype(np.float32) * 0.25 for n, s in SHAPES.items()}
-    p |= {"e": rng.standard_normal((vocabulary.embeddings, WIDTH)).astype(np.float32) * 0.5, "bias": -0.1 * np.arange(WINDOW, dtype=np.float32), "a": np.zeros(WIDTH, np.float32), "c": vocabulary.prior.copy(), "d": vocabulary.inner_prior.copy()}
-    p["u"] *= 0.2
-    p["w"] *= 0.2
-    return p
+    return p | {"e": rng.standard_normal((vocabulary.embeddings, WIDTH)).astype(np.float32) * 0.5, "bias": -0.1 * np.arange(WINDOW, dtype=np.float32), "a": np.zeros(WIDTH, np.float32), "u": p["u"] * 0.1, "c": np.zeros(CLASSES, np.float32)}
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -197,71 +247,59 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(ids: list[np.ndarray], end: int, vocabulary: Vocabulary):
-    """Inputs (places) of all windows, and for each of a window's last STEP places the id to come, -1 where there is none; windows of each text."""
-    count = np.array([-(-(len(x) + 1) // STEP) for x in ids], np.int64)
+def windows(ids: np.ndarray, at: np.ndarray, end: int, vocabulary: Vocabulary):
+    """Of all texts' ids, one after the other: inputs (places), where each window begins in them, for each of a window's last STEP places
+    the id to come (-1: none), and the number of windows of each text."""
+    sizes = np.diff(at)
+    count = -(-(sizes + 1) // STEP)
     starts = np.r_[0, np.cumsum(count * STEP + LEAD)]
     inputs = np.full(int(starts[-1]), vocabulary.embeddings - 1, np.int32)
     nexts = np.full(int(count.sum()) * STEP, -1, np.int64)
-    at = np.r_[0, np.cumsum(count * STEP)]
-    for k, x in enumerate(ids):
-        inputs[starts[k] + LEAD + 1 : starts[k] + LEAD + 1 + len(x)] = vocabulary.place[x]
-        nexts[at[k] : at[k] + len(x)] = x
-        nexts[at[k] + len(x)] = end
-    first = np.repeat(starts[:-1] - at[:-1], count) + np.arange(int(count.sum())) * STEP
+    to = np.r_[0, np.cumsum(count * STEP)]
+    within = np.arange(len(ids)) - np.repeat(at[:-1], sizes)
+    last = within < np.repeat(count * STEP - 1, sizes)  # no window reads a place beyond its last
+    inputs[(np.repeat(starts[:-1], sizes) + LEAD + 1 + within)[last]] = vocabulary.place[ids[last]]
+    nexts[np.repeat(to[:-1], sizes) + within] = ids
+    nexts[to[:-1] + sizes] = end
+    first = np.repeat(starts[:-1] - to[:-1], count) + np.arange(int(count.sum())) * STEP
     return inputs, first, nexts.reshape(-1, STEP), count
 
 
-def _bands(group: np.ndarray):
-    """Each band with the places of its ids."""
-    at = np.flatnonzero((group >= OWN) & (group < CLASSES - 1))
-    at = at[np.argsort(group[at], kind="stable")]
-    ends = np.searchsorted(group[at], np.arange(OWN, CLASSES))
-    return [(k, at[ends[k] : ends[k + 1]]) for k in range(BANDS) if ends[k] < ends[k + 1]]
-
-
 class Scorer:
     """The trained model with its products prepared for reading."""
 
     def __init__(self, p: dict[str, np.ndarray], vocabulary: Vocabulary, end: int):
         e = p["e"]
         self.q, self.k, self.v, self.r = e @ p["q"] / np.float32(math.sqrt(WIDTH)), e @ p["k"], e @ p["v"], e @ p["r"] + p["a"]
-        self.u, self.c, self.w, self.d = p["u"], p["c"], p["w"], p["d"]
+        self.u, self.prior = p["u"], vocabulary.prior + p["c"]
         self.bias = (p["bias"][np.abs(_LAG)] + _FUTURE).astype(np.float32)
         reach = lambda x: float(np.sqrt((x * x).sum(-1)).max())
-        self.calm = reach(self.q) * reach(self.k) + float(np.abs(p["bias"]).max()) < 60 and float((np.abs(p["u"]).sum(0) + np.abs(p["c"])).max()) < 60 and float((np.abs(p["w"]).sum(1) + np.abs(p["d"])).max()) < 60
+        self.calm = reach(self.q) * reach(self.k) + float(np.abs(p["bias"]).max()) < 60 and float(np.abs(p["u"]).sum(0).max() + np.abs(self.prior).max()) < 80
         self.vocabulary, self.end = vocabulary, end
         self.room: dict[str, np.ndarray] = {}
 
     def logs(self, x: np.ndarray, nexts: np.ndarray) -> np.ndarray:
         """Natural logarithms of P(next) for inputs (windows, WINDOW) and nexts (windows, STEP); 0 where nothing comes."""
-        s = np.matmul(self.q[x], self.k[x].transpose(0, 2, 1), out=self._room("s", (len(x), WINDOW, WINDOW)))
+        s = np.matmul(self.q[x[:, LEAD:]], self.k[x].transpose(0, 2, 1), out=self._room("s", (len(x), STEP, WINDOW)))
         s += self.bias
         if not self.calm:
             s -= s.max(-1, keepdims=True)
-        a = np.exp(s, out=s)[:, LEAD:]
+        a = np.exp(s, out=s)
         h = a @ self.v[x]
         h /= a.sum(-1, keepdims=True)
         h += self.r[x[:, LEAD:]]
         np.tanh(h, out=h)
-        h = h.reshape(-1, WIDTH)
-        flat_next = nexts.ravel()
-        known = flat_next >= 0
-        flat_next = flat_next * known
-        group = self.vocabulary.group[flat_next]
-        out = self._choice(np.matmul(h, self.u, out=self._room("z", (len(h), CLASSES))), self.c, group).astype(np.float64)
-        out += self.vocabulary.share[flat_next]
-        for band, at in _bands(group):
-            out[at] += self._choice(h[at] @ self.w[band], self.d[band], self.vocabulary.inner[flat_next[at]])
-        return (out * known).reshape(nexts.shape)
-
-    def _choice(self, z: np.ndarray, bias: np.ndarray, one: np.ndarray) -> np.ndarray:
-        """Logarithm of the softmax of each row at one place."""
-        z += bias
+        known = nexts.ravel() >= 0
+        ids = nexts.ravel() * known
+        own = x[:, LEAD:].ravel()
+        z = np.matmul(h.reshape(-1, WIDTH), self.u, out=self._room("z", (len(ids), CLASSES)))
+        z += self.prior[own]
         if not self.calm:
             z -= z.max(-1, keepdims=True)
-        chosen = z[np.arange(len(z)), one]
-        return chosen - np.log(np.exp(z, out=z) @ np.ones(z.shape[1], np.float32))
+        chosen = z[np.arange(len(z)), self.vocabulary.group[ids]].astype(np.float64)
+        chosen -= np.log(np.exp(z, out=z) @ np.ones(CLASSES, np.float32))
+        chosen += self.vocabulary.share[self.vocabulary.kind[own], ids]
+        return (chosen * known).reshape(nexts.shape)
 
     def _room(self, name: str, shape: tuple[int, ...]) -> np.ndarray:
         """Memory that is used again for every chunk of windows."""
@@ -269,73 +307,70 @@ class Scorer:
             self.room[name] = np.empty(shape, np.float32)
         return self.room[name]
 
-    def score(self, ids: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each text, its end included."""
-        if not ids:
+    def score(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """log10 probability of each text, its end included, from all texts' ids and where each begins."""
+        if len(at) < 2:
             return np.zeros(0)
-        inputs, first, nexts, count = windows(ids, self.end, self.vocabulary)
+        inputs, first, nexts, count = windows(ids, at, self.end, self.vocabulary)
         total = np.empty(len(first))
-        span = np.arange(WINDOW)
         for a in range(0, len(first), CHUNK):
-            total[a : a + CHUNK] = self.logs(inputs[first[a : a + CHUNK, None] + span], nexts[a : a + CHUNK]).sum(1)
+            b = a + CHUNK
+            total[a:b] = self.logs(inputs[first[a:b, None] + _SPAN], nexts[a:b]).sum(1)
         return np.add.reduceat(total, np.r_[0, np.cumsum(count)[:-1]]) / math.log(10)
 
 
-def _cross_entropy(z: np.ndarray, one: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """-log softmax of each row at one place, and its derivatives (in place of z)."""
-    z -= z.max(-1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(-1, keepdims=True)
-    at = np.arange(len(z)), one
-    loss = -np.log(np.maximum(z[at], 1e-30))
-    z[at] -= 1
-    return loss, z
-
-
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, nexts: np.ndarray, vocabulary: Vocabulary) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross entropy of the next ids (windows, STEP; -1: none) and its derivatives; the embeddings' as (rows, values) in `e`."""
+    """Mean cross entropy of the next ids' classes (windows, STEP; -1: none) and its derivatives; the embeddings' as (rows, values) in `e`."""
     scale = np.float32(1 / math.sqrt(WIDTH))
-    e = p["e"][x]
-    q, k, v = e @ p["q"] * scale, e @ p["k"], e @ p["v"]
-    s = q @ k.transpose(0, 2, 1) + p["bias"][np.abs(_LAG)] + _FUTURE
-    s -= s.max(-1, keepdims=True)
-    a = np.exp(s)
-    a /= a.sum(-1, keepdims=True)
-    h = np.tanh(a @ v + e @ p["r"] + p["a"])
-    hs = h[:, LEAD:].reshape(-1, WIDTH)
-    known = np.flatnonzero(nexts.ravel() >= 0)
-    ids, own = nexts.ravel()[known], hs[known]
-    n = np.float32(1 / max(1, len(ids)))
-    group = vocabulary.group[ids]
-    losses, y = _cross_entropy(own @ p["u"] + p["c"], group)
-    y *= n
-    loss = float(losses.sum()) * n
-    g = {"u": own.T @ y, "c": y.sum(0), "w": np.zeros_like(p["w"]), "d": np.zeros_like(p["d"])}
-    dh = y @ p["u"].T
-    for band, at in _bands(group):
-        losses, y = _cross_entropy(own[at] @ p["w"][band] + p["d"][band], vocabulary.inner[ids[at]])
-        y *= n
-        loss += float(losses.sum()) * n
-        g["w"][band], g["d"][band] = own[at].T @ y, y.sum(0)
-        dh[at] += y @ p["w"][band].T
-    full = np.zeros_like(hs)
-    full[known] = dh
-    dz = np.zeros_like(h)
-    dz[:, LEAD:] = full.reshape(len(x), STEP, WIDTH)
-    dz *= 1 - h * h
     rows = lambda m: m.reshape(-1, WIDTH)
-    g["r"], g["a"] = rows(e).T @ rows(dz), rows(dz).sum(0)
-    da = dz @ v.transpose(0, 2, 1)
-    dv = a.transpose(0, 2, 1) @ dz
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    g["bias"] = np.bincount(np.abs(_LAG).ravel(), ds.sum(0).ravel(), WINDOW).astype(np.float32)
-    dq, dk = ds @ k * scale, ds.transpose(0, 2, 1) @ q
-    g |= {"q": rows(e).T @ rows(dq), "k": rows(e).T @ rows(dk), "v": rows(e).T @ rows(dv)}
-    de = rows(dz @ p["r"].T + dq @ p["q"].T + dk @ p["k"].T + dv @ p["v"].T)
-    own, back = np.unique(x, return_inverse=True)
+    used, back = np.unique(x, return_inverse=True)
+    back = back.reshape(x.shape)
+    e = p["e"][used]
+    eq, ek, ev, er = e @ p["q"] * scale, e @ p["k"], e @ p["v"], e @ p["r"] + p["a"]
+    late = back[:, LEAD:]
+    q, k, v = eq[late], ek[back], ev[back]
+    a = np.matmul(q, k.transpose(0, 2, 1))
+    a += p["bias"][np.abs(_LAG)] + _FUTURE
+    np.minimum(a, 60, out=a)
+    np.exp(a, out=a)
+    a *= 1 / a.sum(-1, keepdims=True)
+    h = np.tanh(np.matmul(a, v) + er[late])
+    known = nexts.ravel() >= 0
+    n = np.float32(1 / max(1, int(known.sum())))
+    group = vocabulary.group[nexts.ravel() * known]
+    hs = rows(h)
+    z = hs @ p["u"]
+    z += vocabulary.prior[x[:, LEAD:].ravel()]
+    z += p["c"]
+    np.minimum(z, 60, out=z)
+    np.exp(z, out=z)
+    sums = z @ np.ones(CLASSES, np.float32)
+    at = np.arange(len(z)), group
+    loss = float((np.log(sums) - np.log(np.maximum(z[at], 1e-30)))[known].sum()) * n
+    z *= (known * n / sums)[:, None]
+    z[at] -= known * n
+    g = {"u": hs.T @ z, "c": z.sum(0)}
+    dz = (z @ p["u"].T).reshape(h.shape)
+    dz *= 1 - h * h
+    da = np.matmul(dz, v.transpose(0, 2, 1))
+    dv = np.matmul(a.transpose(0, 2, 1), dz)
+    da -= (da * a).sum(-1, keepdims=True)
+    da *= a
+    g["bias"] = np.bincount(np.abs(_LAG).ravel(), da.sum(0).ravel(), WINDOW).astype(np.float32)
+    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
+    # sums over the places of each id come first, so products with the weights are taken once an id
     order = np.argsort(back.ravel(), kind="stable")
-    starts = np.searchsorted(back.ravel()[order], np.arange(len(own)))
-    g["e"] = own, np.add.reduceat(de[order], starts, axis=0)
+    starts = np.searchsorted(back.ravel()[order], np.arange(len(used)))
+    full = np.zeros((*x.shape, 4 * WIDTH), np.float32)
+    full[:, LEAD:, :WIDTH] = dq
+    full[:, LEAD:, WIDTH : 2 * WIDTH] = dz
+    full[:, :, 2 * WIDTH : 3 * WIDTH] = dk
+    full[:, :, 3 * WIDTH :] = dv
+    sums = np.add.reduceat(full.reshape(-1, 4 * WIDTH)[order], starts, axis=0)
+    dq, dr, dk, dv = (sums[:, k * WIDTH : (k + 1) * WIDTH] for k in range(4))
+    dq = dq * scale
+    g |= {"q": e.T @ dq, "k": e.T @ dk, "v": e.T @ dv, "r": e.T @ dr, "a": dr.sum(0)}
+    g["e"] = used, dq @ p["q"].T + dr @ p["r"].T + dk @ p["k"].T + dv @ p["v"].T
     return loss, g
 
 
@@ -374,17 +409,18 @@ def train(held: DataFrame, vocabulary: Vocabulary, end: int, rounds: int = ROUND
             p, vocabulary = sent.value
             trainer, rng = Trainer(p, vocabulary), np.random.default_rng(k)
             for batch in batches:
-                ids = _ids(batch.column(0))
-                if not ids:
+                ids, at = _flat(batch.column(0))
+                if len(at) < 2:
                     continue
-                inputs, first, nexts, _ = windows(ids, end, vocabulary)
+                inputs, first, nexts, _ = windows(ids, at, end, vocabulary)
                 order = rng.permutation(len(first))
-                for a in range(0, len(order), 64):
-                    at = order[a : a + 64]
-                    trainer.step(inputs[first[at, None] + np.arange(WINDOW)], nexts[at])
+                for a in range(0, len(order), BATCH):
+                    own = order[a : a + BATCH]
+                    trainer.step(inputs[first[own, None] + _SPAN], nexts[own])
             if trainer.seen:
                 for r in pa.RecordBatch.from_pandas(cut_vector(np.append(flat(trainer.p).astype(np.float64) * trainer.seen, trainer.seen)), preserve_index=False).to_struct_array().to_pylist():
                     yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]], pa.int32()), pa.array([r["part"]], pa.binary())], ["chunk", "part"])
+            tidy()
 
         own = hashed_share(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "lm")
         part = held.filter((~F.col("held_out")) & (F.floor(own * rounds) == k)).select("ids")
@@ -446,13 +482,14 @@ def score(docs: DataFrame, held_out, tokenizer: str | None = None, frequent: int
     base = unigrams(counts, frequent)
     held = hold(read(docs, base, tokenizer).withColumn("row", F.monotonically_increasing_id()), "read")
     end = Tokens.load(tokenizer).size
-    vocabulary = Vocabulary.of(np.append(subwords(held, end), base.ends))
+    vocabulary = Vocabulary.of(lambda before, start, after=None: pairs(held, np.zeros(end + 1, np.int64) if before is None else before, start, end, after))
     sent = spark.sparkContext.broadcast(Scorer(train(held, vocabulary, end), vocabulary, end))
 
     def run(batches):
         scorer = sent.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scorer.score(_ids(batch.column(batch.num_columns - 1))))], [*batch.schema.names[:-1], "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scorer.score(*_flat(batch.column(batch.num_columns - 1))))], [*batch.schema.names[:-1], "score"])
+        tidy()
 
     scored = held.select("row", "doc_id", "held_out", "n_tokens", "known", "logs", "ids").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, score double")
     c = F.col("n_train")

@@ -260,13 +260,26 @@ def test_language_model_joins_what_it_does_not_broadcast(spark, found, docs):
         assert r["n_known"] == expected[r["doc_id"]]["n_known"] and r["base_score"] == pytest.approx(expected[r["doc_id"]]["base_score"], rel=1e-9)
 
 
+def _vocabulary(texts, end):
+    ids, at = np.concatenate([np.zeros(0, np.uint32), *texts]), np.r_[0, np.cumsum([len(t) for t in texts])]
+
+    def count(before, start, after=None):
+        keys = lm.pair_keys(ids, at, np.zeros(end + 1, np.int64) if before is None else before, start, end, after)
+        return lm.as_table(*np.unique(keys, return_counts=True), start, end, after)
+
+    return lm.Vocabulary.of(count)
+
+
 def _small_model():
     rng = np.random.default_rng(0)
-    counts = rng.integers(0, 100, 1500).astype(float)
-    vocabulary = lm.Vocabulary.of(counts)
+    vocabulary = _vocabulary([(rng.zipf(1.3, 300) % 1499).astype(np.uint32) for _ in range(50)], 1499)
     return rng, vocabulary, lm.initial(vocabulary)
 
 
+def _flat(texts):
+    return np.concatenate([np.zeros(0, np.uint32), *texts]), np.r_[0, np.cumsum([len(t) for t in texts])]
+
+
 def test_language_model_is_a_distribution():
     _, vocabulary, p = _small_model()
     scorer = lm.Scorer(p, vocabulary, 1499)
@@ -277,24 +290,49 @@ def test_language_model_is_a_distribution():
 
 
 def _window(ids, vocabulary):
-    inputs, first, nexts, _ = lm.windows([ids], 1499, vocabulary)
+    inputs, first, nexts, _ = lm.windows(*_flat([ids]), 1499, vocabulary)
     return inputs[first[:, None] + np.arange(lm.WINDOW)], nexts
 
 
+def plain_score(ids, end, p, v):
+    """The model written out for one text, one place at a time."""
+    padded = [len(v.kind) - 1] * (lm.LEAD + 1) + [int(v.place[i]) for i in ids] + [0] * lm.WINDOW
+    total = 0.0
+    for n, target in enumerate([*ids.tolist(), end]):
+        a = n // lm.STEP * lm.STEP  # the window that scores the n-th id begins here
+        seen = padded[a : n + lm.LEAD + 1]
+        e = p["e"][seen].astype(float)
+        q = e[-1] @ p["q"]
+        weights = np.exp([q @ (x @ p["k"]) / 4 + p["bias"][len(seen) - 1 - k] for k, x in enumerate(e)])
+        h = np.tanh(weights @ (e @ p["v"]) / weights.sum() + e[-1] @ p["r"] + p["a"])
+        z = h @ p["u"] + p["c"] + v.prior[seen[-1]]
+        c = v.group[target]
+        total += z[c] - np.log(np.exp(z).sum()) + v.share[v.kind[seen[-1]], target]
+    return total / math.log(10)
+
+
+def test_language_model_scores_as_plain_attention_does():
+    rng, vocabulary, p = _small_model()
+    p = {k: x + rng.standard_normal(x.shape).astype(np.float32) * 0.1 for k, x in p.items()}
+    texts = [rng.integers(0, 1499, n).astype(np.uint32) for n in (0, 1, 7, 23, 24, 25, 48, 130)]
+    expected = [plain_score(t, 1499, p, vocabulary) for t in texts]
+    assert lm.Scorer(p, vocabulary, 1499).score(*_flat(texts)) == pytest.approx(expected, rel=1e-4)
+
+
 def test_language_model_scores_each_id_once_and_alone():
     rng, vocabulary, p = _small_model()
     texts = [rng.integers(0, 1499, n).astype(np.uint32) for n in (0, 1, 23, 24, 25, 200)]
-    _, _, nexts, count = lm.windows(texts, 1499, vocabulary)
+    _, _, nexts, count = lm.windows(*_flat(texts), 1499, vocabulary)
     assert [int((x >= 0).sum()) for x in np.split(nexts, np.cumsum(count)[:-1])] == [len(t) + 1 for t in texts]
     scorer = lm.Scorer(p, vocabulary, 1499)
-    assert scorer.score(texts) == pytest.approx([scorer.score([t])[0] for t in texts], rel=1e-5)
+    assert scorer.score(*_flat(texts)) == pytest.approx([scorer.score(*_flat([t]))[0] for t in texts], rel=1e-5)
 
 
 def test_language_model_gradients():
     rng, vocabulary, p = _small_model()
     x, nexts = _window(rng.integers(0, 1499, 60), vocabulary)
     _, g = lm.gradients(p, x, nexts, vocabulary)
-    for name in ("q", "v", "r", "u", "w", "bias"):
+    for name in ("q", "k", "v", "r", "a", "u", "c", "bias"):
         i = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
         sides = []
         for step in (2e-2, -2e-2):
@@ -307,22 +345,23 @@ def test_language_model_gradients():
 def test_language_model_learns():
     rng = np.random.default_rng(1)
     texts = [np.tile(rng.permutation(8)[:4], 30).astype(np.uint32) for _ in range(200)]
-    counts = np.bincount(np.concatenate(texts), minlength=101).astype(float)
-    vocabulary = lm.Vocabulary.of(counts)
+    vocabulary = _vocabulary(texts, 100)
     trainer = lm.Trainer(lm.initial(vocabulary), vocabulary)
-    inputs, first, nexts, _ = lm.windows(texts, 100, vocabulary)
-    before = lm.Scorer(trainer.p, vocabulary, 100).score(texts[:20]).sum()
+    inputs, first, nexts, _ = lm.windows(*_flat(texts), 100, vocabulary)
+    before = lm.Scorer(trainer.p, vocabulary, 100).score(*_flat(texts[:20])).sum()
     for a in range(0, len(first), 64):
         trainer.step(inputs[first[a : a + 64, None] + np.arange(lm.WINDOW)], nexts[a : a + 64])
-    assert lm.Scorer(trainer.p, vocabulary, 100).score(texts[:20]).sum() > 0.7 * before
+    assert lm.Scorer(trainer.p, vocabulary, 100).score(*_flat(texts[:20])).sum() > 0.7 * before
 
 
 def test_language_model_learns_from_every_training_document(spark):
     rng = np.random.default_rng(6)
-    rows = [(i, i % 5 == 1, np.append(rng.integers(0, 100, 40), 100 + i)[rng.permutation(41)].astype("<u4").tobytes()) for i in range(100)]  # each has one id of its own
-    counts = np.bincount(np.concatenate([np.frombuffer(x, "<u4") for _, out, x in rows if not out]), minlength=201)
-    vocabulary = lm.Vocabulary.of(np.append(counts[:200], 80).astype(float))
-    held = spark.createDataFrame(rows, "doc_id long, held_out boolean, ids binary")
+    rows = [(i, i % 5 == 1, np.append(rng.integers(0, 100, 40), 100 + i)[rng.permutation(41)].astype("<u4")) for i in range(100)]  # each has one id of its own
+    vocabulary = _vocabulary([x for _, out, x in rows if not out], 200)
+    held = spark.createDataFrame([(i, out, x.tobytes()) for i, out, x in rows], "doc_id long, held_out boolean, ids binary")
+    for before, start, after in ((np.zeros(201, np.int64), 1, None), (vocabulary.place.astype(np.int64), len(vocabulary.kind) - 1, vocabulary.group.astype(np.int64))):
+        keys = lm.pair_keys(*_flat([x for _, out, x in rows if not out]), before, start, 200, after)
+        assert (lm.pairs(held, before, start, 200, after) == lm.as_table(*np.unique(keys, return_counts=True), start, 200, after)).all()
     moved = (lm.train(held, vocabulary, 200)["e"] != lm.initial(vocabulary)["e"]).any(1)
     assert [bool(moved[vocabulary.place[100 + i]]) for i, _, _ in rows] == [not out for _, out, _ in rows]
 
