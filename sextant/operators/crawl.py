@@ -148,16 +148,16 @@ def crawl_documents(pages: DataFrame, found: DataFrame, authors: Iterable[str] =
 def crawl(pages: DataFrame, start: DataFrame, robots: DataFrame | None = None, waves: int = 3, most: int = 10_000, keywords: Iterable[str] = KEYWORDS, focused: bool = True) -> DataFrame:
     """Crawl documents reached from `start` (url), with in-links, in at most so many waves and pages.
 
-    `pages` is (url, html) with canonical URLs. A wave takes the frontier in order until `most` pages are read.
+    `pages` is (url, html) with canonical URLs. A wave takes the frontier in order until `most` pages are read: URLs that
+    robots rules deny, and those without a page, don't count.
     """
     web = pages.select(U.canonical(F.col("url")).alias("url"), "html").dropDuplicates(["url"])
     frontier = cut(seeds(start))
     visited = frontier.select("url")
     done, left = None, most
     for wave in range(waves):
-        chosen = frontier.orderBy("priority", "url").limit(left)
-        if robots is not None:
-            chosen = permitted(chosen, robots).filter("allowed").drop("allowed", "delay")
+        open_ = frontier if robots is None else permitted(frontier, robots).filter("allowed").drop("allowed", "delay")
+        chosen = open_.join(web.select("url"), "url", "left_semi").orderBy("priority", "url").limit(left)
         got = cut(web.join(chosen.select("url"), "url", "left_semi"))
         left -= got.count()
         found = links(got)

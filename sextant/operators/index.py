@@ -1,7 +1,8 @@
 """Positional inverted index as tables: postings, statistics of terms, documents and the corpus, dictionaries, merging.
 
-A posting is (term, doc_id, tf, positions), positions from 1 over the tokens that remain after stop words. The number of
-shuffles is one for postings; statistics of terms come from postings, so texts are tokenised once.
+A posting is (term, doc_id, tf, positions), positions from 1 over the tokens that remain after stop words. A posting is
+local to its document: a document's tokens are sorted and cut into postings where they are, so postings take no shuffle
+unless an id is repeated, and statistics of terms take one, by term. Texts are tokenised once.
 """
 
 from __future__ import annotations
@@ -39,8 +40,44 @@ def postings(rows: DataFrame) -> DataFrame:
     return rows.groupBy("term", "doc_id").agg(F.count("*").alias("tf"), F.sort_array(F.collect_list("position")).alias("positions"))
 
 
+def _repeated(docs: DataFrame, id_col: str) -> bool:
+    """Whether any id names more than one row. Ids alone are shuffled."""
+    return not docs.groupBy(id_col).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+
+
+def _local(docs: DataFrame, stop: Iterable[str] | None, id_col: str, text_col: str, positions: bool) -> DataFrame:
+    """(term, doc_id, tf), with positions if asked for, of each row by itself."""
+    found = tokens(F.col(text_col), stop)
+    own = F.col(id_col).alias("doc_id")
+    if positions:
+        pair = lambda x, i: F.struct(x.alias("term"), (i + 1).alias("position"))
+        rows = docs.select(own, F.sort_array(F.transform(found, pair)).alias("s")).select("doc_id", F.col("s.term").alias("t"), F.col("s.position").alias("p"))
+    else:
+        rows = docs.select(own, F.sort_array(found).alias("t"))
+    n = F.size("t")
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    rows = rows.filter(n > 0).withColumn("a", begins)
+    rows = rows.withColumn("b", F.concat(F.slice("a", 2, F.size("a")), F.array(n)))
+
+    def posting(x):
+        size = x["b"] - x["a"]
+        return F.struct(F.get("t", x["a"]).alias("term"), size.cast("long").alias("tf"), *([F.slice("p", x["a"] + 1, size).alias("positions")] if positions else []))
+
+    out = rows.select("doc_id", F.explode(F.transform(F.arrays_zip("a", "b"), posting)).alias("x"))
+    return out.select("x.term", "doc_id", "x.tf", *(["x.positions"] if positions else []))
+
+
+def postings_of(docs: DataFrame, stop: Iterable[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(term, doc_id, tf, positions) of a corpus: without a shuffle, unless ids are repeated."""
+    if _repeated(docs, id_col):
+        return postings(token_rows(docs, stop, id_col, text_col))
+    return _local(docs, stop, id_col, text_col, True)
+
+
 def counted(docs: DataFrame, stop: Iterable[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(term, doc_id, tf) without positions."""
+    if not _repeated(docs, id_col):
+        return _local(docs, stop, id_col, text_col, False)
     return token_rows(docs, stop, id_col, text_col).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
 
 
@@ -110,8 +147,7 @@ class Index:
 
 def build(docs: DataFrame, stop: Iterable[str] | None = None, stem: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Postings and statistics of a corpus; a repeated id counts as one document. Persist or `write` before using it more than once."""
-    rows = token_rows(docs, stop, id_col, text_col)
-    posts = postings(stemmed(rows, stem) if stem else rows)
+    posts = postings(stemmed(token_rows(docs, stop, id_col, text_col), stem)) if stem else postings_of(docs, stop, id_col, text_col)
     lengths = doc_stats(docs, stop, id_col, text_col).groupBy("doc_id").agg(F.sum("doc_len").alias("doc_len"))
     return Index(posts, term_stats(posts), lengths, corpus_stats(posts))
 

@@ -99,23 +99,23 @@ def corpus_stats(spark, sf_dir):
 
 @query
 def postings(spark, sf_dir):
-    posts = index.postings(index.token_rows(_docs(spark, sf_dir), STOP))
+    posts = index.postings_of(_docs(spark, sf_dir), STOP)
     return posts.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query
 def postings_lines(spark, sf_dir):
-    return index.format_postings(index.postings(index.token_rows(_docs(spark, sf_dir))))
+    return index.format_postings(index.postings_of(_docs(spark, sf_dir)))
 
 
 @query
 def postings_lines_by_tf(spark, sf_dir):
-    return index.format_postings(index.postings(index.token_rows(_docs(spark, sf_dir))), by_tf=True)
+    return index.format_postings(index.postings_of(_docs(spark, sf_dir)), by_tf=True)
 
 
 @query
 def postings_parsed(spark, sf_dir):
-    lines = index.format_postings(index.postings(index.token_rows(table(spark, sf_dir, "conversations"), id_col="conv_id")))
+    lines = index.format_postings(index.postings_of(table(spark, sf_dir, "conversations"), id_col="conv_id"))
     return index.parse_postings(lines).select("term", F.col("doc_id").cast("long").alias("doc_id"), "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
@@ -137,15 +137,15 @@ def term_dictionary(spark, sf_dir):
 @query
 def merge_partials(spark, sf_dir):
     docs = _docs(spark, sf_dir)
-    build = lambda d: index.postings(index.token_rows(d))
+    build = lambda d: index.postings_of(d)
     merged = index.merge(build(docs.filter("lang = 'en'")), build(docs.filter("lang <> 'en' or lang is null")))
     return index.term_stats(merged)
 
 
 @query
 def merge_overlapping(spark, sf_dir):
-    left = index.postings(index.token_rows(_docs(spark, sf_dir)))
-    right = index.postings(index.token_rows(table(spark, sf_dir, "conversations"), id_col="conv_id"))
+    left = index.postings_of(_docs(spark, sf_dir))
+    right = index.postings_of(table(spark, sf_dir, "conversations"), id_col="conv_id")
     return index.merge(left, right).select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 

@@ -20,7 +20,7 @@ def index_stream(docs: DataFrame, folder: str, checkpoint: str, stop: Iterable[s
 
     def add(batch: DataFrame, number: int) -> None:
         batch = batch.persist()
-        posts = index.postings(index.token_rows(batch, stop))
+        posts = index.postings_of(batch, stop)
         posts.write.mode("overwrite").parquet(f"{folder}/postings/batch={number}")
         index.doc_stats(batch, stop).write.mode("overwrite").parquet(f"{folder}/docs/batch={number}")
         batch.unpersist()
