@@ -6,6 +6,7 @@ import contextlib
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -50,21 +51,40 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Folders that `hold` has written and nobody has released.
+_HELD: list[str] = []
+
+
 def hold(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read back: a cut of lineage that outlives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _HELD.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(*held: DataFrame) -> None:
     """Delete what `hold` has written and no later step reads."""
     for df in held:
-        spark = df.sparkSession
         for file in df.inputFiles()[:1]:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, file.rsplit("/", 1)[0])
+
+
+def hold_only(make: Callable[[], DataFrame], name: str, *before: DataFrame) -> DataFrame:
+    """`hold` what `make` gives, and release `before` and all that was held on the way."""
+    first = len(_HELD)
+    out = hold(made := make(), name)
+    for folder in _HELD[first:-1]:
+        _delete(made.sparkSession, folder)
+    del _HELD[first:-1]
+    release(*before)
+    return out
 
 
 def tidy() -> None:

@@ -5,7 +5,7 @@ from all documents) gives a latent space of at most RANK dimensions. Every docum
 passages, and passages whose cosine to a benchmark passage reaches COSINE are candidates. So is, whatever its cosine,
 each place where a document has a run of RUN words of a benchmark passage (every RUN-th word begins one, and the last
 RUN words are one), so no passage that is there word for word depends on the cosine. A candidate is a leak if the
-longest common subsequence of words covers VERBATIM of the benchmark passage, or PARAPHRASE of it with most words of the
+longest common subsequence of words covers VERBATIM of the benchmark passage, or PARAPHRASE of it with ANSWER_SHARE of the words of the
 answer present: the item's `answer` where the table has such a column, else its most informative words.
 
 Words are cut at white space and compared lower-cased, letters and digits only, by 64-bit hashes; each word of the
@@ -37,7 +37,7 @@ from .words import BLANKS, LOWER, Table, U, content, hashes, spans
 RANK, OVERSAMPLE, POWER = 128, 16, 2
 PASSAGE, HALF, MIN_WORDS, RUN = 64, 32, 5, 5
 COMMON, RARE = 0.1, 5
-COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.75, 0.5, 5, 0.6
+COSINE, VERBATIM, PARAPHRASE, ANSWER_WORDS, ANSWER_SHARE = 0.4, 0.75, 0.5, 5, 0.4
 BLOCK = 2048
 #: Words whose vectors are gathered at once.
 GATHER = 30_000
@@ -304,6 +304,8 @@ class Model:
     masks: list
     sizes: list
     answers: list
+    distinct: list  # words of each passage, and how many of its places repeat one
+    spare: list
     runs: np.ndarray  # hashes of the passages' runs, sorted, with the passage and the place in it
     run_of: np.ndarray
     run_at: np.ndarray
@@ -334,7 +336,7 @@ class Model:
         hashes, run_of, run_at = (np.array([k[c] for k in keys], t) for c, t in ((0, np.uint64), (1, np.int64), (2, np.int64)))
         begins = np.zeros(1 << 16, bool)
         begins[hashes >> np.uint64(48)] = True
-        return cls(weights, heavy, items, v / np.where(norm > 0, norm, 1), masks, sizes, answers, hashes, run_of, run_at, begins)
+        return cls(weights, heavy, items, v / np.where(norm > 0, norm, 1), masks, sizes, answers, [set(x) for x in masks], [n - len(x) for n, x in zip(sizes, masks)], hashes, run_of, run_at, begins)
 
     def folded(self, rows: np.ndarray, part: np.ndarray, parts: int) -> np.ndarray:
         """Sum of the words' vectors in each of `parts`, for words in order of their part."""
@@ -365,26 +367,36 @@ class Model:
         norm = np.sqrt(np.einsum("ij,ij->i", both, both))
         both /= np.where(norm > 0, norm, 1)[:, None]
 
-        def compare(d, j, start, end, cosine):
-            near_by = rows[begin[d] + max(0, start) : min(begin[d] + end, begin[d + 1])].tolist()
-            share = lcs(self.masks[j], self.sizes[j], near_by) / self.sizes[j]
+        def near_by(d, start, end):
+            own = rows[begin[d] + max(0, start) : min(begin[d] + end, begin[d + 1])].tolist()
+            return own, set(own)
+
+        def compare(d, j, own, cosine):
+            words, distinct = own
+            # a subsequence has no more words than both share, counted as often as the passage has them
+            if len(self.distinct[j] & distinct) + self.spare[j] < PARAPHRASE * self.sizes[j]:
+                return
+            share = lcs(self.masks[j], self.sizes[j], words) / self.sizes[j]
             if share < PARAPHRASE or share <= found[d].get(j, (0,))[0]:
                 return
-            answer = len(self.answers[j].intersection(near_by)) / len(self.answers[j])
+            answer = len(self.answers[j] & distinct) / len(self.answers[j])
             if share >= VERBATIM or answer >= ANSWER_SHARE:
                 found[d][j] = share, answer, float(cosine)
 
         for a in range(0, len(both), 2048):
             near = both[a : a + 2048] @ self.vectors.T
-            for p, j in zip(*np.nonzero(near >= COSINE)):
-                d = int(owner[a + p])
-                b = int(a + p - first[d])
-                compare(d, int(j), (b - 1) * HALF, (b + 3) * HALF, near[p, j])
+            last = -1
+            for p, j in zip(*(x.tolist() for x in np.nonzero(near >= COSINE))):
+                if p != last:
+                    d = int(owner[a + p])
+                    b = int(a + p - first[d])
+                    own, last = near_by(d, (b - 1) * HALF, (b + 3) * HALF), p
+                compare(d, j, own, near[p, j])
         seen = set()
         for d, j, start in self.places(rows, lengths, place):
             if found[d].get(j, (0,))[0] < 1 and (d, j, start) not in seen:
                 seen.add((d, j, start))
-                compare(d, j, start - HALF, start + PASSAGE + HALF, both[first[d] + max(0, start) // HALF] @ self.vectors[j])
+                compare(d, j, near_by(d, start - HALF, start + PASSAGE + HALF), both[first[d] + max(0, start) // HALF] @ self.vectors[j])
         return found
 
     def places(self, rows: np.ndarray, lengths: np.ndarray, place: np.ndarray):

@@ -4,7 +4,9 @@ A known word adds its log frequency in each language. An unseen word falls back
 and 1-grams: the longest length of which any gram is known counts, discounted by a factor for each step down.
 
 The model is fitted on a bounded sample of labelled texts (`sample_rows`, chosen by a hash of the id) and keeps at most
-`words` words and `grams` grams in each of at most `languages` languages, so it can be broadcast whatever the corpus.
+WORDS words and GRAMS grams of each length in each of at most LANGUAGES languages, those with most labelled rows (others
+are never predicted), and ROWS of both in all, so it can be broadcast whatever the corpus. Words above LONG letters give
+no grams.
 Null texts and texts without a letter are `und` with score 0, as is everything if nothing could be learned.
 """
 
@@ -19,9 +21,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, small_batches
+from .common import bounded_sample, fold, small_batches, tidy
 
-SAMPLE_ROWS, WORDS, GRAMS, LANGUAGES, LONGEST = 20_000, 60_000, 40_000, 256, 4
+SAMPLE_ROWS, WORDS, GRAMS, LANGUAGES, LONGEST, LONG = 20_000, 60_000, 40_000, 256, 4, 64
+#: Words and grams of all languages together, some 100 bytes each.
+ROWS = 2_500_000
 DISCOUNT = 0.4
 _TOKEN = re.compile(r"[^\W\d_]+")
 
@@ -48,7 +52,7 @@ def counts(docs: DataFrame, languages: list[str]) -> DataFrame:
                 for n in range(1, LONGEST + 1):
                     grams = Counter()
                     for w, c in words.items():
-                        if len(w) <= 64:
+                        if len(w) <= LONG:
                             for g in grams_of(w, n):
                                 grams[g] += c
                     rows += [(lang, n, g, c) for g, c in grams.items()]
@@ -141,7 +145,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     languages = [r["lang"] for r in known]
     if not languages:
         return Model([], [], [])
-    rows = most_frequent(counts(bounded_sample(docs, "doc_id", sample_rows, "langid"), languages), {True: WORDS, False: GRAMS})
+    each = ROWS // (len(languages) * (LONGEST + 1))
+    rows = most_frequent(counts(bounded_sample(docs, "doc_id", sample_rows, "langid"), languages), {True: min(WORDS, each), False: min(GRAMS, each)})
     total = sum(r["count"] for r in known)
     return Model([tuple(r) for r in rows], languages, [r["count"] / total for r in known])
 
@@ -157,6 +162,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
         for pdf in batches:
             found = [m.predict(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"].astype("Int64"), "lang_pred": [x for x, _ in found], "score": [x for _, x in found]})
+        tidy()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
 

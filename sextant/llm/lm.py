@@ -221,7 +221,7 @@ def _clusters(own: np.ndarray, total: np.ndarray, rank: np.ndarray, rounds: int
     return out
 
 
-SHAPES = {"q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH), "a": (WIDTH,), "bias": (WINDOW,), "u": (WIDTH, CLASSES), "c": (CLASSES,)}
+SHAPES = {"q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH), "a": (WIDTH,), "bias": (WINDOW,), "u": (WIDTH, CLASSES)}
 #: Distance from each key to each of the places that are scored.
 _LAG = np.arange(LEAD, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _FUTURE = np.where(_LAG < 0, -np.inf, 0).astype(np.float32)
@@ -231,7 +231,7 @@ _SPAN = np.arange(WINDOW)
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(7)
     p = {n: rng.standard_normal(s).astype(np.float32) * 0.25 for n, s in SHAPES.items()}
-    return p | {"e": rng.standard_normal((vocabulary.embeddings, WIDTH)).astype(np.float32) * 0.5, "bias": -0.1 * np.arange(WINDOW, dtype=np.float32), "a": np.zeros(WIDTH, np.float32), "u": p["u"] * 0.1, "c": np.zeros(CLASSES, np.float32)}
+    return p | {"e": rng.standard_normal((vocabulary.embeddings, WIDTH)).astype(np.float32) * 0.5, "bias": -0.1 * np.arange(WINDOW, dtype=np.float32), "a": np.zeros(WIDTH, np.float32), "u": p["u"] * 0.1}
 
 
 def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -271,7 +271,7 @@ class Scorer:
     def __init__(self, p: dict[str, np.ndarray], vocabulary: Vocabulary, end: int):
         e = p["e"]
         self.q, self.k, self.v, self.r = e @ p["q"] / np.float32(math.sqrt(WIDTH)), e @ p["k"], e @ p["v"], e @ p["r"] + p["a"]
-        self.u, self.prior = p["u"], vocabulary.prior + p["c"]
+        self.u, self.prior = p["u"], vocabulary.prior
         self.bias = (p["bias"][np.abs(_LAG)] + _FUTURE).astype(np.float32)
         reach = lambda x: float(np.sqrt((x * x).sum(-1)).max())
         self.calm = reach(self.q) * reach(self.k) + float(np.abs(p["bias"]).max()) < 60 and float(np.abs(p["u"]).sum(0).max() + np.abs(self.prior).max()) < 80
@@ -323,7 +323,11 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, nexts: np.ndarray, vocabu
     """Mean cross entropy of the next ids' classes (windows, STEP; -1: none) and its derivatives; the embeddings' as (rows, values) in `e`."""
     scale = np.float32(1 / math.sqrt(WIDTH))
     rows = lambda m: m.reshape(-1, WIDTH)
-    used, back = np.unique(x, return_inverse=True)
+    order = np.argsort(x.ravel(), kind="stable")
+    sorted_ = x.ravel()[order]
+    starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
+    used, back = sorted_[starts], np.empty(len(order), np.int32)
+    back[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=len(order)))
     back = back.reshape(x.shape)
     e = p["e"][used]
     eq, ek, ev, er = e @ p["q"] * scale, e @ p["k"], e @ p["v"], e @ p["r"] + p["a"]
@@ -341,7 +345,6 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, nexts: np.ndarray, vocabu
     hs = rows(h)
     z = hs @ p["u"]
     z += vocabulary.prior[x[:, LEAD:].ravel()]
-    z += p["c"]
     np.minimum(z, 60, out=z)
     np.exp(z, out=z)
     sums = z @ np.ones(CLASSES, np.float32)
@@ -349,7 +352,7 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, nexts: np.ndarray, vocabu
     loss = float((np.log(sums) - np.log(np.maximum(z[at], 1e-30)))[known].sum()) * n
     z *= (known * n / sums)[:, None]
     z[at] -= known * n
-    g = {"u": hs.T @ z, "c": z.sum(0)}
+    g = {"u": hs.T @ z}
     dz = (z @ p["u"].T).reshape(h.shape)
     dz *= 1 - h * h
     da = np.matmul(dz, v.transpose(0, 2, 1))
@@ -359,8 +362,6 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, nexts: np.ndarray, vocabu
     g["bias"] = np.bincount(np.abs(_LAG).ravel(), da.sum(0).ravel(), WINDOW).astype(np.float32)
     dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
     # sums over the places of each id come first, so products with the weights are taken once an id
-    order = np.argsort(back.ravel(), kind="stable")
-    starts = np.searchsorted(back.ravel()[order], np.arange(len(used)))
     full = np.zeros((*x.shape, 4 * WIDTH), np.float32)
     full[:, LEAD:, :WIDTH] = dq
     full[:, LEAD:, WIDTH : 2 * WIDTH] = dz

@@ -6,7 +6,7 @@ them in the lexicon, seen in harmless texts only) cancel the matches inside them
 divided by the logarithm of the length, goes through a logistic curve.
 
 The lexicon is learned from a bounded sample of labelled rows (`sample_rows`): an entry's share of toxic texts must be
-too high to be chance among all candidate entries (a binomial bound). At most `entries` entries and as many phrases
+too high to be chance among all candidate entries (a binomial bound). Entries have 3 to 40 letters; at most ENTRIES and as many phrases
 are kept. A small list of insults is always in. Null and empty texts get the score of a text without matches.
 """
 
@@ -209,7 +209,7 @@ def _curve(points: list[tuple[float, int, int]]) -> tuple[float, float]:
 
 
 def score(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, score, n_matches) of every row."""
+    """(doc_id, score) of every row."""
     spark = docs.sparkSession
     small_batches(spark)
     sent = spark.sparkContext.broadcast(lexicon)

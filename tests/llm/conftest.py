@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Names that the operators use themselves.
-CLASHING = "score host path row key band p h n rep root t i line lines kept c0 shard own salt held_out train batch total sig bands"
+CLASHING = "score host path row key band p h n rep root t i line lines kept c0 shard own salt held_out train batch total sig bands host__ path__ id__ gone__ again__ n_lines__ n_dropped__ host____ own____ kept____ text__ domain__ many near far size component_id least root_a bad left x key_ gh gp c1 label rows"
 
 
 def sentence(rng, n, words="river stone light market winter garden letter engine planet copper silver window bridge forest candle market".split()):

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sextant.llm import decontaminate, fingerprint, linededup, lm, minhash, packing, pii, queries, toxicity
+from sextant.llm import decontaminate, fingerprint, linededup, lm, minhash, packing, pii, quality, queries, toxicity
 from sextant.llm.common import documents, table
 from sextant.llm.components import components
 from sextant.llm.tokens import Tokens, default_tokenizer
@@ -49,6 +49,39 @@ def test_language_id_held_out_accuracy(found, docs):
     assert np.mean([r["lang_pred"] == docs[r["doc_id"]]["lang"] for r in rows]) > 0.95
 
 
+def test_language_id_is_that_of_plain_counting(found, docs):
+    tokens = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    grams = lambda w, n: [x[i : i + n] for x in [f" {w} " if n > 1 else w] for i in range(len(x) - n + 1)]
+    known, share = [defaultdict(Counter) for _ in range(5)], Counter()
+    for i, r in docs.items():
+        if fold(i, 5) and r["text"] is not None and r["lang"] is not None:
+            share[r["lang"]] += 1
+            for w in tokens(r["text"]):
+                known[0][r["lang"]][w] += 1
+                for n in range(1, 5):
+                    for g in grams(w, n) if len(w) <= 64 else []:
+                        known[n][r["lang"]][g] += 1
+    seen = [set().union(*k.values()) for k in known]
+    totals = [{x: sum(k[x].values()) for x in share} for k in known]
+    log = lambda n, x, t: math.log((known[n][x][t] + 0.5) / (totals[n][x] + 0.5 * (len(seen[n]) + 1)))
+
+    def word(w, x):
+        if w in seen[0]:
+            return log(0, x, w)
+        n = next((n for n in (4, 3, 2, 1) if seen[n].intersection(grams(w, n))), None)
+        return sum(log(n, x, g) for g in grams(w, n) if g in seen[n]) / n * 0.4 ** (4 - n) if n else 0.0
+
+    for r in found("op1_language_id"):
+        own = tokens(docs[r["doc_id"]]["text"])
+        if not own:
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        total = {x: math.log(share[x] / sum(share.values())) + sum(word(w, x) for w in own) for x in share}
+        best = max(total, key=total.get)
+        assert r["lang_pred"] == best or total[best] - total[r["lang_pred"]] < 1e-2
+        assert r["score"] == pytest.approx(1 / sum(math.exp((t - total[best]) / math.sqrt(len(own))) for t in total.values()), rel=1e-3, abs=1e-6)
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, sf_dir, name):
     assert not compare.difference(queries.queries()[name](spark, sf_dir), compare.views(sf_dir), queries.oracle_sql()[name])
@@ -240,6 +273,36 @@ def test_quality_agrees_with_labels(spark, sf_dir, found):
     assert np.mean([r["kept"] == bool(labels[r["doc_id"]]) for r in found("op6_quality") if r["doc_id"] in labels]) > 0.9
 
 
+def test_quality_posteriors_are_those_of_plain_sums(spark, sf_dir, found, docs):
+    weights = quality.fit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    p = {i: 1 / (1 + math.exp(-np.clip(np.dot(quality.features(r["text"]), weights), -30, 30))) if (r["text"] or "").strip() else 0.0 for i, r in docs.items()}
+    paths, hosts = defaultdict(list), defaultdict(list)
+    for i, r in docs.items():
+        paths[r["source"], r["lang"]].append(p[i])
+        hosts[r["source"]].append(p[i])
+    prior = (sum(p.values()) + 1) / (len(p) + 2)
+
+    def strength(groups):  # of (values, where the group shrinks to)
+        n, total = sum(len(v) for v, _ in groups), sum(sum(v) for v, _ in groups)
+        within = total / n * (1 - total / n)
+        between = sum((sum(v) / len(v) - to) ** 2 for v, to in groups) / len(groups) - within * len(groups) / n
+        return min(1000.0, max(2.0, within / between - 1)) if between > 1e-6 else 1000.0
+
+    k = strength([(v, prior) for v in hosts.values()]) if len(hosts) > 1 else 50.0
+    host = {x: (sum(v) + k * prior) / (len(v) + k) for x, v in hosts.items()}
+    k = strength([(v, host[x[0]]) for x, v in paths.items()]) if len(paths) > 1 else 50.0
+    path = {x: (sum(v) + k * host[x[0]]) / (len(v) + k) for x, v in paths.items()}
+    odds = lambda x: math.log(x / (1 - x))
+    for r in found("op6_quality"):
+        d = docs[r["doc_id"]]
+        own = path[d["source"], d["lang"]]
+        assert (r["evidence"], r["host_posterior"], r["path_posterior"]) == pytest.approx((p[r["doc_id"]], host[d["source"]], own), rel=1e-6)
+        shift = max(-1.5, min(1.5, odds(min(0.999, max(0.001, own))) - odds(prior)))
+        x = min(1 - 1e-12, max(1e-12, p[r["doc_id"]]))
+        expected = 1 / (1 + math.exp(-odds(x) - shift)) if p[r["doc_id"]] else 0.0
+        assert r["score"] == pytest.approx(expected, rel=1e-6) and r["kept"] == (r["score"] >= 0.5)
+
+
 def test_language_model_base_is_exact(found, docs):
     tokens = lambda t: [*words(t), 0]
     c = Counter(x for i, r in docs.items() if fold(i, 5) != 1 for x in tokens(r["text"]))
@@ -305,7 +368,7 @@ def plain_score(ids, end, p, v):
         q = e[-1] @ p["q"]
         weights = np.exp([q @ (x @ p["k"]) / 4 + p["bias"][len(seen) - 1 - k] for k, x in enumerate(e)])
         h = np.tanh(weights @ (e @ p["v"]) / weights.sum() + e[-1] @ p["r"] + p["a"])
-        z = h @ p["u"] + p["c"] + v.prior[seen[-1]]
+        z = h @ p["u"] + v.prior[seen[-1]]
         c = v.group[target]
         total += z[c] - np.log(np.exp(z).sum()) + v.share[v.kind[seen[-1]], target]
     return total / math.log(10)
@@ -332,7 +395,7 @@ def test_language_model_gradients():
     rng, vocabulary, p = _small_model()
     x, nexts = _window(rng.integers(0, 1499, 60), vocabulary)
     _, g = lm.gradients(p, x, nexts, vocabulary)
-    for name in ("q", "k", "v", "r", "a", "u", "c", "bias"):
+    for name in ("q", "k", "v", "r", "a", "u", "bias"):
         i = np.unravel_index(np.argmax(np.abs(g[name])), g[name].shape)
         sides = []
         for step in (2e-2, -2e-2):
@@ -403,6 +466,40 @@ def test_paraphrases_are_found_and_clean_texts_are_not(spark):
     assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(df, benchmark).collect()} == {(1000 + k, k) for k in range(30)}
 
 
+@pytest.fixture(scope="module")
+def searched(spark, sf_dir):
+    """The texts' rows and the model, as a task has them."""
+    rows, makers = decontaminate.models(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"), ["doc_id"])
+    table_ = rows.toArrow()
+    return table_["c0"].to_pylist(), table_["words"].combine_chunks(), [make() for make in makers]
+
+
+def test_the_cosine_loses_nothing_that_a_full_search_finds(searched, monkeypatch):
+    """The search against the same checks on every place of every text for every passage."""
+    _, texts, models = searched
+    for m in models:
+        found = m.search(texts)
+        monkeypatch.setattr(decontaminate, "COSINE", -2.0)
+        every = m.search(texts)
+        monkeypatch.undo()
+        assert [{j: v[:2] for j, v in x.items()} for x in found] == [{j: v[:2] for j, v in x.items()} for x in every] and any(every)
+
+
+@pytest.mark.parametrize("replaced", [0.2, 0.3])
+def test_recall_of_paraphrases(spark, sf_dir, replaced):
+    """Items with so many of their words replaced, inside documents of the table."""
+    rng = np.random.default_rng(8)
+    base = [r["text"] for r in documents(spark, sf_dir).filter("text is not null").orderBy("doc_id").limit(60).collect()]
+    items = {r["item_id"]: r["text"].split() for r in table(spark, sf_dir, "benchmark").collect()}
+    rows = []
+    for i, words_ in items.items():
+        own = [rng.choice(base[i % 60].split() or ["x"]) if rng.random() < replaced else w for w in words_]
+        host = base[(7 * i) % 60].split()
+        rows.append((i, " ".join(host[:80] + own + host[80:160])))
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), table(spark, sf_dir, "benchmark")).collect()}
+    assert np.mean([(i, i) in found for i in items]) >= 0.9
+
+
 def test_verbatim_passages_of_any_cosine_are_found(spark):
     rng = np.random.default_rng(12)
     texts = [[f"w{x}" for x in rng.zipf(1.2, 400) % 20_000] for _ in range(300)]
@@ -448,6 +545,45 @@ def test_fingerprints(found, docs):
     assert np.mean([r["near_edited"] for r in rows.values()]) > 0.5 > np.mean([r["near_next"] for r in rows.values()])
 
 
+def plain_fingerprint(text):
+    """(sums of SHA-512 words, signed counts of byte windows) with integers, one window at a time."""
+    if not text:
+        return (0,) * 8, [0] * 128
+    whole, counts = [0] * 8, [0] * 256
+    parts = text.encode().split(b"\n")
+    for part in parts:
+        d = hashlib.sha512(part).digest()
+        whole = [(w + int.from_bytes(d[8 * k : 8 * k + 8], "little")) % 2**64 for k, w in enumerate(whole)]
+    data = (b"\0" * 13).join(parts) + b"\0" * 13
+    for k in range(len(data) - 13):
+        if data[k]:
+            x = int.from_bytes(data[k : k + 8], "little") * 0x9E3779B97F4A7C15 % 2**64
+            x ^= int.from_bytes(data[k + 6 : k + 14], "little") * 0xC2B2AE3D27D4EB4F % 2**64
+            counts[((x ^ x >> 29) * 0xD6E8FEB86659FD93 % 2**64) >> 56] += 1
+    return tuple(whole), [a - b for a, b in zip(counts[0::2], counts[1::2])]
+
+
+def test_fingerprints_and_likeness_are_those_of_plain_sums(found, docs):
+    order = sorted(docs)
+    rows = {r["doc_id"]: r for r in found("op9_fingerprint")}
+    small = [k for k, i in enumerate(order) if len(docs[i]["text"] or "") < 3000][:25]
+    for k in small:
+        i, after = order[k], docs[order[(k + 1) % len(order)]]["text"] or ""
+        text = docs[i]["text"] or ""
+        cut = len(text) // 4
+        own, edited, following = (plain_fingerprint(t) for t in (text, text[: len(text) - cut] + after[:cut], after))
+        parsed = fingerprint.Fingerprint.parse(rows[i]["fingerprint"])
+        assert (parsed.whole, parsed.lanes.tolist()) == own
+
+        def likeness(a, b):
+            if a[0] == b[0]:
+                return 1.0
+            norm = math.sqrt(sum(x * x for x in a[1]) * sum(x * x for x in b[1]))
+            return min(1.0, max(0.0, sum(x * y for x, y in zip(a[1], b[1])) / norm)) if norm else 0.0
+
+        assert (rows[i]["near_edited"], rows[i]["near_next"]) == pytest.approx((likeness(own, edited), likeness(own, following)), abs=1e-9)
+
+
 def test_fingerprints_are_homomorphic():
     f = fingerprint.Fingerprint
     a, b, both = f.of("one line"), f.of("another\nand more"), f.of("and more\none line\nanother")
@@ -470,6 +606,40 @@ def test_toxicity_folds_and_excepts():
     assert lexicon.score("an idiot proof design") == base == lexicon.score("idiotic") and lexicon.score(None) == lexicon.score("")
 
 
+def plain_matches(lexicon, text):
+    """(start, end, weight) by trying every entry and phrase at every place."""
+    free, best = [], {}
+    for at in range(len(text)):
+        if at and text[at - 1].isalpha():
+            continue
+        for p in lexicon.phrases:
+            if text.startswith(p, at) and not text[at + len(p) : at + len(p) + 1].isalpha():
+                free.append((at, at + len(p)))
+        for e, w in lexicon.weights.items():
+            stem = e.rstrip("*")
+            closed = not text[at + len(stem) : at + len(stem) + 1].isalpha()
+            if text.startswith(stem, at) and (e.endswith("*") or closed) and (at not in best or best[at][1] < w):
+                best[at] = at + len(stem), w
+    return sorted((s, e, w) for s, (e, w) in best.items() if not any(a <= s and e <= b for a, b in free))
+
+
+def test_toxicity_matches_and_scores_are_those_of_plain_search(spark, sf_dir, found, docs):
+    lexicon = toxicity.Lexicon({"ab": 1.0, "abc*": 2.5, "b*": 0.5, "bca": 3.0, "c": 0.25}, ["ab ca", "bca bca"])
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("abc ") for _ in range(rng.randint(0, 30)))
+        assert sorted(lexicon.matches(text)) == plain_matches(lexicon, text)
+    labels = table(spark, sf_dir, "labels")
+    learned = toxicity.fit(documents(spark, sf_dir), labels.filter("crc32(cast(doc_id as string)) % 3 <> 1"))
+    a, b = learned.curve
+    rows = {r["doc_id"]: r for r in found("op10_toxicity")}
+    for i in sorted(docs)[:60]:
+        text = toxicity.folded(docs[i]["text"])
+        evidence = sum(w for _, _, w in plain_matches(learned, text)) / math.log2(8 + text.count(" "))
+        expected = 1 / (1 + math.exp(-max(-40.0, min(40.0, a + b * evidence))))
+        assert rows[i]["score"] == pytest.approx(expected, rel=1e-9) and rows[i]["predicted"] == (rows[i]["score"] >= 0.7)
+
+
 def test_pipeline_stages(spark, sf_dir, docs):
     import corpus_pipeline
 
