@@ -5,7 +5,7 @@ each group, documents that hold benchmark passages go, and what is left is packe
 """
 
 from sextant.llm import decontaminate, linededup, minhash, packing, quality
-from sextant.llm.common import documents, hold, table
+from sextant.llm.common import documents, hold_only, table
 
 
 def reject_poor(spark, docs, sf_dir):
@@ -40,7 +40,8 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), []
     for name, stage in STAGES:
-        docs = hold(stage(spark, docs, sf_dir), name)
+        docs = hold_only(lambda: stage(spark, docs, sf_dir), name, *before)
+        before = [docs]
     return docs

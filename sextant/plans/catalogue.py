@@ -18,9 +18,9 @@ from ..sources import readers, writers
 from ..streaming import jobs
 
 STOP = ["a", "and", "is", "of", "the", "to"]
-SAMPLE = "For instance, bob and 376 and 98.6 and 192.160.0.1 are all tokens. 123,456 and aunt's are not tokens"
+SAMPLE = "Version 4.1.2 of the reader's guide costs 12,50 or 3.75 a copy; see host 10.0.0.7, page 88."
 ROBOTS = "User-agent: *\nDisallow: /en/\nCrawl-delay: 2\n"
-RUN, STEPS, WAIT = 100, 5, 3600.0
+RUN, STEPS, WAIT = 1000, 5, 3600.0
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -157,9 +157,28 @@ def written_index(spark, sf_dir):
     return back.terms.join(back.postings.groupBy("term").agg(F.sum(F.size("positions")).alias("places")), "term")
 
 
+def _written_index(spark, sf_dir):
+    folder = scratch(spark, "index")
+    index.write(index.build(_docs(spark, sf_dir)), folder)
+    return index.read(spark, folder)
+
+
+@query
+def index_lookup(spark, sf_dir):
+    """Postings of some terms from a written index."""
+    found = _written_index(spark, sf_dir).term("the", "der", "que", "la", "no such term")
+    return found.select("term", "doc_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+
+
+@query
+def index_search(spark, sf_dir):
+    """BM25 over a written index."""
+    return rank.top(rank.search_index(_written_index(spark, sf_dir), _questions(spark, sf_dir), ["bm25"]), "bm25")
+
+
 @query
 def stemmed_terms(spark, sf_dir):
-    return index.term_stats(index.postings(index.stemmed(index.token_rows(_docs(spark, sf_dir).filter("lang = 'en'")), "porter2")))
+    return index.term_stats(index.postings(index.stemmed(index.token_rows(_docs(spark, sf_dir)), "porter2")))
 
 
 @query
@@ -203,8 +222,10 @@ def run_lines(spark, sf_dir):
 
 @query
 def run_parsed(spark, sf_dir):
-    lines = run_lines(spark, sf_dir).select(F.split("value", " ").alias("f"))
-    return lines.select(F.col("f")[0].cast("long").alias("query_id"), F.col("f")[2].cast("long").alias("doc_id"), F.col("f")[3].cast("int").alias("rank"), F.col("f")[5].alias("tag"))
+    """The best 1000 written as a run file and read back."""
+    folder = scratch(spark, "run")
+    writers.write_run(_ranked(spark, sf_dir, "bm25").withColumn("score", F.col("score").cast("decimal(18,6)")), folder)
+    return readers.run(spark, folder).select(F.col("query_id").cast("long").alias("query_id"), F.col("doc_id").cast("long").alias("doc_id"), "score", "rank")
 
 
 @query
@@ -240,8 +261,9 @@ def _run(spark, sf_dir):
 
 
 def _judgements(spark, sf_dir):
-    graded = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"))
-    return graded.crossJoin(F.broadcast(_questions(spark, sf_dir).select("query_id")))
+    """Each labelled document judged for the queries whose number ends as its own does."""
+    graded = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * (2 - F.col("toxic"))).alias("grade"), F.pmod("doc_id", F.lit(10)).alias("last"))
+    return graded.join(_questions(spark, sf_dir).select("query_id", F.pmod("query_id", F.lit(10)).alias("last")), "last").select("query_id", "doc_id", "grade")
 
 
 def _judged(spark, sf_dir, trec=False):
@@ -303,6 +325,89 @@ def eval_report(spark, sf_dir):
     return evaluate.report(evaluate.metrics(_run(spark, sf_dir), _judgements(spark, sf_dir), True))
 
 
+# files
+
+
+def _written(spark, lines, name):
+    """The column `value` as text files."""
+    folder = scratch(spark, name)
+    lines.select("value").write.text(folder)
+    return folder
+
+
+@query
+def read_corpus(spark, sf_dir):
+    """Documents written as tagged records and read back."""
+    text = F.replace("text", F.lit("<"), F.lit(" "))
+    record = F.concat(F.lit("<DOC>\n<DOCNO> D"), F.col("doc_id").cast("string"), F.lit(" </DOCNO>\n<TEXT>\n"), text, F.lit("\n</TEXT>\n</DOC>"))
+    return readers.corpus(spark, _written(spark, _docs(spark, sf_dir).select(record.alias("value")), "corpus"))
+
+
+@query
+def read_words(spark, sf_dir):
+    """A word list with several words a line."""
+    values = table(spark, sf_dir, "nation").select(F.concat_ws("  ", "n_name", F.col("n_regionkey").cast("string")).alias("value"))
+    return spark.createDataFrame([(w,) for w in readers.words(spark, _written(spark, values, "words"))], "word string")
+
+
+@query
+def read_doc_list(spark, sf_dir):
+    values = table(spark, sf_dir, "labels").select(F.concat_ws(" ", F.col("quality").cast("string"), F.concat(F.lit("D"), F.col("doc_id").cast("string"))).alias("value"))
+    return readers.doc_list(spark, _written(spark, values, "list"))
+
+
+@query
+def read_numbered_queries(spark, sf_dir):
+    values = _questions(spark, sf_dir).select(F.concat(F.col("query_id").cast("string"), F.lit(".   "), F.translate("text", "\n", " ")).alias("value"))
+    return readers.numbered_queries(spark, _written(spark, values, "queries"), STOP)
+
+
+@query
+def read_query_lines(spark, sf_dir):
+    values = _questions(spark, sf_dir).select(F.concat(F.lit("  "), F.translate("text", "\n", " "), F.lit(" ")).alias("value"))
+    return readers.query_lines(spark, _written(spark, values, "lines")).select("line")
+
+
+@query
+def read_qrels(spark, sf_dir):
+    values = _judgements(spark, sf_dir).select(F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("0"), F.col("doc_id").cast("string"), F.col("grade").cast("string")).alias("value"))
+    return readers.qrels(spark, _written(spark, values, "qrels"))
+
+
+@query
+def read_link_lists(spark, sf_dir):
+    """In-links of the graph's pages, one line a page."""
+    edges = _graph(spark, sf_dir)[1].filter("dst not like 'o%'").distinct()
+    values = edges.groupBy("dst").agg(F.array_sort(F.collect_set("src")).alias("all")).select(F.concat_ws(" ", "dst", F.array_join("all", " ")).alias("value"))
+    return readers.link_lists(spark, _written(spark, values, "links")).select("url", F.array_join("inlinks", " ").alias("inlinks"))
+
+
+@query
+def read_assessments(spark, sf_dir):
+    cells = [F.lit("q1").alias("QueryID"), F.lit("me").alias("AssessorID"), F.col("doc_id").cast("string").alias("DocID"), F.lit("").alias("Auto Grade"), F.when(F.col("toxic") == 0, F.col("quality").cast("string")).otherwise("").alias("Grade")]
+    folder = scratch(spark, "assessments")
+    table(spark, sf_dir, "labels").select(*cells).write.option("header", True).csv(folder)
+    return readers.assessments(spark, folder).select(F.col("DocID").alias("doc_id"), F.col("Grade").alias("grade"), F.col("Auto Grade").alias("auto_grade"))
+
+
+@query
+def read_link_table(spark, sf_dir):
+    """A written crawl read back as link lists."""
+    pages = _pages(spark, sf_dir)
+    folder = scratch(spark, "crawl")
+    crawl.crawl_documents(pages, crawl.links(pages)).write.parquet(folder)
+    return readers.link_table(spark, folder).select("url", F.size("inlinks").alias("n_in"), F.array_join("outlinks", " ").alias("outlinks"))
+
+
+@query
+def read_scalars(spark, sf_dir):
+    """Statistics written as `NAME = integer` and read back."""
+    one = rank.corpus_numbers(_docs(spark, sf_dir)).first()
+    folder = scratch(spark, "scalars")
+    writers.write_scalars(spark, {"DOCS": one["docs"], "TOKENS": one["tokens"], "VOCABULARY": one["vocabulary"]}, folder)
+    return spark.createDataFrame([*readers.scalars(spark, folder).items()], "name string, value long")
+
+
 # web
 
 
@@ -482,6 +587,15 @@ def hits_steps(spark, sf_dir):
     return graph.hits(vertices, edges, iterations=STEPS).select("url", F.round("hub", 9).alias("hub"), F.round("authority", 9).alias("authority"))
 
 
+@query
+def hits_top(spark, sf_dir):
+    """The 500 best hubs and the 500 best authorities."""
+    vertices, edges = _clean_graph(spark, sf_dir)
+    scores = graph.hits(vertices, edges, iterations=STEPS).persist()
+    best = lambda c: graph.best(scores.select("url", F.round(c, 9).alias("score"))).select(F.lit(c).alias("kind"), "url", "score")
+    return best("hub").unionByName(best("authority"))
+
+
 @query
 def hits_converged(spark, sf_dir):
     vertices, edges = _clean_graph(spark, sf_dir)
@@ -491,7 +605,7 @@ def hits_converged(spark, sf_dir):
 @query
 def base_set(spark, sf_dir):
     vertices, edges = _clean_graph(spark, sf_dir)
-    return graph.base_set(vertices.filter("url like 's%'"), edges, sample=10, steps=1)
+    return graph.base_set(vertices.filter("url like 's%'"), edges, sample=200, steps=1)
 
 
 # assessment

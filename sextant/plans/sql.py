@@ -81,7 +81,7 @@ def _judged(trec: bool) -> str:
     return f"""{_scores("bm25")},
 r0 AS (SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS r FROM s),
 r AS (SELECT query_id, doc_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id {"DESC" if trec else "ASC"}) AS INTEGER) AS rank FROM r0 WHERE r <= {RUN}),
-g AS MATERIALIZED (SELECT item_id AS query_id, doc_id, quality * (2 - toxic) AS grade FROM labels, benchmark),
+g AS MATERIALIZED (SELECT item_id AS query_id, doc_id, quality * (2 - toxic) AS grade FROM labels JOIN benchmark ON item_id % 10 = doc_id % 10),
 t AS (SELECT query_id, CAST(sum(grade) AS DOUBLE) AS num_rel FROM g GROUP BY query_id HAVING sum(grade) <> 0),
 j AS MATERIALIZED (SELECT query_id, doc_id, rank, rel, num_rel, sum(rel) OVER (PARTITION BY query_id ORDER BY rank ROWS UNBOUNDED PRECEDING) AS rel_ret
 FROM (SELECT r.query_id, r.doc_id, rank, num_rel, CAST(coalesce(grade, 0) AS DOUBLE) AS rel FROM r JOIN t ON t.query_id = r.query_id LEFT JOIN g ON g.query_id = r.query_id AND g.doc_id = r.doc_id))"""
@@ -205,12 +205,24 @@ SQL: dict[str, str] = {
 SELECT coalesce(x.term, y.term) AS term, coalesce(x.doc_id, y.doc_id) AS doc_id, CASE WHEN y.tf IS NULL OR x.tf < y.tf THEN x.tf ELSE y.tf END AS tf,
 CASE WHEN y.tf IS NULL OR x.tf < y.tf THEN x.positions ELSE y.positions END AS positions FROM x FULL JOIN y ON x.term = y.term AND x.doc_id = y.doc_id""",
     "written_index": f"SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ttf, CAST(sum(tf) AS BIGINT) AS places FROM ({_postings('documents', 'doc_id', _kept)}) GROUP BY term",
+    "index_lookup": f"SELECT * FROM ({_postings('documents', 'doc_id', _tokens)}) WHERE term IN ('the', 'der', 'que', 'la')",
+    "index_search": _top("bm25"),
+    "read_corpus": "SELECT 'D' || doc_id AS docno, replace(replace(text, '<', ' '), chr(10), ' ') AS text FROM documents WHERE text IS NOT NULL",
+    "read_words": "SELECT DISTINCT unnest([n_name, CAST(n_regionkey AS VARCHAR)]) AS word FROM nation",
+    "read_doc_list": "SELECT 'D' || doc_id AS doc_id FROM labels WHERE quality <> 0",
+    "read_numbered_queries": f"SELECT CAST(item_id AS VARCHAR) AS query_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(replace(text, chr(10), ' '), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')), '\\s+'), lambda w: w <> '' AND w NOT IN ({_STOP})), ' ') AS query_text FROM benchmark",
+    "read_query_lines": "SELECT regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS line FROM benchmark",
+    "read_qrels": "WITH g AS (SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality * (2 - toxic) AS DOUBLE) AS grade FROM labels JOIN benchmark ON item_id % 10 = doc_id % 10) SELECT query_id, doc_id, grade, sum(grade) OVER (PARTITION BY query_id) AS num_rel FROM g",
+    "read_link_lists": f"WITH {_GRAPH} SELECT dst AS url, string_agg(src, ' ' ORDER BY src) AS inlinks FROM (SELECT DISTINCT src, dst FROM edges WHERE dst NOT LIKE 'o%') GROUP BY dst",
+    "read_assessments": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN toxic = 0 THEN CAST(quality AS VARCHAR) ELSE '' END AS grade, '' AS auto_grade FROM labels",
+    "read_link_table": f"WITH {_LINKS}, {_CRAWL} SELECT url, 0 AS n_in, coalesce(outlinks, '') AS outlinks FROM pages LEFT JOIN o ON src = url",
+    "read_scalars": f"WITH {_CORPUS} SELECT unnest(['DOCS', 'TOKENS', 'VOCABULARY']) AS name, unnest([n, c, v]) AS value FROM cs",
     "bm25_topk": _top("bm25"),
     **{m: _top(m) for m in [*_SPARSE, *_DENSE] if m != "bm25"},
     "tfidf_rounded_mean": _top("tfidf", rounded=True),
     "all_models": _all_models(),
     "run_lines": f"SELECT query_id || ' Q0 ' || doc_id || ' ' || rank || ' ' || CAST(score AS DECIMAL(18, 6)) || ' Exp' AS value FROM ({_top('bm25')})",
-    "run_parsed": f"SELECT query_id, doc_id, rank, 'Exp' AS tag FROM ({_top('bm25')})",
+    "run_parsed": f"SELECT query_id, doc_id, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, CAST(doc_id AS VARCHAR)) AS INTEGER) AS rank FROM ({_top('bm25')})",
     "unknown_terms": f"""WITH {_CORPUS}, u AS (SELECT conv_id AS query_id, unnest({_tokens("text")}) AS term FROM conversations)
 SELECT query_id, term, count(*) AS qtf FROM u WHERE term NOT IN (SELECT term FROM ts) GROUP BY query_id, term""",
     "candidate_union": f"WITH {_CORPUS}, {_ASKED} SELECT DISTINCT query_id, doc_id FROM q JOIN post USING (term)",
@@ -266,9 +278,11 @@ array_to_string(list_sort(list_distinct(list('o' || lang) || coalesce(list(lang)
     "pagerank_top": f"WITH {_pagerank(STEPS)}, dg AS ({_DEGREES}) SELECT url, round(pr, 9) AS score, inlinks, outlinks FROM p{STEPS} JOIN dg USING (url) ORDER BY score DESC, url LIMIT 500",
     "pagerank_perplexity": f"WITH {_pagerank(STEPS)} SELECT round(pow(2, -sum(pr * log2(pr))), 6) AS perplexity FROM p{STEPS}",
     "hits_steps": f"WITH {_hits(STEPS)} SELECT url, round(hub, 9) AS hub, round(authority, 9) AS authority FROM h{STEPS}",
+    "hits_top": f"""WITH {_hits(STEPS)}, s AS (SELECT 'hub' AS kind, url, round(hub, 9) AS score FROM h{STEPS} UNION ALL SELECT 'authority', url, round(authority, 9) FROM h{STEPS})
+SELECT kind, url, score FROM s QUALIFY row_number() OVER (PARTITION BY kind ORDER BY score DESC, url) <= 500""",
     "base_set": f"""WITH {_GRAPH}, root AS (SELECT url FROM vertices WHERE url LIKE 's%'),
 i AS (SELECT dst, src, row_number() OVER (PARTITION BY dst ORDER BY md5(src), src) AS r FROM clean JOIN root ON url = dst),
-n AS (SELECT src AS url FROM i WHERE r <= 10 UNION SELECT dst FROM clean JOIN root ON url = src),
+n AS (SELECT src AS url FROM i WHERE r <= 200 UNION SELECT dst FROM clean JOIN root ON url = src),
 a AS (SELECT url, 0 AS step FROM root UNION ALL SELECT url, 1 FROM n WHERE url NOT IN (SELECT url FROM root))
 SELECT url FROM a ORDER BY step, url LIMIT 10000""",
     "cosine_search": f"""SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, row_id) AS INTEGER) AS rank
