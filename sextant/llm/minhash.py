@@ -18,9 +18,9 @@ shingle is one shingle. Rows that share a doc_id are separate rows of the same d
 from __future__ import annotations
 
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import hold, release, small_batches, small_enough, tidy
 from .components import components
-from .words import Words
+from .words import Words, content
 
 BANDS, ROWS = 40, 5
 SIZE = BANDS * ROWS
@@ -36,7 +36,7 @@ SIZE = BANDS * ROWS
 BROADCAST_IDS = 1_000_000
 DEVIATIONS = 5.5
 #: Members of a bucket that one task compares with as many others, and bytes of their sets.
-BLOCK, BLOCK_BYTES = 1000, 16 << 20
+BLOCK, BLOCK_BYTES = 500, 16 << 20
 #: Rows of one key beyond which it is joined by broadcast, and such keys at most (some 50 bytes each).
 HOT, HOT_KEYS = 1000, 1_000_000
 _U = np.uint64
@@ -193,32 +193,55 @@ def _blocked_pairs(members: DataFrame, percent: int) -> DataFrame:
     j = percent / 100
     least = SIZE * (j - DEVIATIONS * (j * (1 - j) / SIZE) ** 0.5) if 0 < j < 1 else SIZE * j
 
-    def run(pdf):
-        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
-        sig = np.stack([np.frombuffer(x, "<u2") for x in pdf["sig"]])
-        sets = [np.frombuffer(x, _U) for x in pdf["set"]]
-        rep, n, own = (pdf[c].to_numpy() for c in ("rep", "n", "own"))
-        root = np.unique(pdf["root"].to_numpy(), return_inverse=True)[1]
-        bands = np.stack(pdf["bands"].to_list())
-        before = bands[:, : int(np.flatnonzero(bands[0] == int(pdf["band"].iloc[0]))[0])]
-        a, b = [], []
-        for i in np.flatnonzero(own == lo):
+    def compare(keys, at, rep, root, n, own, sig, bands, sets, out):
+        """The links of one pair of blocks, which has the rows `at`."""
+        lo, hi = keys[1], keys[2]
+        rep, n, own, sig, bands = rep[at], n[at], own[at], sig[at], bands[at]
+        root = root[at].copy()
+        before = bands[:, : int(np.flatnonzero(bands[0] == keys[0])[0])]
+        for i in np.flatnonzero(own == lo).tolist():
             ok = (root != root[i]) & (own == hi) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
             if lo == hi:
                 ok &= rep > rep[i]
-            at = np.flatnonzero(ok)
-            count = (sig[at] == sig[i]).sum(1)
-            near = np.flatnonzero((count >= least) & ~(before[at] == before[i]).any(1))
-            for k in at[near[np.argsort(-count[near], kind="stable")]].tolist():
+            near = np.flatnonzero(ok)
+            if not len(near):
+                continue
+            count = (sig[near] == sig[i]).sum(1)
+            likely = np.flatnonzero((count >= least) & ~(before[near] == before[i]).any(1))
+            for k in near[likely[np.argsort(-count[likely], kind="stable")]].tolist():
                 if root[k] != root[i]:
-                    common = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
-                    if 100 * common >= percent * (int(n[i] + n[k]) - common):
-                        a.append(min(rep[i], rep[k]))
-                        b.append(max(rep[i], rep[k]))
+                    x, y = sets(at.start + i), sets(at.start + k)
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        out.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
                         root[root == root[k]] = root[i]
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return dealt.groupBy("band", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+    def run(batches):
+        rest = None
+        for batch in chain(batches, [None]):
+            rows = [x for x in (rest, batch) if x is not None and x.num_rows]
+            if not rows:
+                continue
+            rows = pa.Table.from_batches(rows).combine_chunks()
+            keys = np.stack([rows[c].to_numpy() for c in ("band", "lo", "hi")], 1)
+            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(1)]).tolist()
+            ends = [*starts[1:], len(keys)]
+            # the last pair of blocks may go on in the next batch
+            rest = rows.slice(starts[-1]).combine_chunks().to_batches()[0] if batch is not None else None
+            done = len(starts) - (batch is not None)
+            rep, root, n, own = (rows[c].to_numpy() for c in ("rep", "root", "n", "own"))
+            sig = np.frombuffer(content(rows["sig"])[0].tobytes(), "<u2").reshape(-1, SIZE)
+            bands = rows["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+            data, place = content(rows["set"])
+            sets = lambda k, data=data, place=place: np.frombuffer(data[place[k] : place[k + 1]].tobytes(), _U)
+            out: list[tuple[int, int]] = []
+            for x, y in zip(starts[:done], ends[:done]):
+                compare(keys[x].tolist(), slice(x, y), rep, root, n, own, sig, bands, sets, out)
+            yield pa.RecordBatch.from_arrays([pa.array([p[c] for p in out], pa.int64()) for c in (0, 1)], ["a", "b"])
+        tidy()
+
+    key = ["band", "lo", "hi"]
+    return dealt.repartition(*key).sortWithinPartitions(*key).mapInArrow(run, "a long, b long").distinct()
 
 
 def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:

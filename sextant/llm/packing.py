@@ -1,9 +1,10 @@
 """Lexical retrieval packing.
 
 Texts are turned into subword ids once. Documents are dealt by content into shards of bounded size, each with its own
-BM25 inverted index over those ids. For the dealing, a document gets three MinHash values of its ids and one of its pairs
-of adjacent ids; documents are ordered by them, so that a document's copies follow it, near copies follow as far as
-their first values agree, and documents that share words lie together. Spark deals that order out in ranges, and every
+BM25 inverted index over those ids. For the dealing, a document gets two MinHash values of its pairs of adjacent ids and
+two of its ids; documents are ordered by them, so that a document's copies follow it, near copies follow if their first
+value agrees (with a chance of the share of pairs that they have in common), and documents that share rare phrases lie
+together. Spark deals that order out in ranges, and every
 task cuts its range into shards of at most SHARD_TOKENS ids as the rows come, where the first values change if it can:
 memory is bounded by a shard (or one document, if it is longer), and a group of any number of copies goes to as many tasks
 as it needs.
@@ -136,15 +137,17 @@ def _scattered(x: np.ndarray, seed: int) -> np.ndarray:
 
 
 def order_keys(ids: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two 64-bit numbers that order documents by content: three MinHash values of a document's ids, one of its pairs of adjacent ids."""
+    """Two 64-bit numbers that order documents by content: two MinHash values of a document's pairs of adjacent ids, then two of its ids."""
     flat = ids.astype(np.uint32)
-    found = [_least(_scattered(flat, seed), sizes) for seed in (0x1234567, 0x2345678, 0x3456789)]
-    pairs = np.full(len(flat), 0xFFFFFFFF, np.uint32)
-    if len(flat) > 1:
-        pairs[:-1] = _scattered(flat[:-1] * np.uint32(0x27D4EB2F) + flat[1:], 0x4567891)
-        last = np.cumsum(sizes)[sizes > 0] - 1
-        pairs[last] = 0xFFFFFFFF  # it would reach into the next document
-    found.append(_least(pairs, sizes))
+    pairs = flat.copy()
+    pairs[:-1] = flat[:-1] * np.uint32(0x27D4EB2F) + flat[1:] * np.uint32(0x165667B1)
+    last = np.cumsum(sizes)[sizes > 0] - 1  # a document's last id has no pair
+    found = []
+    for values, seed in ((pairs, 0x1234567), (pairs, 0x2345678), (flat, 0x3456789), (flat, 0x4567891)):
+        scattered = _scattered(values, seed)
+        if values is pairs:
+            scattered[last] = 0xFFFFFFFF
+        found.append(_least(scattered, sizes))
     # least values of long documents are small: scattered again, they don't gather at one end of the order
     a, b, c, d = (mix(x.astype(U)) >> U(32) for x in found)
     return (a << U(32) | b).view(np.int64), (c << U(32) | d).view(np.int64)

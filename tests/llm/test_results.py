@@ -141,11 +141,12 @@ def test_packing_finds_neighbours_among_many_shards(spark):
     assert max(size.values()) <= 20_000
     place = {r["doc_id"]: r["sequence_id"] for r in rows if r["start"] == 0}
     seeds = {r["doc_id"]: r["sequence_id"] for r in sorted(rows, key=lambda r: -r["sequence_id"]) if r["offset"] == 0 and r["doc_id"] < 5000}
-    met = {i: place[i ^ 1] == at for i, at in seeds.items() if not (place[i ^ 1] >> 24 == at >> 24 and place[i ^ 1] < at)}
-    copies, near = ([m for i, m in met.items() if i // 2 % 2 == k] for k in (0, 1))
-    assert len(copies) > 50 and np.mean(copies) > 0.8 and len(near) > 50 and np.mean(near) > 0.6
-    together = [place[i] >> 24 == place[i + 1] >> 24 for i in range(0, 1200, 4)]  # shards of some thirty documents, so some pairs lie across a border
-    assert np.mean(together) > 0.9
+    shard = {i: at >> 24 for i, at in place.items()}
+    copies, near = ([shard[i] == shard[i + 1] for i in range(2 * k, 1200, 4)] for k in (0, 1))
+    assert np.mean(copies) > 0.9  # some lie across a border: a shard has some forty documents here
+    assert np.mean(near) > 0.4  # near copies share about half of their pairs of ids, which is their chance to be dealt alike
+    met = [place[i ^ 1] == at for i, at in seeds.items() if shard[i ^ 1] == at >> 24 and place[i ^ 1] >= at]
+    assert len(met) > 80 and np.mean(met) > 0.9
 
 
 def odd_text(rng):
