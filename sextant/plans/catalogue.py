@@ -698,4 +698,4 @@ def stream_upsert(spark, sf_dir):
     none = F.array().cast("array<string>")
     pages = stream.select(F.col("source").alias("url"), F.lit("x").alias("content"), F.array("lang").alias("inlinks"), none.alias("outlinks"), none.alias("authors"))
     jobs.upsert_stream(pages, f"{folder}/table", f"{folder}/log").awaitTermination()
-    return spark.read.parquet(f"{folder}/table").select("url", "content", F.array_join("inlinks", " ").alias("inlinks"))
+    return jobs.merged(spark, f"{folder}/table").select("url", "content", F.array_join("inlinks", " ").alias("inlinks"))

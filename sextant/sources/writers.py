@@ -49,14 +49,22 @@ def write_scalars(spark: SparkSession, values: dict[str, int], path: str) -> Non
 
 
 def replace(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Overwrite a Parquet table that `df` may have been read from: written beside it, then put in its place."""
+    """Overwrite a Parquet table that `df` may have been read from: written beside it, then put in its place.
+
+    The old table is moved aside first and deleted last, so at every moment one whole table is there under `path`, or
+    under `path`.old if the move was cut off.
+    """
     space = spark._jvm.org.apache.hadoop.fs
-    new, old = space.Path(f"{path}.new"), space.Path(path)
+    new, old, aside = (space.Path(p) for p in (f"{path}.new", path, f"{path}.old"))
     store = old.getFileSystem(spark._jsc.hadoopConfiguration())
     df.write.mode("overwrite").parquet(f"{path}.new")
-    store.delete(old, True)
+    if store.exists(old):
+        store.delete(aside, True)
+        if not store.rename(old, aside):
+            raise OSError(f"{path} can't be moved")
     if not store.rename(new, old):
-        raise OSError(f"{path}.new can't be renamed")
+        raise OSError(f"{path}.new can't be moved")
+    store.delete(aside, True)
     spark.catalog.refreshByPath(path)
 
 

@@ -207,13 +207,23 @@ def test_streamed_upsert_and_visited(spark, tmp_path):
         spark.createDataFrame(rows, upsert.CRAWL).coalesce(1).write.parquet(f"file://{tmp_path}/in/{k}")
     stream = spark.readStream.schema(upsert.CRAWL).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in/*")
     jobs.upsert_stream(stream, f"file://{tmp_path}/t", f"file://{tmp_path}/log").awaitTermination()
-    rows = {r["url"]: r for r in spark.read.parquet(f"file://{tmp_path}/t").collect()}
+    rows = {r["url"]: r for r in jobs.merged(spark, f"file://{tmp_path}/t").collect()}
+    jobs.vacuum(spark, f"file://{tmp_path}/t")
+    assert {r["url"]: r for r in jobs.merged(spark, f"file://{tmp_path}/t").collect()} == rows
     assert rows["a"]["content"] == "text" and rows["a"]["inlinks"] == ["x", "y"] and "b" in rows
     once = jobs.unvisited(stream.select("url")).writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/log2").trigger(availableNow=True)
     once.start(f"file://{tmp_path}/urls").awaitTermination()
     assert sorted(r[0] for r in spark.read.parquet(f"file://{tmp_path}/urls").collect()) == ["a", "b"]
 
 
+def test_a_denied_page_takes_no_place_of_the_crawl(spark):
+    pages = spark.createDataFrame([("http://h/en/a", "<p>no</p>"), ("http://h/b", "<p>yes</p>"), ("http://h/c", "<p>later</p>")], "url string, html string")
+    start = spark.createDataFrame([("http://h/en/a",), ("http://h/0",), ("http://h/b",), ("http://h/c",)], "url string")
+    robots = spark.createDataFrame([("h", "User-agent: *\nDisallow: /en/\n")], "domain string, robots_txt string")
+    got = crawl.crawl(pages, start, robots, most=1, focused=False)
+    assert [r["url"] for r in got.filter("content is not null").collect()] == ["http://h/b"]
+
+
 def test_hash(spark):
     import hashlib
 
