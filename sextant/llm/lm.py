@@ -6,7 +6,7 @@ The class has a prior given the subword before it, and a subword its share of it
 from counts of all training documents; the attention model learns what they leave. Texts are cut into windows of WINDOW ids that
 overlap by LEAD; each id, and one end at last, is scored once, by the window that holds at least LEAD ids before it.
 
-The model is trained on all training documents, each read once: they are dealt over the rounds by a hash of the id, in a
+The model is trained on all training documents, each read once, in windows side by side: they are dealt over the rounds by a hash of the id, in a
 round every partition trains on its own documents from the same parameters, and the results are averaged by the ids they
 have seen. Counts of words, subwords and pairs of them cover all training documents.
 
@@ -34,14 +34,16 @@ from .words import Table, U, Words, content
 WINDOW, LEAD, WIDTH = 32, 8, 16
 STEP = WINDOW - LEAD
 #: Classes: frequent ids, and groups of the others. Ids with an embedding of their own.
-OWN, CLUSTERS, EMBEDDED = 80, 32, 4096
+OWN, CLUSTERS, EMBEDDED = 64, 32, 4096
 CLASSES = OWN + CLUSTERS
 #: Pseudo-counts of the ids' shares in what follows a class.
 SHRINK = 30.0
 #: Windows that are read at once, which is what a processor's cache holds, and windows of a step of training.
-CHUNK, BATCH = 64, 96
+CHUNK, BATCH = 48, 32
 ROUNDS, RATE = 3, 0.08
 FREQUENT, FLUSH = 200_000, 2_000_000
+#: Cells of a table of counts that a task holds as a whole.
+DENSE = 1 << 20
 
 
 # counts
@@ -96,12 +98,21 @@ def pair_keys(ids: np.ndarray, at: np.ndarray, before: np.ndarray, start: int, e
 def pairs(held: DataFrame, before: np.ndarray, start: int, end: int, after: np.ndarray | None = None) -> np.ndarray:
     """Counts, as a table, of the pairs that `pair_keys` has for the read training documents. At most the table's numbers reach the driver."""
 
+    cells = (start + 1) * (end + 1 if after is None else int(after.max()) + 1)
+
     def run(batches):
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts, dense = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(cells if cells <= DENSE else 0, np.int64)
         for batch in batches:
-            found, n = np.unique(pair_keys(*_flat(batch.column(0)), before, start, end, after), return_counts=True)
+            found = pair_keys(*_flat(batch.column(0)), before, start, end, after)
+            if cells <= DENSE:
+                dense += np.bincount(found, minlength=cells)
+                continue
+            found, n = np.unique(found, return_counts=True)
             keys, back = np.unique(np.concatenate([keys, found]), return_inverse=True)
             counts = np.bincount(back, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+        if cells <= DENSE:
+            keys = np.flatnonzero(dense)
+            counts = dense[keys]
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], ["key", "n"])
         tidy()
 
@@ -222,10 +233,11 @@ def _clusters(own: np.ndarray, total: np.ndarray, rank: np.ndarray, rounds: int
 
 
 SHAPES = {"q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "r": (WIDTH, WIDTH), "a": (WIDTH,), "bias": (WINDOW,), "u": (WIDTH, CLASSES)}
-#: Distance from each key to each of the places that are scored.
-_LAG = np.arange(LEAD, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
-_FUTURE = np.where(_LAG < 0, -np.inf, 0).astype(np.float32)
 _SPAN = np.arange(WINDOW)
+#: Distance from each key to each place of a window, and what keeps keys to come out.
+_LAG = _SPAN[:, None] - _SPAN[None, :]
+_FUTURE = np.where(_LAG < 0, -np.inf, 0).astype(np.float32)
+_LAG = np.abs(_LAG)
 
 
 def initial(vocabulary: Vocabulary) -> dict[str, np.ndarray]:
@@ -247,22 +259,22 @@ def unflat(x: np.ndarray) -> dict[str, np.ndarray]:
     return out
 
 
-def windows(ids: np.ndarray, at: np.ndarray, end: int, vocabulary: Vocabulary):
-    """Of all texts' ids, one after the other: inputs (places), where each window begins in them, for each of a window's last STEP places
-    the id to come (-1: none), and the number of windows of each text."""
-    sizes = np.diff(at)
-    count = -(-(sizes + 1) // STEP)
-    starts = np.r_[0, np.cumsum(count * STEP + LEAD)]
+def windows(ids: np.ndarray, at: np.ndarray, end: int, vocabulary: Vocabulary, lead: int = LEAD):
+    """Of all texts' ids, one after the other: inputs (places), where each window begins in them, for each of a window's places but its first
+    `lead` ones the id to come (-1: none), and the number of windows of each text."""
+    sizes, step = np.diff(at), WINDOW - lead
+    count = -(-(sizes + 1) // step)
+    starts = np.r_[0, np.cumsum(count * step + lead)]
     inputs = np.full(int(starts[-1]), vocabulary.embeddings - 1, np.int32)
-    nexts = np.full(int(count.sum()) * STEP, -1, np.int64)
-    to = np.r_[0, np.cumsum(count * STEP)]
+    nexts = np.full(int(count.sum()) * step, -1, np.int64)
+    to = np.r_[0, np.cumsum(count * step)]
     within = np.arange(len(ids)) - np.repeat(at[:-1], sizes)
-    last = within < np.repeat(count * STEP - 1, sizes)  # no window reads a place beyond its last
-    inputs[(np.repeat(starts[:-1], sizes) + LEAD + 1 + within)[last]] = vocabulary.place[ids[last]]
+    last = within < np.repeat(count * step - 1, sizes)  # no window reads a place beyond its last
+    inputs[(np.repeat(starts[:-1], sizes) + lead + 1 + within)[last]] = vocabulary.place[ids[last]]
     nexts[np.repeat(to[:-1], sizes) + within] = ids
     nexts[to[:-1] + sizes] = end
-    first = np.repeat(starts[:-1] - to[:-1], count) + np.arange(int(count.sum())) * STEP
-    return inputs, first, nexts.reshape(-1, STEP), count
+    first = np.repeat(starts[:-1] - to[:-1], count) + np.arange(int(count.sum())) * step
+    return inputs, first, nexts.reshape(-1, step), count
 
 
 class Scorer:
@@ -272,7 +284,7 @@ class Scorer:
         e = p["e"]
         self.q, self.k, self.v, self.r = e @ p["q"] / np.float32(math.sqrt(WIDTH)), e @ p["k"], e @ p["v"], e @ p["r"] + p["a"]
         self.u, self.prior = p["u"], vocabulary.prior
-        self.bias = (p["bias"][np.abs(_LAG)] + _FUTURE).astype(np.float32)
+        self.bias = (p["bias"][_LAG] + _FUTURE)[LEAD:].astype(np.float32)
         reach = lambda x: float(np.sqrt((x * x).sum(-1)).max())
         self.calm = reach(self.q) * reach(self.k) + float(np.abs(p["bias"]).max()) < 60 and float(np.abs(p["u"]).sum(0).max() + np.abs(self.prior).max()) < 80
         self.vocabulary, self.end = vocabulary, end
@@ -320,7 +332,7 @@ class Scorer:
 
 
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, nexts: np.ndarray, vocabulary: Vocabulary) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean cross entropy of the next ids' classes (windows, STEP; -1: none) and its derivatives; the embeddings' as (rows, values) in `e`."""
+    """Mean cross entropy of the classes of the ids that come after a window's last places (windows, places; -1: none) and its derivatives; the embeddings' as (rows, values) in `e`."""
     scale = np.float32(1 / math.sqrt(WIDTH))
     rows = lambda m: m.reshape(-1, WIDTH)
     order = np.argsort(x.ravel(), kind="stable")
@@ -331,50 +343,56 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, nexts: np.ndarray, vocabu
     back = back.reshape(x.shape)
     e = p["e"][used]
     eq, ek, ev, er = e @ p["q"] * scale, e @ p["k"], e @ p["v"], e @ p["r"] + p["a"]
-    late = back[:, LEAD:]
+    lead = WINDOW - nexts.shape[1]
+    late = back[:, lead:]
     q, k, v = eq[late], ek[back], ev[back]
     a = np.matmul(q, k.transpose(0, 2, 1))
-    a += p["bias"][np.abs(_LAG)] + _FUTURE
-    np.minimum(a, 60, out=a)
+    a += (p["bias"][_LAG] + _FUTURE)[lead:]
+    _calmed(a)
     np.exp(a, out=a)
-    a *= 1 / a.sum(-1, keepdims=True)
+    a *= 1 / (a @ np.ones(WINDOW, np.float32))[..., None]
     h = np.tanh(np.matmul(a, v) + er[late])
     known = nexts.ravel() >= 0
     n = np.float32(1 / max(1, int(known.sum())))
     group = vocabulary.group[nexts.ravel() * known]
     hs = rows(h)
     z = hs @ p["u"]
-    z += vocabulary.prior[x[:, LEAD:].ravel()]
-    np.minimum(z, 60, out=z)
+    z += vocabulary.prior[x[:, lead:].ravel()]
+    _calmed(z)
     np.exp(z, out=z)
     sums = z @ np.ones(CLASSES, np.float32)
     at = np.arange(len(z)), group
-    loss = float((np.log(sums) - np.log(np.maximum(z[at], 1e-30)))[known].sum()) * n
-    z *= (known * n / sums)[:, None]
-    z[at] -= known * n
-    g = {"u": hs.T @ z}
-    dz = (z @ p["u"].T).reshape(h.shape)
+    chosen = z[at]
+    loss = float((np.log(sums) - np.log(np.maximum(chosen, 1e-30)))[known].sum()) * n
+    z[at] = chosen - sums  # derivatives but for a factor of each row
+    factor = (known * n / sums)[:, None]
+    g = {"u": (hs * factor).T @ z}
+    dz = ((z @ p["u"].T) * factor).reshape(h.shape)
     dz *= 1 - h * h
     da = np.matmul(dz, v.transpose(0, 2, 1))
-    dv = np.matmul(a.transpose(0, 2, 1), dz)
-    da -= (da * a).sum(-1, keepdims=True)
+    turned = a.transpose(0, 2, 1)
+    dv = np.matmul(turned, dz)
+    da -= ((da * a) @ np.ones(WINDOW, np.float32))[..., None]
     da *= a
-    g["bias"] = np.bincount(np.abs(_LAG).ravel(), da.sum(0).ravel(), WINDOW).astype(np.float32)
-    dq, dk = np.matmul(da, k), np.matmul(da.transpose(0, 2, 1), q)
-    # sums over the places of each id come first, so products with the weights are taken once an id
-    full = np.zeros((*x.shape, 4 * WIDTH), np.float32)
-    full[:, LEAD:, :WIDTH] = dq
-    full[:, LEAD:, WIDTH : 2 * WIDTH] = dz
-    full[:, :, 2 * WIDTH : 3 * WIDTH] = dk
-    full[:, :, 3 * WIDTH :] = dv
-    sums = np.add.reduceat(full.reshape(-1, 4 * WIDTH)[order], starts, axis=0)
-    dq, dr, dk, dv = (sums[:, k * WIDTH : (k + 1) * WIDTH] for k in range(4))
-    dq = dq * scale
-    g |= {"q": e.T @ dq, "k": e.T @ dk, "v": e.T @ dv, "r": e.T @ dr, "a": dr.sum(0)}
-    g["e"] = used, dq @ p["q"].T + dr @ p["r"].T + dk @ p["k"].T + dv @ p["v"].T
+    g["bias"] = np.bincount(_LAG[lead:].ravel(), da.sum(0).ravel(), WINDOW).astype(np.float32)
+    dq, dk = np.matmul(da, k) * scale, np.matmul(da.transpose(0, 2, 1), q)
+    own = e[back]
+    near, all_ = rows(own[:, lead:]), rows(own)
+    dq, dz, dk, dv = map(rows, (dq, dz, dk, dv))
+    g |= {"q": near.T @ dq, "r": near.T @ dz, "a": dz.sum(0), "k": all_.T @ dk, "v": all_.T @ dv}
+    de = (dk @ p["k"].T + dv @ p["v"].T).reshape(*x.shape, WIDTH)
+    de[:, lead:] += (dq @ p["q"].T + dz @ p["r"].T).reshape(h.shape)
+    cells = (back.reshape(-1, 1) * WIDTH + np.arange(WIDTH, dtype=np.int32)).ravel()
+    g["e"] = used, np.bincount(cells, de.ravel(), len(used) * WIDTH).astype(np.float32).reshape(-1, WIDTH)
     return loss, g
 
 
+def _calmed(x: np.ndarray) -> None:
+    """Keep exponentials finite, at a cost only where it is needed."""
+    if x.max() > 80:
+        x -= x.max(-1, keepdims=True)
+
+
 class Trainer:
     """Adagrad from given parameters."""
 
@@ -413,7 +431,7 @@ def train(held: DataFrame, vocabulary: Vocabulary, end: int, rounds: int = ROUND
                 ids, at = _flat(batch.column(0))
                 if len(at) < 2:
                     continue
-                inputs, first, nexts, _ = windows(ids, at, end, vocabulary)
+                inputs, first, nexts, _ = windows(ids, at, end, vocabulary, 0)
                 order = rng.permutation(len(first))
                 for a in range(0, len(order), BATCH):
                     own = order[a : a + BATCH]
