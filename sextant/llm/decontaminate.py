@@ -6,7 +6,8 @@ passages, and passages whose cosine to a benchmark passage reaches COSINE are ca
 each place where a document has a run of RUN words of a benchmark passage (every RUN-th word begins one, and the last
 RUN words are one), so no passage that is there word for word depends on the cosine. A candidate is a leak if the
 longest common subsequence of words covers VERBATIM of the benchmark passage, or PARAPHRASE of it with ANSWER_SHARE of the words of the
-answer present: the item's `answer` where the table has such a column, else its most informative words.
+answer present: the item's `answer` where the table has such a column, else its most informative words, those that occur
+in any document first (a word that a paraphrase has replaced may be rare just because of that).
 
 Words are cut at white space and compared lower-cased, letters and digits only, by 64-bit hashes; each word of the
 benchmark has a row of its own. Words in more than COMMON of all documents carry no weight in the latent space, unless a
@@ -312,7 +313,7 @@ class Model:
     begins: np.ndarray  # whether a run's hash begins with these 16 bits
 
     @classmethod
-    def of(cls, found: list, words: np.ndarray, idf: np.ndarray, gain: np.ndarray, space: np.ndarray) -> Model:
+    def of(cls, found: list, words: np.ndarray, idf: np.ndarray, gain: np.ndarray, space: np.ndarray, seen: np.ndarray) -> Model:
         weights = (space * gain[:, None]).astype(np.float32)
         heavy = np.zeros(len(gain) + 1, bool)
         heavy[: len(gain)] = gain > 0
@@ -329,7 +330,7 @@ class Model:
             vectors.append(weights[at].sum(0))
             masks.append(own)
             sizes.append(len(at))
-            answers.append(answer or set(sorted(own, key=lambda x: (-idf[x], x))[:ANSWER_WORDS]))
+            answers.append(answer or set(sorted(own, key=lambda x: (not seen[x], -idf[x], x))[:ANSWER_WORDS]))
         v = np.array(vectors, np.float32).reshape(len(found), -1)
         norm = np.linalg.norm(v, axis=1, keepdims=True)
         keys.sort()
@@ -427,7 +428,7 @@ def models(docs: DataFrame, benchmark: DataFrame, keep: list[str]) -> tuple[Data
     blocks = max(1, -(-items.count() // BLOCK))
 
     def block(b):
-        return Model.of(items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == b).collect(), words, idf, gain, space)
+        return Model.of(items.filter(F.pmod(F.xxhash64("item_id", "part"), F.lit(blocks)) == b).collect(), words, idf, gain, space, df > 0)
 
     return rows, [partial(block, b) for b in range(blocks)]
 
