@@ -210,6 +210,34 @@ def test_personal_data_of_odd_texts(spark):
     check_personal(pii.digest(pii.personal_data(df)).collect(), dict(enumerate(texts)))
 
 
+def plain_secrets(text, weights, base):
+    """Added spans with Python's regular expressions, one candidate at a time."""
+    starts = [1 + sum(pii._LEVELS[:j]) for j in range(len(pii._LEVELS))]
+    gazetteer = re.compile(rf"(?:{pii.GAZETTEER})\W{{0,4}}$", re.ASCII)
+    out = []
+    for m in re.finditer(pii.SECRET, text, re.ASCII):
+        b, digits = text[max(0, m.start() - 24) : m.start()].lower(), sum(c in "0123456789" for c in m[0])
+        upper, lower = re.search("[A-Z]", m[0]), re.search("[a-z]", m[0])
+        f = [min(4, len(m[0]) // 8), digits * 4 // len(m[0]), 2 if upper and lower else 1 if upper else 0]
+        f += [int(bool(x.search(b))) for x in (gazetteer, re.compile("[=:]\\s?[\"']?$", re.ASCII), re.compile("[\"']$"))]
+        total = weights[0] + sum(weights[s + min(x, n - 1)] for s, n, x in zip(starts, pii._LEVELS, f))
+        if total > 0 and not any(s < m.end() and m.start() < e for own in base.values() for s, e in own):
+            out.append(f"secret:{m.start()}:{m.end()}")
+    return out
+
+
+def test_added_spans_are_those_of_plain_python(spark, sf_dir, docs):
+    texts = {i: r["text"] or "" for i, r in docs.items()} | {-1: "token = 'a1b2c3d4e5f6a7b8c9d0' and item number42abcdef, password: Xy12345678Zq", -2: "mail a1@b.cc key=AKIA1234567890ABCD 4111111111111111x"}
+    df = spark.createDataFrame([*texts.items()], "doc_id long, text string")
+    weights, _ = pii.fit(df)
+    added = 0
+    for r in pii.digest(pii.personal_data(df, weights=weights)).collect():
+        own = plain_secrets(texts[r["doc_id"]], weights, base_spans(texts[r["doc_id"]]))
+        assert [x for x in r["spans"].split(",") if x.startswith("secret:")] == own and r["n_secret"] == len(own)
+        added += len(own)
+    assert added
+
+
 def test_weak_labels_find_the_reliable_labeler():
     rng = np.random.default_rng(3)
     patterns = Counter()
