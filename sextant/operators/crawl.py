@@ -106,6 +106,11 @@ def links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     return absolute.filter(U.is_valid(F.col("url"))).distinct()
 
 
+def probed(responses: DataFrame) -> DataFrame:
+    """(url, is_html) of header responses (url, content_type): what a HEAD request would tell."""
+    return responses.select("url", F.coalesce(F.col("content_type").contains("text/html"), F.lit(False)).alias("is_html"))
+
+
 def fetched(responses: DataFrame) -> DataFrame:
     """(url, html) of responses (url, status, content_type, body) that are pages: status 200 and HTML."""
     return responses.filter((F.col("status") == 200) & F.coalesce(F.col("content_type").contains("text/html"), F.lit(False))).select("url", F.col("body").alias("html"))

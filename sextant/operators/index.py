@@ -171,3 +171,16 @@ def build_or_read(spark: SparkSession, folder: str, docs: DataFrame, **options)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         write(build(docs, **options), folder)
     return read(spark, folder)
+
+
+def variant(folder: str, stem: str | None, codec: str) -> str:
+    """Where the variant of an index with a stemmer and a codec is."""
+    return f"{folder}/stem={stem or 'none'}/codec={codec}"
+
+
+def write_variants(docs: DataFrame, folder: str, stems: Iterable[str | None] = (None, "porter"), codecs: Iterable[str] = ("zstd", "none"), **options) -> None:
+    """An index for each stemmer and codec, each built once and written with every codec."""
+    for stem in stems:
+        built = build(docs, stem=stem, **options)
+        for codec in codecs:
+            write(built, variant(folder, stem, codec), codec)

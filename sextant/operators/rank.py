@@ -84,6 +84,11 @@ def matching_postings(documents: DataFrame, terms: DataFrame, id_col: str = "doc
     return rows.join(_small(terms.select("term").distinct()), "term", "left_semi").groupBy("term", "doc_id", "doc_len").agg(F.count("*").alias("tf"))
 
 
+def filtered(posts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The postings of the (term, doc_id) pairs that are wanted: terms that must match, in given documents."""
+    return posts.join(_small(wanted.select("term", "doc_id").distinct()), ["term", "doc_id"], "left_semi")
+
+
 def _numbers(sizes: DataFrame) -> DataFrame:
     """One row from documents' lengths n; the vocabulary is left open."""
     sums = sizes.filter("n > 0").agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"))

@@ -23,6 +23,17 @@ def last_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
     return rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("last")).select(key, "last.*")
 
 
+def first_wins(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row for each key, the first by `order`."""
+    rest = [c for c in rows.columns if c != key]
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("first")).select(key, "first.*")
+
+
+def by_id(stored: DataFrame, *ids: str, key: str = "url") -> DataFrame:
+    """The stored documents with the given ids; none for unknown ones. The filter reaches the scan."""
+    return stored.filter(F.col(key).isin(*ids))
+
+
 def documents(stored: DataFrame | None, new: DataFrame, key: str = "docno", text: str = "text") -> DataFrame:
     """New documents in place of stored ones with the same key; those with blank text are skipped."""
     new = new.filter(not_blank(F.col(text))).dropDuplicates([key])

@@ -246,6 +246,33 @@ def term_lookup(spark, sf_dir):
     return rank.matching_postings(_docs(spark, sf_dir), asked).select("term", "doc_id", "tf")
 
 
+@query
+def filtered_postings(spark, sf_dir):
+    """Postings of the queries' terms in the documents whose number ends as the query's does."""
+    asked = rank.query_terms(_questions(spark, sf_dir)).persist()
+    posts = rank.matching_postings(_docs(spark, sf_dir), asked).select("term", "doc_id", "tf")
+    docs = _docs(spark, sf_dir).select("doc_id", F.pmod("doc_id", F.lit(10)).alias("last"))
+    return rank.filtered(posts, asked.withColumn("last", F.pmod("query_id", F.lit(10))).join(docs, "last").select("term", "doc_id"))
+
+
+@query
+def run_docnos(spark, sf_dir):
+    """Run lines with the names of a dense dictionary's ids."""
+    names = index.dictionary(_docs(spark, sf_dir).select(F.concat(F.lit("D"), F.col("doc_id").cast("string")).alias("docno")), "docno").withColumnRenamed("id", "doc_id")
+    dense = names.select("doc_id", F.substring("docno", F.lit(2), F.length("docno")).cast("long").alias("own"))
+    ranked = _ranked(spark, sf_dir, "bm25").withColumnRenamed("doc_id", "own").join(dense, "own").drop("own")
+    return writers.run_lines(writers.with_docnos(ranked, names).withColumn("score", F.col("score").cast("decimal(18,6)")))
+
+
+@query
+def index_variants(spark, sf_dir):
+    """Terms and postings of an index in each codec."""
+    folder = scratch(spark, "variants")
+    index.write_variants(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), "text"), folder, stems=[None])
+    terms = lambda codec: index.read(spark, index.variant(folder, None, codec)).terms.select(F.lit(codec).alias("codec"), "term", "df", "ttf")
+    return terms("zstd").unionByName(terms("none"))
+
+
 @query
 def summed_hits(spark, sf_dir):
     hits = rank.matching_postings(_docs(spark, sf_dir), rank.query_terms(_questions(spark, sf_dir)).persist())
@@ -374,6 +401,14 @@ def read_qrels(spark, sf_dir):
     return readers.qrels(spark, _written(spark, values, "qrels"))
 
 
+@query
+def read_qrels_stream(spark, sf_dir):
+    """Judgements spread over lines of two words each."""
+    words = F.array(F.concat_ws(" ", F.col("query_id").cast("string"), F.lit("0")), F.concat_ws(" ", F.col("doc_id").cast("string"), F.col("grade").cast("string")))
+    values = _judgements(spark, sf_dir).select(F.array_join(words, "\n").alias("value"))
+    return readers.qrels_stream(spark, _written(spark, values, "qrels"))
+
+
 @query
 def read_link_lists(spark, sf_dir):
     """In-links of the graph's pages, one line a page."""
@@ -512,6 +547,27 @@ def last_wins(spark, sf_dir):
     return upsert.last_wins(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "text")
 
 
+@query
+def first_wins(spark, sf_dir):
+    return upsert.first_wins(table(spark, sf_dir, "conversations"), "conv_id", "turn").select("conv_id", "turn", "role", "text")
+
+
+@query
+def documents_by_id(spark, sf_dir):
+    """Documents looked up in a table that was created empty and filled in batches."""
+    folder = scratch(spark, "stored")
+    docs = _docs(spark, sf_dir).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("url"), "text")
+    writers.create(spark, folder, "url string, text string")
+    writers.write_batches(docs, folder)
+    return upsert.by_id(spark.read.parquet(folder), "d0", "d7", "d19", "none")
+
+
+@query
+def probed_pages(spark, sf_dir):
+    kind = F.when(F.col("page_id") % 3 == 0, "text/html; charset=utf-8").when(F.col("page_id") % 3 == 1, "application/pdf")
+    return crawl.probed(_pages(spark, sf_dir).select("url", kind.alias("content_type")))
+
+
 # graph
 
 

@@ -213,6 +213,13 @@ CASE WHEN y.tf IS NULL OR x.tf < y.tf THEN x.positions ELSE y.positions END AS p
     "read_numbered_queries": f"SELECT CAST(item_id AS VARCHAR) AS query_id, array_to_string(list_filter(string_split_regex(lower(regexp_replace(replace(text, chr(10), ' '), '[^\\p{{L}}\\p{{N}}\\s]', '', 'g')), '\\s+'), lambda w: w <> '' AND w NOT IN ({_STOP})), ' ') AS query_text FROM benchmark",
     "read_query_lines": "SELECT regexp_replace(replace(text, chr(10), ' '), '^\\s+|\\s+$', '', 'g') AS line FROM benchmark",
     "read_qrels": "WITH g AS (SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality * (2 - toxic) AS DOUBLE) AS grade FROM labels JOIN benchmark ON item_id % 10 = doc_id % 10) SELECT query_id, doc_id, grade, sum(grade) OVER (PARTITION BY query_id) AS num_rel FROM g",
+    "read_qrels_stream": "WITH g AS (SELECT CAST(item_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS doc_id, CAST(quality * (2 - toxic) AS DOUBLE) AS grade FROM labels JOIN benchmark ON item_id % 10 = doc_id % 10) SELECT query_id, doc_id, grade, sum(grade) OVER (PARTITION BY query_id) AS num_rel FROM g",
+    "first_wins": "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1",
+    "documents_by_id": "SELECT 'd' || doc_id AS url, text FROM documents WHERE doc_id IN (0, 7, 19)",
+    "probed_pages": "SELECT url, page_id % 3 = 0 AS is_html FROM pages",
+    "filtered_postings": f"WITH {_CORPUS}, {_ASKED} SELECT DISTINCT post.term, doc_id, tf FROM post JOIN q ON q.term = post.term AND query_id % 10 = doc_id % 10",
+    "run_docnos": f"SELECT query_id || ' Q0 D' || doc_id || ' ' || rank || ' ' || CAST(score AS DECIMAL(18, 6)) || ' Exp' AS value FROM ({_top('bm25')})",
+    "index_variants": f"WITH t AS (SELECT DISTINCT item_id, term, count(*) OVER (PARTITION BY item_id, term) AS tf FROM (SELECT item_id, unnest({_tokens('text')}) AS term FROM benchmark)) SELECT codec, term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS ttf FROM t, (SELECT unnest(['zstd', 'none']) AS codec) GROUP BY codec, term",
     "read_link_lists": f"WITH {_GRAPH} SELECT dst AS url, string_agg(src, ' ' ORDER BY src) AS inlinks FROM (SELECT DISTINCT src, dst FROM edges WHERE dst NOT LIKE 'o%') GROUP BY dst",
     "read_assessments": "SELECT CAST(doc_id AS VARCHAR) AS doc_id, CASE WHEN toxic = 0 THEN CAST(quality AS VARCHAR) ELSE '' END AS grade, '' AS auto_grade FROM labels",
     "read_link_table": f"WITH {_LINKS}, {_CRAWL} SELECT url, 0 AS n_in, coalesce(outlinks, '') AS outlinks FROM pages LEFT JOIN o ON src = url",

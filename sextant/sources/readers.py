@@ -90,6 +90,16 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
     return _last(rows, "query_id", "doc_id").join(totals, "query_id")
 
 
+def qrels_stream(spark: SparkSession, path: str) -> DataFrame:
+    """`qrels` of files in which line ends mean no more than blanks: every four words are a judgement. A file is one row."""
+    words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
+    files = spark.read.text(path, wholetext=True).select(words.alias("w"), "_metadata.file_path")
+    starts = F.filter(F.transform("w", lambda x, i: i), lambda i: (i % 4 == 0) & (i + 3 < F.size("w")))
+    rows = files.select("w", "file_path", F.explode(starts).alias("i")).select(*(F.get("w", F.col("i") + k).alias(c) for k, c in ((0, "query_id"), (2, "doc_id"), (3, "g"))), F.struct("file_path", "i").alias("place"))
+    rows = rows.select("query_id", "doc_id", F.col("g").try_cast("double").alias("grade"), "place").filter("grade is not null")
+    return _last(rows, "query_id", "doc_id").join(rows.groupBy("query_id").agg(F.sum("grade").alias("num_rel")), "query_id")
+
+
 def run(spark: SparkSession, path: str, distinct: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank): ranked by falling score and doc_id. `distinct` keeps the last line of a document instead of all."""
     rows = _fields(spark, path, 6).select(F.col("f")[0].alias("query_id"), F.col("f")[2].alias("doc_id"), F.col("f")[4].try_cast("double").alias("score"), "place").filter("score is not null")

@@ -12,6 +12,11 @@ def run_lines(ranked: DataFrame, tag: str = "Exp") -> DataFrame:
     return ranked.select(F.concat_ws(" ", *text).alias("value"))
 
 
+def with_docnos(ranked: DataFrame, names: DataFrame) -> DataFrame:
+    """Dense ids in a ranking replaced by the names of (doc_id, docno); unknown ids go."""
+    return ranked.join(names.select("doc_id", "docno"), "doc_id").withColumn("doc_id", F.col("docno")).drop("docno")
+
+
 def write_run(ranked: DataFrame, path: str, tag: str = "Exp", mode: str = "append") -> None:
     """Run lines in order of query and rank within each file."""
     ranked.repartition("query_id").sortWithinPartitions("query_id", "rank").transform(run_lines, tag).write.mode(mode).text(path)
@@ -48,6 +53,22 @@ def write_scalars(spark: SparkSession, values: dict[str, int], path: str) -> Non
     spark.createDataFrame([(f"{k} = {v}",) for k, v in values.items()], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_batches(df: DataFrame, path: str, batches: int = 12) -> None:
+    """Append in so many equal batches, written in parallel; fewer rows make fewer batches."""
+    df.repartition(batches).write.mode("append").parquet(path)
+
+
+def create(spark: SparkSession, path: str, schema: str) -> None:
+    """An empty table of the given schema, in place of what is there."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(path)
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a table; whether there was one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def replace(spark: SparkSession, df: DataFrame, path: str) -> None:
     """Overwrite a Parquet table that `df` may have been read from: written beside it, then put in its place.
 

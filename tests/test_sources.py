@@ -224,6 +224,27 @@ def test_a_denied_page_takes_no_place_of_the_crawl(spark):
     assert [r["url"] for r in got.filter("content is not null").collect()] == ["http://h/b"]
 
 
+def test_command_line(spark, tmp_path):
+    from sextant.__main__ import main
+
+    links = put(tmp_path, "links", "a b c\nb a\nc a\n")
+    main(["pagerank", links, "--out", f"file://{tmp_path}/ranked"])
+    assert [r["url"] for r in spark.read.parquet(f"file://{tmp_path}/ranked").orderBy("score").collect()][-1] == "a"
+    pages = [("http://a", "sports news", ["http://b"], ["http://b"], []), ("http://b", "other words", ["http://a"], ["http://a"], [])]
+    spark.createDataFrame(pages, upsert.CRAWL).write.parquet(f"file://{tmp_path}/crawl")
+    main(["hits", f"file://{tmp_path}/crawl", "--out", f"file://{tmp_path}/hubs"])
+    assert {r["kind"] for r in spark.read.parquet(f"file://{tmp_path}/hubs").collect()} == {"hub", "authority"}
+    put(tmp_path / "c", "one", "<DOC>\n<DOCNO> A </DOCNO>\n<TEXT>\nriver stone\n</TEXT>\n</DOC>\n<DOC>\n<DOCNO> B </DOCNO>\n<TEXT>\nforest\n</TEXT>\n</DOC>")
+    main(["search", f"file://{tmp_path}/c", put(tmp_path, "q", "1. river\n"), "--out", f"file://{tmp_path}/run"])
+    assert [r["value"].split()[:4] for r in spark.read.parquet(f"file://{tmp_path}/run").collect()] == [["1", "Q0", "A", "1"]]
+
+
+def test_created_tables(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    writers.create(spark, path, upsert.CRAWL)
+    assert spark.read.parquet(path).count() == 0 and writers.delete(spark, path) and not writers.delete(spark, path)
+
+
 def test_hash(spark):
     import hashlib
 
