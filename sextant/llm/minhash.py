@@ -140,6 +140,11 @@ def _signed(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, key binary, bands array<long>, sig binary")
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """Rows of ids, broadcast if there are few: then what they are joined to isn't shuffled."""
+    return F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(doc_id, set) of the wanted ids: the full sorted shingle hashes."""
 
@@ -148,7 +153,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in shingles(batch.column(1), width)], pa.binary())], ["doc_id", "set"])
         tidy()
 
-    return docs.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
+    return docs.join(_small(wanted), "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text").mapInArrow(run, "doc_id long, set binary")
 
 
 def _joined_by(rows: DataFrame, found: DataFrame, key: str, how: str = "inner") -> DataFrame:
@@ -177,7 +182,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInPandas(run, "a long, b long")
 
 
-def _blocked_pairs(members: DataFrame, percent: int) -> DataFrame:
+def _blocked_pairs(members: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs that link different components in a bucket, likely ones first; none between what earlier pairs have linked.
 
     A bucket of m members is dealt into blocks of about BLOCK members and BLOCK_BYTES of sets; each pair of blocks is one
@@ -189,7 +194,11 @@ def _blocked_pairs(members: DataFrame, percent: int) -> DataFrame:
     sizes = hold(members.groupBy("band").agg(need.alias("blocks"), F.count("*").alias("many")), "blocks")
     dealt = _joined_by(members, sizes, "band").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "root", "n", "sig", "set", "bands")
+    dealt = hold(dealt.select("band", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "rep", "root"), "dealt")
+    # sets and signatures come last, and only those of open members are moved
+    open_ = _small(dealt.select("rep").distinct())
+    full = reps.select("rep", "n", "sig", "bands").join(open_, "rep", "left_semi").join(sets.toDF("rep", "set").join(open_, "rep", "left_semi"), "rep")
+    dealt = dealt.join(full, "rep").select("band", "lo", "hi", "own", "rep", "root", "n", "sig", "set", "bands")
     j = percent / 100
     least = SIZE * (j - DEVIATIONS * (j * (1 - j) / SIZE) ** 0.5) if 0 < j < 1 else SIZE * j
 
@@ -258,7 +267,10 @@ def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
 
 def _apart(banded: DataFrame, roots: DataFrame) -> DataFrame:
     """The members, with their root, of the buckets that more than one component is in."""
-    rooted = banded.join(roots.toDF("rep", "root"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    few = small_enough(roots, BROADCAST_IDS)
+    known = roots.toDF("rep", "root")
+    rooted = banded.join(F.broadcast(known) if few else known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    rooted = rooted if few else hold(rooted, "rooted")  # it is read more than once
     mixed = rooted.groupBy("band").agg((F.min("root") != F.max("root")).alias("mixed"), F.count("*").alias("many")).filter("mixed").select("band", "many")
     return _joined_by(rooted, hold(mixed, "mixed"), "band")
 
@@ -275,7 +287,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     first = F.min(F.when(F.col("sig").isNotNull(), F.struct("doc_id", "n", "sig", "bands")))
     reps = signed.filter("key is not null and doc_id is not null").groupBy("key").agg(first.alias("m"), F.count("*").alias("many"))
     reps = hold(reps.select("key", "many", F.col("m.doc_id").alias("rep"), "m.n", "m.sig", "m.bands"), "reps")
-    flat = reps.select("rep", F.explode("bands").alias("band"))
+    flat = reps.select("rep", "n", F.explode("bands").alias("band"))
     shared = flat.groupBy("band").agg(F.min("rep").alias("least"), F.max("rep").alias("most"), F.count("*").alias("many")).filter("least < most")
     banded = hold(_joined_by(flat, hold(shared.select("band", "least", "many"), "shared"), "band"), "bands")
     sets = hold(_sets(docs, banded.select(F.col("rep").alias("doc_id")).distinct(), width), "sets")
@@ -287,8 +299,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     rest = hold(rest.select(F.col("least").alias("a"), F.col("rep").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"), "stars")
     if not rest.isEmpty():
         roots = _joined(roots, _verified(rest, sets, percent))
-    open_ = _apart(banded, roots).select("band", "rep", "root").join(reps.select("rep", "n", "sig", "bands"), "rep")
-    more = hold(_blocked_pairs(open_.join(sets.select(F.col("doc_id").alias("rep"), "set"), "rep"), percent), "pairs")
+    more = hold(_blocked_pairs(_apart(banded, roots).select("band", "rep", "root", "n"), reps, sets, percent), "pairs")
     if not more.isEmpty():
         roots = _joined(roots, more)
     release(banded, sets)
@@ -307,12 +318,11 @@ def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFram
     Rows without doc_id stay. Only ids are shuffled unless doc_ids are repeated: then the repeated rows are, too.
     """
     found = hold(near_duplicates(docs, width, percent).filter("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"), F.count("*").alias("rows")), "kept")
-    split = lambda ids: F.broadcast(ids) if small_enough(ids, BROADCAST_IDS) else ids
     named = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
-    out = named.join(split(found.filter("not kept").select(F.col("doc_id").alias("id"))), "id", "left_anti")
+    out = named.join(_small(found.filter("not kept").select(F.col("doc_id").alias("id"))), "id", "left_anti")
     repeated = found.filter("kept and rows > 1").select(F.col("doc_id").alias("id"))
     if not repeated.isEmpty():
-        again = split(repeated)
+        again = _small(repeated)
         one = out.join(again, "id", "left_semi").dropDuplicates(["id"])
         out = out.join(again, "id", "left_anti").unionByName(one)
     return out.select("row.*")
