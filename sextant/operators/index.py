@@ -51,17 +51,19 @@ def _local(docs: DataFrame, stop: Iterable[str] | None, id_col: str, text_col: s
     own = F.col(id_col).alias("doc_id")
     if positions:
         pair = lambda x, i: F.struct(x.alias("term"), (i + 1).alias("position"))
-        rows = docs.select(own, F.sort_array(F.transform(found, pair)).alias("s")).select("doc_id", F.col("s.term").alias("t"), F.col("s.position").alias("p"))
+        rows = docs.select(own, F.sort_array(F.transform(found, pair)).alias("t"))
+        term = lambda i: F.get("t", i)["term"]
     else:
         rows = docs.select(own, F.sort_array(found).alias("t"))
+        term = lambda i: F.get("t", i)
     n = F.size("t")
-    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("t", i) != F.get("t", i - 1)))
+    begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (term(i) != term(i - 1)))
     rows = rows.filter(n > 0).withColumn("a", begins)
     rows = rows.withColumn("b", F.concat(F.slice("a", 2, F.size("a")), F.array(n)))
 
     def posting(x):
         size = x["b"] - x["a"]
-        return F.struct(F.get("t", x["a"]).alias("term"), size.cast("long").alias("tf"), *([F.slice("p", x["a"] + 1, size).alias("positions")] if positions else []))
+        return F.struct(term(x["a"]).alias("term"), size.cast("long").alias("tf"), *([F.slice("t", x["a"] + 1, size)["position"].alias("positions")] if positions else []))
 
     out = rows.select("doc_id", F.explode(F.transform(F.arrays_zip("a", "b"), posting)).alias("x"))
     return out.select("x.term", "doc_id", "x.tf", *(["x.positions"] if positions else []))
