@@ -91,12 +91,20 @@ def qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def qrels_stream(spark: SparkSession, path: str) -> DataFrame:
-    """`qrels` of files in which line ends mean no more than blanks: every four words are a judgement. A file is one row."""
-    words = F.filter(F.split("value", r"\s+"), lambda w: w != "")
-    files = spark.read.text(path, wholetext=True).select(words.alias("w"), "_metadata.file_path")
-    starts = F.filter(F.transform("w", lambda x, i: i), lambda i: (i % 4 == 0) & (i + 3 < F.size("w")))
-    rows = files.select("w", "file_path", F.explode(starts).alias("i")).select(*(F.get("w", F.col("i") + k).alias(c) for k, c in ((0, "query_id"), (2, "doc_id"), (3, "g"))), F.struct("file_path", "i").alias("place"))
-    rows = rows.select("query_id", "doc_id", F.col("g").try_cast("double").alias("grade"), "place").filter("grade is not null")
+    """`qrels` of files in which line ends mean no more than blanks: every four words of a file are a judgement.
+
+    Words are numbered by sums of the lines' sizes, within a block of a file and over its blocks, so no file is held whole.
+    """
+    found = F.filter(F.split("value", r"\s+"), lambda w: w != "")
+    lines = _lines(spark, path).select(found.alias("w"), F.col("place.file_path").alias("file"), F.col("place.file_block_start").alias("block"), F.col("place.n").alias("n")).filter(F.size("w") > 0)
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = lines.groupBy("file", "block").agg(F.sum(F.size("w")).alias("size")).withColumn("begins", F.coalesce(F.sum("size").over(before("file").orderBy("block")), F.lit(0)))
+    blocks = blocks.select("file", "block", "begins", F.dense_rank().over(Window.orderBy("file")).alias("f"))  # one row for each block
+    at = F.col("begins") + F.coalesce(F.sum(F.size("w")).over(before("f", "block").orderBy("n")), F.lit(0))
+    cells = lines.join(F.broadcast(blocks), ["file", "block"]).select("f", at.alias("at"), "w").select("f", "at", F.posexplode("w").alias("i", "word"))
+    cells = cells.select("f", F.expr("(at + i) div 4").alias("record"), ((F.col("at") + F.col("i")) % 4).alias("k"), "word")
+    rows = cells.groupBy("f", "record").agg(*(F.max(F.when(F.col("k") == k, F.col("word"))).alias(c) for k, c in ((0, "query_id"), (2, "doc_id"), (3, "g"))))
+    rows = rows.select("query_id", "doc_id", F.col("g").try_cast("double").alias("grade"), F.struct("f", "record").alias("place")).filter("grade is not null")
     return _last(rows, "query_id", "doc_id").join(rows.groupBy("query_id").agg(F.sum("grade").alias("num_rel")), "query_id")
 
 
