@@ -28,14 +28,19 @@ def _last(df: DataFrame, *keys: str) -> DataFrame:
 
 def docno(record: Column) -> Column:
     """The text of the line with the DOCNO tag; null if there is none."""
-    line = F.regexp_extract(record, r"([^\n]*<DOCNO>[^\n]*)", 1)
+    cut = F.split(record, "<DOCNO>", 2)
+    line = F.concat(F.substring_index(F.get(cut, 0), "\n", -1), F.lit("<DOCNO>"), F.substring_index(F.get(cut, 1), "\n", 1))
     return F.when(record.contains("<DOCNO>"), strip(F.replace(F.replace(line, F.lit("<DOCNO>"), F.lit("")), F.lit("</DOCNO>"), F.lit(""))))
 
 
 def record_text(record: Column, strip_lines: bool = False) -> Column:
-    """The lines strictly between the lines with TEXT tags, of all blocks, joined by one space."""
-    blocks = F.regexp_extract_all(record, F.lit(r"(?s)<TEXT>[^\n]*\n(.*?)[^\n]*</TEXT>"), F.lit(1))
-    lines = F.flatten(F.transform(blocks, lambda b: F.filter(F.split(F.regexp_replace(b, r"\n$", ""), "\n"), lambda x, i: (i > 0) | (b != ""))))
+    """The lines strictly between the lines with TEXT tags, of all blocks, joined by one space.
+
+    A block is taken down to its end tag, and the line of that tag is dropped after the split: a pattern that looks for
+    the line's beginning reads each line once for each of its characters.
+    """
+    blocks = F.regexp_extract_all(record, F.lit(r"(?s)<TEXT>[^\n]*+\n(.*?)</TEXT>(?:[^\n]*</TEXT>)?"), F.lit(1))
+    lines = F.flatten(F.transform(F.transform(blocks, lambda b: F.split(b, "\n")), lambda x: F.slice(x, 1, F.size(x) - 1)))
     return F.array_join(F.transform(lines, strip) if strip_lines else lines, " ")
 
 

@@ -1,5 +1,7 @@
 """Readers and writers over files, merged tables, crawl, assessment and streams."""
 
+import random
+import re
 import time
 from datetime import datetime, timedelta, timezone
 
@@ -270,3 +272,30 @@ def test_a_stream_of_judgements_over_blocks(spark, tmp_path):
         assert {(r["doc_id"], r["grade"]) for r in readers.qrels_stream(spark, f"file://{tmp_path}/qrels").collect()} == {(f"d{i}", float(i)) for i in range(3_000)}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_records_keep_blank_lines_at_the_end(spark):
+    record = spark.createDataFrame([("<DOC>\n<DOCNO> A </DOCNO>\n<TEXT>\nfirst\n\n\n</TEXT>\n</DOC>",)], "r string")
+    assert record.select(readers.record_text(F.col("r")).alias("x")).first()[0] == "first  "
+
+
+def test_odd_records(spark):
+    """Records of random pieces against a pattern that finds each block's last line."""
+    dice = random.Random(3)
+    pieces = ["<TEXT>", "</TEXT>", "\n", "\n", "a", " ", "<", "<DOCNO>", "</DOCNO>", "<TEXT>\n", "\n</TEXT>\n"]
+    records = ["".join(dice.choices(pieces, k=dice.randrange(25))) for _ in range(2000)]
+    blocks = lambda r: re.findall(r"(?s)<TEXT>[^\n]*\n(.*?)[^\n]*</TEXT>", r)
+    lines = lambda r: [x for b in blocks(r) if b for x in b[:-1].split("\n")]
+    number = lambda r: next((x.replace("<DOCNO>", "").replace("</DOCNO>", "").strip() for x in r.split("\n") if "<DOCNO>" in x), None)
+    rows = spark.createDataFrame([(r,) for r in records], "r string").select("r", readers.docno(F.col("r")).alias("n"), readers.record_text(F.col("r")).alias("x"))
+    assert [(r["n"], r["x"]) for r in rows.collect()] == [(number(r), " ".join(lines(r))) for r in records]
+
+
+def test_long_lines_are_read_once(spark):
+    """A line of 400,000 characters before the number and one in the text."""
+    long = F.repeat(F.lit("word "), 80_000)
+    record = F.concat(F.lit("<DOC>\n"), long, F.lit("\n<DOCNO> A </DOCNO>\n<TEXT>\n"), long, F.lit("\n</TEXT>\n</DOC>"), F.col("id").cast("string"))
+    began = time.monotonic()
+    row = spark.range(2).select(readers.docno(record).alias("n"), F.length(readers.record_text(record)).alias("x")).first()
+    assert (row["n"], row["x"]) == ("A", 400_000)
+    assert time.monotonic() - began < 20
