@@ -10,6 +10,9 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,8 @@ from .order import numbered
 
 #: Distinct terms whose stems may be broadcast, at some 20 bytes each.
 BROADCAST_TERMS = 200_000
+#: Documents that Python reads at once, of up to some 20,000 tokens each, and postings that it sends at once.
+READ_ROWS, SENT_ROWS = 1000, 100_000
 
 
 def token_rows(docs: DataFrame, stop: Iterable[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,13 +69,33 @@ def cut_runs(rows: DataFrame, positions: bool = False) -> tuple[DataFrame, Colum
 
 
 def _local(docs: DataFrame, stop: Iterable[str] | None, id_col: str, text_col: str, positions: bool) -> DataFrame:
-    """(term, doc_id, tf), with positions if asked for, of each row by itself."""
-    found = tokens(F.col(text_col), stop)
-    if positions:
-        found = F.transform(found, lambda x, i: F.struct(x.alias("term"), (i + 1).alias("position")))
-    rows, cut = cut_runs(docs.select(F.col(id_col).alias("doc_id"), F.sort_array(found).alias("t")).filter(F.size("t") > 0), positions)
-    out = rows.select("doc_id", F.explode(cut).alias("x"))
-    return out.select("x.term", "doc_id", "x.tf", *(["x.positions"] if positions else []))
+    """(term, doc_id, tf), with positions if asked for, of each row by itself: whole batches of token lists are sorted by document and term at once."""
+    conf, size = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(size)) <= READ_ROWS:
+        conf.set(size, str(READ_ROWS))
+
+    def run(batches):
+        for batch in batches:
+            ids, lists = batch.columns
+            own = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            words = lists.flatten().dictionary_encode()
+            code = words.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(own * len(words.dictionary) + code, kind="stable")
+            own, code = own[order], code[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (own[1:] != own[:-1]) | (code[1:] != code[:-1])
+            begins = np.flatnonzero(new)
+            offsets = np.append(begins, len(order)).astype(np.int32)
+            out = {"term": words.dictionary.take(pa.array(code[begins])), "doc_id": ids.take(pa.array(own[begins])), "tf": pa.array(np.diff(offsets).astype(np.int64))}
+            if positions:
+                first = np.searchsorted(own, np.arange(batch.num_rows))
+                out["positions"] = pa.ListArray.from_arrays(offsets, pa.array((order - first[own] + 1).astype(np.int32)))
+            whole = pa.RecordBatch.from_pydict(out)
+            for a in range(0, len(begins), SENT_ROWS):
+                yield whole.slice(a, SENT_ROWS)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), tokens(F.col(text_col), stop).alias("t"))
+    return rows.mapInArrow(run, f"term string, doc_id {rows.schema['doc_id'].dataType.simpleString()}, tf long" + (", positions array<int>" if positions else ""))
 
 
 def postings_of(docs: DataFrame, stop: Iterable[str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,9 +184,11 @@ def build(docs: DataFrame, stop: Iterable[str] | None = None, stem: str | None =
 
 
 def write(index: Index, folder: str, codec: str = "zstd", partitions: int | None = None) -> None:
-    """The index as Parquet: postings in ranges of terms, so a term's lookup reads a few row groups."""
+    """The index as Parquet: postings in ranges of terms and documents, so a term's lookup reads a few row groups and no task takes all of a frequent term."""
     n = partitions or int(index.postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    index.postings.repartitionByRange(n, "term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("compression", codec).parquet(f"{folder}/postings")
+    held = index.postings.persist(StorageLevel.DISK_ONLY)  # the ranges' bounds are sampled from it first
+    held.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("compression", codec).parquet(f"{folder}/postings")
+    held.unpersist()
     posts = index.postings.sparkSession.read.parquet(f"{folder}/postings")
     for name, table in (("terms", term_stats(posts)), ("docs", index.docs), ("corpus", corpus_stats(posts))):
         table.write.mode("overwrite").option("compression", codec).parquet(f"{folder}/{name}")

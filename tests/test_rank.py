@@ -174,3 +174,22 @@ def test_both_conventions_agree_on_binary_grades(spark):
     b = evaluate.average_precision(evaluate.judged(run, qrels, True), True).first()["average_precision"]
     assert a == pytest.approx(b)
     assert evaluate.report(evaluate.metrics(run, qrels)).filter(F.col("query_id") == "all").count() > 0
+
+
+def test_a_frequent_term_of_a_written_index_is_shared_among_tasks(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the the x"), F.col("id").cast("string")).alias("text"))
+    index.write(index.build(docs), str(tmp_path / "index"))
+    found = index.read(spark, str(tmp_path / "index")).term("the")
+    files = {r["f"]: r["n"] for r in found.groupBy(F.input_file_name().alias("f")).agg(F.count("*").alias("n")).collect()}
+    assert sum(files.values()) == 2000 and len(files) > 1
+
+
+def test_postings_of_odd_documents(spark):
+    """Batches of documents, empty ones among them, against token rows that are grouped."""
+    texts = [None, "", "b a b", " ", "a" * 3000, "Ä ä x.y x y", *(" ".join(f"w{i * j % 7}" for j in range(i % 40)) for i in range(3000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = lambda df: sorted(map(tuple, df.select("term", "doc_id", "tf", F.concat_ws(",", F.col("positions").cast("array<string>"))).collect()))
+    assert rows(index.postings_of(docs, ["w3"])) == rows(index.postings(index.token_rows(docs, ["w3"])))
+    assert index.counted(docs.filter("text = ''")).isEmpty()
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert {r["doc_id"] for r in index.counted(named).filter("term = 'b'").collect()} == {"d2"}
