@@ -126,6 +126,10 @@ def corpus_stats(posts: DataFrame) -> DataFrame:
     """One row: documents with tokens, distinct terms, tokens, and the mean length, exact and rounded half to even."""
     terms = posts.groupBy("term").agg(F.sum("tf").alias("ttf")).agg(F.count("*").alias("vocabulary"), F.sum("ttf").alias("tokens"))
     docs = posts.select("doc_id").distinct().agg(F.count("*").alias("docs"))
+    return _numbers(docs, terms)
+
+
+def _numbers(docs: DataFrame, terms: DataFrame) -> DataFrame:
     mean = F.try_divide(F.col("tokens").cast("double"), F.col("docs"))
     return docs.crossJoin(terms).select("docs", "vocabulary", "tokens", mean.alias("mean_len"), F.bround(mean).cast("long").alias("rounded_len"))
 
@@ -189,9 +193,12 @@ def write(index: Index, folder: str, codec: str = "zstd", partitions: int | None
     held = index.postings.persist(StorageLevel.DISK_ONLY)  # the ranges' bounds are sampled from it first
     held.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("compression", codec).parquet(f"{folder}/postings")
     held.unpersist()
-    posts = index.postings.sparkSession.read.parquet(f"{folder}/postings")
-    for name, table in (("terms", term_stats(posts)), ("docs", index.docs), ("corpus", corpus_stats(posts))):
+    spark = index.postings.sparkSession
+    for name, table in (("terms", term_stats(spark.read.parquet(f"{folder}/postings"))), ("docs", index.docs)):
         table.write.mode("overwrite").option("compression", codec).parquet(f"{folder}/{name}")
+    docs = spark.read.parquet(f"{folder}/docs").filter("doc_len > 0").agg(F.count("*").alias("docs"))
+    terms = spark.read.parquet(f"{folder}/terms").agg(F.count("*").alias("vocabulary"), F.sum("ttf").alias("tokens"))
+    _numbers(docs, terms).write.mode("overwrite").option("compression", codec).parquet(f"{folder}/corpus")
 
 
 def read(spark: SparkSession, folder: str) -> Index:
