@@ -334,30 +334,32 @@ class Scorer:
 def gradients(p: dict[str, np.ndarray], x: np.ndarray, nexts: np.ndarray, vocabulary: Vocabulary) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross entropy of the classes of the ids that come after a window's last places (windows, places; -1: none) and its derivatives; the embeddings' as (rows, values) in `e`."""
     scale = np.float32(1 / math.sqrt(WIDTH))
-    rows = lambda m: m.reshape(-1, WIDTH)
-    order = np.argsort(x.ravel(), kind="stable")
+    lead, size = WINDOW - nexts.shape[1], x.size
+    order = np.argsort(x.ravel().astype(np.uint16), kind="stable")  # 16 bits are sorted by their digits; places are fewer
     sorted_ = x.ravel()[order]
-    starts = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]])
-    used, back = sorted_[starts], np.empty(len(order), np.int32)
-    back[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(starts, append=len(order)))
-    back = back.reshape(x.shape)
-    e = p["e"][used]
-    eq, ek, ev, er = e @ p["q"] * scale, e @ p["k"], e @ p["v"], e @ p["r"] + p["a"]
-    lead = WINDOW - nexts.shape[1]
-    late = back[:, lead:]
-    q, k, v = eq[late], ek[back], ev[back]
+    new = np.ones(size, bool)
+    np.not_equal(sorted_[1:], sorted_[:-1], out=new[1:])
+    used, back = sorted_[new], np.empty(size, np.int64)
+    back[order] = np.cumsum(new) - 1
+    e, products = p["e"][used], np.hstack([p["k"], p["v"], p["q"] * scale, p["r"]])
+    own = np.take(e @ products, back, axis=0).reshape(*x.shape, 4 * WIDTH)
+    k, v, q, r = own[..., :WIDTH], own[..., WIDTH : 2 * WIDTH], own[:, lead:, 2 * WIDTH : 3 * WIDTH], own[:, lead:, 3 * WIDTH :]
     a = np.matmul(q, k.transpose(0, 2, 1))
     a += (p["bias"][_LAG] + _FUTURE)[lead:]
     _calmed(a)
     np.exp(a, out=a)
-    a *= 1 / (a @ np.ones(WINDOW, np.float32))[..., None]
-    h = np.tanh(np.matmul(a, v) + er[late])
+    share = 1 / (a @ np.ones(WINDOW, np.float32))[..., None]
+    found = np.matmul(a, v)
+    found *= share
+    h = found + r
+    h += p["a"]
+    np.tanh(h, out=h)
     known = nexts.ravel() >= 0
     n = np.float32(1 / max(1, int(known.sum())))
     group = vocabulary.group[nexts.ravel() * known]
-    hs = rows(h)
+    hs = h.reshape(-1, WIDTH)
     z = hs @ p["u"]
-    z += vocabulary.prior[x[:, lead:].ravel()]
+    z += np.take(vocabulary.prior, x[:, lead:].ravel(), axis=0)
     _calmed(z)
     np.exp(z, out=z)
     sums = z @ np.ones(CLASSES, np.float32)
@@ -369,21 +371,22 @@ def gradients(p: dict[str, np.ndarray], x: np.ndarray, nexts: np.ndarray, vocabu
     g = {"u": (hs * factor).T @ z}
     dz = ((z @ p["u"].T) * factor).reshape(h.shape)
     dz *= 1 - h * h
-    da = np.matmul(dz, v.transpose(0, 2, 1))
-    turned = a.transpose(0, 2, 1)
-    dv = np.matmul(turned, dz)
-    da -= ((da * a) @ np.ones(WINDOW, np.float32))[..., None]
+    # the shares of a row add up to 1: what that takes from its derivatives is dz times what the row found
+    part = dz * share
+    da = np.matmul(part, v.transpose(0, 2, 1))
+    da -= np.einsum("wpi,wpi->wp", part, found)[..., None]
     da *= a
     g["bias"] = np.bincount(_LAG[lead:].ravel(), da.sum(0).ravel(), WINDOW).astype(np.float32)
-    dq, dk = np.matmul(da, k) * scale, np.matmul(da.transpose(0, 2, 1), q)
-    own = e[back]
-    near, all_ = rows(own[:, lead:]), rows(own)
-    dq, dz, dk, dv = map(rows, (dq, dz, dk, dv))
-    g |= {"q": near.T @ dq, "r": near.T @ dz, "a": dz.sum(0), "k": all_.T @ dk, "v": all_.T @ dv}
-    de = (dk @ p["k"].T + dv @ p["v"].T).reshape(*x.shape, WIDTH)
-    de[:, lead:] += (dq @ p["q"].T + dz @ p["r"].T).reshape(h.shape)
-    cells = (back.reshape(-1, 1) * WIDTH + np.arange(WIDTH, dtype=np.int32)).ravel()
-    g["e"] = used, np.bincount(cells, de.ravel(), len(used) * WIDTH).astype(np.float32).reshape(-1, WIDTH)
+    d = np.zeros((*x.shape, 4 * WIDTH), np.float32) if lead else np.empty((*x.shape, 4 * WIDTH), np.float32)
+    d[..., :WIDTH] = np.matmul(da.transpose(0, 2, 1), q)
+    d[..., WIDTH : 2 * WIDTH] = np.matmul(a.transpose(0, 2, 1), part)
+    d[:, lead:, 2 * WIDTH : 3 * WIDTH] = np.matmul(da, k)
+    d[:, lead:, 3 * WIDTH :] = dz
+    d = d.reshape(size, -1)
+    of = np.take(e, back, axis=0).T @ d
+    g |= {"k": of[:, :WIDTH], "v": of[:, WIDTH : 2 * WIDTH], "q": of[:, 2 * WIDTH : 3 * WIDTH] * scale, "r": of[:, 3 * WIDTH :], "a": dz.sum((0, 1))}
+    cells = (back[:, None] * WIDTH + np.arange(WIDTH)).ravel()
+    g["e"] = used, np.bincount(cells, (d @ products.T).ravel(), len(used) * WIDTH).astype(np.float32).reshape(-1, WIDTH)
     return loss, g
 
 
@@ -407,8 +410,9 @@ class Trainer:
         for n, d in g.items():
             if n == "e":
                 own, d = d
-                self.past[n][own] += d * d
-                self.p[n][own] -= RATE * d / np.sqrt(self.past[n][own])
+                past = self.past[n][own] + d * d
+                self.past[n][own] = past
+                self.p[n][own] -= RATE * d / np.sqrt(past)
             else:
                 self.past[n] += d * d
                 self.p[n] -= RATE * d / np.sqrt(self.past[n])

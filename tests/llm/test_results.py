@@ -433,6 +433,26 @@ def test_language_model_gradients():
         assert g[name][i] == pytest.approx((sides[0] - sides[1]) / 4e-2, rel=0.15, abs=2e-4)
 
 
+def test_language_model_gradients_of_training_windows():
+    """Windows as training cuts them, without a lead; an embedding's derivatives are summed over all its places."""
+    rng, vocabulary, p = _small_model()
+    inputs, first, nexts, _ = lm.windows(*_flat([rng.integers(0, 40, 90).astype(np.uint32)]), 1499, vocabulary, 0)
+    x = inputs[first[:, None] + np.arange(lm.WINDOW)]
+    _, g = lm.gradients(p, x, nexts, vocabulary)
+    used, d = g.pop("e")
+    assert used.tolist() == sorted(set(x.ravel().tolist()))
+    g["e"] = np.zeros_like(p["e"])
+    g["e"][used] = d
+    for name, found in g.items():
+        i = np.unravel_index(np.argmax(np.abs(found)), found.shape)
+        sides = []
+        for step in (2e-2, -2e-2):
+            moved = {n: v.copy() for n, v in p.items()}
+            moved[name][i] += step
+            sides.append(lm.gradients(moved, x, nexts, vocabulary)[0])
+        assert found[i] == pytest.approx((sides[0] - sides[1]) / 4e-2, rel=0.15, abs=2e-4)
+
+
 def test_language_model_learns():
     rng = np.random.default_rng(1)
     texts = [np.tile(rng.permutation(8)[:4], 30).astype(np.uint32) for _ in range(200)]
